@@ -11,7 +11,9 @@ once can't be in a repeated window and set no bit in a bitmap of bounded size
 passes are emitted: once per task and string as packed strings, and per text
 and string as the places where they stand.  (3) Packed strings meet in the
 bucket of their minimiser, which tells for each string which of its windows
-repeat.  What comes back is joined to the places, gathered by text, and applied
+repeat; a minimiser with very many strings (the edge of a passage that stands
+in very many texts) has no bucket of its own, its windows are dealt out one by
+one by a 128-bit digest and counted there.  What comes back is joined to the places, gathered by text, and applied
 to the whole texts.
 """
 
@@ -34,6 +36,8 @@ MAX_BITMAP_BITS = 28
 _BLOCK_BITS = 20
 #: Packed strings that a task holds before it passes them on.
 HELD_BYTES = 48 << 20
+#: A minimiser with more strings than this, and than this share of all, is split by window.
+HOT_STRINGS, HOT_SHARE = 500, 2000
 
 
 @dataclass(frozen=True)
@@ -213,6 +217,47 @@ def _emit(rows: Iterator[pa.RecordBatch], shape: Shape, bitmap: Bitmap) -> Itera
 _RUNS_DDL = "key long, sid long, offset int, length int, least long"
 
 
+def _windows(rows: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
+    """Digest of each window of each string."""
+    for batch in rows:
+        for key, sid, owner, n, times, packed in zip(*(batch.column(c).to_pylist() for c in ("key", "sid", "owner", "n", "times", "packed")), strict=True):
+            if shape.words:
+                gaps = np.flatnonzero(np.frombuffer(packed, np.uint8) == 0x20)
+                begins, ends = np.append(0, gaps + 1).tolist(), np.append(gaps, len(packed)).tolist()
+            else:
+                begins, ends = range(len(packed)), range(1, len(packed) + 1)
+            digests = b"".join(xxhash.xxh3_128_digest(packed[begins[i] : ends[i + shape.width - 1]]) for i in range(n))
+            halves = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
+            same = lambda v, kind: pa.array([v] * n, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), same(key, pa.int64()), same(sid, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), same(owner, pa.int64()), same(times, pa.int64())], names=["a", "b", "key", "sid", "offset", "owner", "times"])
+
+
+def _as_runs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs():
+        for batch in rows:
+            for key, sid, cells in zip(*(batch.column(c).to_pylist() for c in ("key", "sid", "cells")), strict=True):
+                start, length, least = None, 0, None
+                for cell in cells:
+                    if start is not None and cell["offset"] == start + length and cell["least"] == least:
+                        length += 1
+                        continue
+                    if start is not None:
+                        yield key, sid, start, length, least
+                    start, length, least = cell["offset"], 1, cell["least"]
+                yield key, sid, start, length, least
+
+    return runs_batches(runs())
+
+
+def _hot_runs(strings: DataFrame, shape: Shape) -> DataFrame:
+    """Runs of repeated windows of the strings of hot minimisers: no task gets a minimiser's strings together."""
+    windows = strings.repartition(partitions(strings.sparkSession)).mapInArrow(lambda it: _windows(it, shape), "a long, b long, key long, sid long, offset int, owner long, times long")
+    repeated = windows.groupBy("a", "b").agg(F.min("owner").alias("least"), F.sum("times").alias("n")).filter("n > 1").drop("n")
+    cells = windows.select("a", "b", "key", "sid", "offset").join(repeated, ["a", "b"])
+    lists = cells.groupBy("key", "sid").agg(F.array_sort(F.collect_set(F.struct("offset", "least"))).alias("cells"))
+    return lists.mapInArrow(_as_runs, _RUNS_DDL)
+
+
 def gather(rows: DataFrame, shape: Shape, across: bool, bucket: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """row and its list of (starts, offset, length): windows that ``bucket`` finds repeated.
 
@@ -223,8 +268,14 @@ def gather(rows: DataFrame, shape: Shape, across: bool, bucket: Callable[[Iterat
     bitmap = spark.sparkContext.broadcast(repeated_minimisers(rows, shape, across))
     emitted = stage(rows.mapInArrow(lambda it: _emit(it, shape, bitmap.value), _EMIT_DDL), "superkmers")
     strings = emitted.filter("packed is not null").select("key", "sid", "owner", "n", "times", "packed")
-    dealt = strings.repartition(partitions(spark), "key").sortWithinPartitions("key", "sid")
+    limit = max(HOT_STRINGS, strings.count() // HOT_SHARE)
+    # at most HOT_SHARE keys can be over the limit
+    hot = [r[0] for r in strings.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("key").collect()]
+    cold = strings.filter(~F.col("key").isin(hot)) if hot else strings
+    dealt = cold.repartition(partitions(spark), "key").sortWithinPartitions("key", "sid")
     runs = dealt.mapInArrow(bucket, _RUNS_DDL)
+    if hot:
+        runs = runs.union(_hot_runs(strings.filter(F.col("key").isin(hot)), shape))
     places = emitted.filter("packed is null").select("key", "sid", "owner", "row", "starts")
     hits = places.join(runs, ["key", "sid"])
     if across:

@@ -94,6 +94,14 @@ def test_repeated_bytes(spark, rows):
     same(remove_repeated_bytes(frame(spark, rows)), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.repeated_bytes(rows))
 
 
+@pytest.mark.parametrize("limit", [0, 3])
+def test_hot_minimisers(spark, monkeypatch, limit):
+    monkeypatch.setattr("quillspark.llm.superkmer.HOT_STRINGS", limit)
+    clean = [r for r in awkward() if r[0] != 3]
+    same(remove_repeated_windows(frame(spark, clean)), ["doc_id", "n_words", "n_removed", "kept_sha256"], brute.repeated_words(clean))
+    same(remove_repeated_bytes(frame(spark, clean)), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.repeated_bytes(clean))
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     for size, alphabet in ((1, 2), (50, 2), (400, 3), (3000, 5), (500, 1)):
