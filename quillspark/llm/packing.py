@@ -27,7 +27,7 @@ from quillspark.llm.common import id_text, session, stage
 from quillspark.llm.tokens import PIECES_DDL, SEQUENCE, pieces
 
 #: Bytes of text whose pieces make a shard: with token ids, and with lengths only.
-SHARD_BYTES, LIGHT_SHARD_BYTES = 24 << 20, 96 << 20
+SHARD_BYTES, LIGHT_SHARD_BYTES = 8 << 20, 96 << 20
 #: Rounds of the local search over all underfull bins, at most.
 ROUNDS = 30
 
