@@ -24,7 +24,9 @@ from quillspark.llm.suffixsort import repeated_starts
 WINDOW, GRAM = 200, 24
 SHAPE = sk.Shape(WINDOW, GRAM, words=False)
 #: Bytes of whole buckets that are sorted together; a larger bucket is sorted alone.
-SORTED_TOGETHER = 8 << 20
+SORTED_TOGETHER = 3 << 20
+#: A minimiser with more strings (of some 300 bytes) than are sorted together is split by window.
+HOT_STRINGS = SORTED_TOGETHER // 300
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.int64()))])
 
@@ -89,4 +91,4 @@ def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
     Null counts as empty.  Repeated rows repeat each other's strings, whatever
     their doc_ids, null ones too.  An empty table gives no rows.
     """
-    return sk.apply(docs, SHAPE, False, _bucket, _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>")
+    return sk.apply(docs, SHAPE, False, _bucket, _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>", HOT_STRINGS)

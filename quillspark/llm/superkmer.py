@@ -258,7 +258,7 @@ def _hot_runs(strings: DataFrame, shape: Shape) -> DataFrame:
     return lists.mapInArrow(_as_runs, _RUNS_DDL)
 
 
-def gather(rows: DataFrame, shape: Shape, across: bool, bucket: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+def gather(rows: DataFrame, shape: Shape, across: bool, bucket: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], hot_strings: int | None = None) -> DataFrame:
     """row and its list of (starts, offset, length): windows that ``bucket`` finds repeated.
 
     ``bucket`` turns a partition of packed strings, sorted by key and string,
@@ -268,7 +268,7 @@ def gather(rows: DataFrame, shape: Shape, across: bool, bucket: Callable[[Iterat
     bitmap = spark.sparkContext.broadcast(repeated_minimisers(rows, shape, across))
     emitted = stage(rows.mapInArrow(lambda it: _emit(it, shape, bitmap.value), _EMIT_DDL), "superkmers")
     strings = emitted.filter("packed is not null").select("key", "sid", "owner", "n", "times", "packed")
-    limit = max(HOT_STRINGS, strings.count() // HOT_SHARE)
+    limit = max(HOT_STRINGS if hot_strings is None else hot_strings, strings.count() // HOT_SHARE)
     # at most HOT_SHARE keys can be over the limit
     hot = [r[0] for r in strings.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("key").collect()]
     cold = strings.filter(~F.col("key").isin(hot)) if hot else strings
@@ -293,11 +293,11 @@ def covered(runs: list[dict] | None, size: int, width: int) -> np.ndarray:
     return bk.ranges_to_mask(start, start + length + width - 1, size)
 
 
-def apply(docs: DataFrame, shape: Shape, across: bool, bucket: Callable, finish: Callable, ddl: str) -> DataFrame:
+def apply(docs: DataFrame, shape: Shape, across: bool, bucket: Callable, finish: Callable, ddl: str, hot_strings: int | None = None) -> DataFrame:
     """Join each text with its runs and let ``finish`` write the result."""
     session(docs)
     rows = id_text(docs).withColumn("row", F.xxhash64("doc_id", "text"))
-    found = gather(rows, shape, across, bucket)
+    found = gather(rows, shape, across, bucket, hot_strings)
     # the runs are the smaller side: hashing them spares a sort of the texts
     joined = rows.join(found.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(finish, ddl)

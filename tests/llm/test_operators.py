@@ -97,6 +97,7 @@ def test_repeated_bytes(spark, rows):
 @pytest.mark.parametrize("limit", [0, 3])
 def test_hot_minimisers(spark, monkeypatch, limit):
     monkeypatch.setattr("quillspark.llm.superkmer.HOT_STRINGS", limit)
+    monkeypatch.setattr("quillspark.llm.substring_bytes.HOT_STRINGS", limit)
     clean = [r for r in awkward() if r[0] != 3]
     same(remove_repeated_windows(frame(spark, clean)), ["doc_id", "n_words", "n_removed", "kept_sha256"], brute.repeated_words(clean))
     same(remove_repeated_bytes(frame(spark, clean)), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.repeated_bytes(clean))
