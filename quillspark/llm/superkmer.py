@@ -36,8 +36,10 @@ MAX_BITMAP_BITS = 28
 _BLOCK_BITS = 20
 #: Packed strings that a task holds before it passes them on.
 HELD_BYTES = 48 << 20
-#: A minimiser with more strings than this, and than this share of all, is split by window.
-HOT_STRINGS, HOT_SHARE = 500, 2000
+#: A minimiser with more strings than this is split by window, at any corpus size.
+HOT_STRINGS = 500
+#: Split minimisers that are broadcast (1 MB), at most; more are joined by key.
+MAX_HOT_BROADCAST = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -268,14 +270,15 @@ def gather(rows: DataFrame, shape: Shape, across: bool, bucket: Callable[[Iterat
     bitmap = spark.sparkContext.broadcast(repeated_minimisers(rows, shape, across))
     emitted = stage(rows.mapInArrow(lambda it: _emit(it, shape, bitmap.value), _EMIT_DDL), "superkmers")
     strings = emitted.filter("packed is not null").select("key", "sid", "owner", "n", "times", "packed")
-    limit = max(HOT_STRINGS if hot_strings is None else hot_strings, strings.count() // HOT_SHARE)
-    # at most HOT_SHARE keys can be over the limit
-    hot = [r[0] for r in strings.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("key").collect()]
-    cold = strings.filter(~F.col("key").isin(hot)) if hot else strings
+    limit = HOT_STRINGS if hot_strings is None else hot_strings
+    hot = stage(strings.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("key"), "hot")
+    n_hot = hot.count()
+    keys = F.broadcast(hot) if n_hot <= MAX_HOT_BROADCAST else hot
+    cold = strings.join(keys, "key", "left_anti") if n_hot else strings
     dealt = cold.repartition(partitions(spark), "key").sortWithinPartitions("key", "sid")
     runs = dealt.mapInArrow(bucket, _RUNS_DDL)
-    if hot:
-        runs = runs.union(_hot_runs(strings.filter(F.col("key").isin(hot)), shape))
+    if n_hot:
+        runs = runs.union(_hot_runs(strings.join(keys, "key", "left_semi"), shape))
     places = emitted.filter("packed is null").select("key", "sid", "owner", "row", "starts")
     hits = places.join(runs, ["key", "sid"])
     if across:

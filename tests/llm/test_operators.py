@@ -94,8 +94,9 @@ def test_repeated_bytes(spark, rows):
     same(remove_repeated_bytes(frame(spark, rows)), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.repeated_bytes(rows))
 
 
-@pytest.mark.parametrize("limit", [0, 3])
-def test_hot_minimisers(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "sent"), [(0, 1 << 17), (3, 1 << 17), (3, 0)])
+def test_hot_minimisers(spark, monkeypatch, limit, sent):
+    monkeypatch.setattr("quillspark.llm.superkmer.MAX_HOT_BROADCAST", sent)
     monkeypatch.setattr("quillspark.llm.superkmer.HOT_STRINGS", limit)
     monkeypatch.setattr("quillspark.llm.substring_bytes.HOT_STRINGS", limit)
     clean = [r for r in awkward() if r[0] != 3]
