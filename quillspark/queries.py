@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import chapters, files, html, text, urls
-from quillspark.operators import catalog, lifecycle, links
+from quillspark.operators import catalog, lifecycle, links, reports
+from quillspark.operators import records as desk
 from quillspark.plans import planner
 from quillspark.sources import catalogs, feeds
 
@@ -528,5 +529,131 @@ def profile_plan(spark, sf_dir):
     return planner.plan_jobs(j, b, profiles).select(F.col("book_id").alias("id"), "plan.target", "plan.page_pipeline", "plan.optimize")
 
 
+# ------------------------------------------------------ records and reports
+
+_NAMED = "SELECT r.file_id, r.book_id, r.state, 'file-' || r.file_id || '.epub' AS file_name, r.last_download_at FROM records r"
+
+
+def _named(spark, sf_dir):
+    return records(spark, sf_dir).withColumn("file_name", F.concat(F.lit("file-"), F.col("file_id").cast("string"), F.lit(".epub")))
+
+
+@query(f"""WITH {_BOOKS}, {_RECORDS}, n AS ({_NAMED}) SELECT n.file_id, coalesce(nullif(b.title, ''), n.file_name) AS title FROM n LEFT JOIN books b ON b.id = n.book_id
+  WHERE n.state = 'downloaded' AND (lower(n.file_name) LIKE '%1%' OR lower(coalesce(b.title, '')) LIKE '%1%') ORDER BY n.last_download_at DESC NULLS LAST, n.file_id LIMIT 10""")
+def download_list(spark, sf_dir):
+    return desk.download_list(_named(spark, sf_dir), books(spark, sf_dir), "downloaded", "1", per_page=10).select("file_id", "title")
+
+
+@query(f"WITH {_RECORDS} SELECT file_id FROM records ORDER BY coalesce(last_download_at, updated_at) NULLS FIRST, file_id LIMIT 30")
+def least_recent(spark, sf_dir):
+    return desk.least_recent(records(spark, sf_dir), 30).select("file_id")
+
+
+@query(f"WITH {_RECORDS} SELECT file_id, CASE book_id % 10 WHEN 0 THEN 'blocked' WHEN 1 THEN 'downloaded' ELSE state END AS state FROM records")
+def set_state(spark, sf_dir):
+    i = F.col("book_id")
+    changes = records(spark, sf_dir).filter(i % 10 < 2).select("book_id", F.when(i % 10 == 0, "blocked").otherwise("downloaded").alias("new_state"))
+    return desk.set_state(records(spark, sf_dir), changes.union(spark.createDataFrame([(-1, "deleted")], "book_id long, new_state string"))).select("file_id", "state")
+
+
+@query(f"WITH {_EVENTS} SELECT event_id FROM ev WHERE file_id % 3 > 0")
+def forget_events(spark, sf_dir):
+    log = events(spark, sf_dir)
+    return desk.forget(records(spark, sf_dir), log, log.filter("file_id % 3 = 0"))[1].select("event_id")
+
+
+@query(f"""WITH {_BOOKS} SELECT id AS origin_book_id, CASE WHEN id % 2 = 0 THEN 'New ' || id ELSE title END AS title, author, series, coalesce(nullif((id % 4)::DOUBLE, 0), series_index) AS series_index, category_id, 'kobo' AS device_profile,
+  lower(CASE WHEN id % 2 = 0 THEN 'New ' || id ELSE title END) AS sort_title, CASE WHEN id % 2 = 0 THEN 'New ' || id ELSE title END || ' [kobo].epub' AS file_name, 'import' AS source, false AS is_original FROM books WHERE id % 3 = 0""")
+def derived_rows(spark, sf_dir):
+    i = F.col("id")
+    all_books = books(spark, sf_dir)
+    made = all_books.filter(i % 3 == 0).select(i.alias("origin_id"), F.lit("kobo").alias("device_profile"), F.lit("epub").alias("format"), F.when(i % 2 == 0, F.concat(F.lit("New "), i.cast("string"))).otherwise("").alias("title"), (i % 4).cast("double").alias("series_index"))
+    return desk.derived(made, all_books).drop("language", "description", "format")
+
+
+@query(f"WITH {_BOOKS} SELECT o_orderkey AS request_id, o_custkey AS book_id, 'pending' AS status, 0 AS progress FROM orders WHERE o_custkey IN (SELECT id FROM books)")
+def enqueue_known(spark, sf_dir):
+    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("book_id"))
+    return desk.enqueue(wanted, books(spark, sf_dir), NOW).select("request_id", "book_id", "status", "progress")
+
+
+@query(f"""WITH {_BOOKS}, {_RECORDS} SELECT o_orderkey AS request_id, CASE WHEN b.id IS NULL THEN 'unknown' WHEN EXISTS (SELECT 1 FROM records r WHERE r.book_id = b.id AND r.state IN ('blocked', 'deleted')) THEN 'hidden'
+  WHEN b.id % 13 = 0 THEN 'invalid path' WHEN b.id % 4 = 1 THEN 'missing' ELSE 'ok' END AS outcome FROM orders LEFT JOIN books b ON b.id = o_custkey""")
+def delivery_outcome(spark, sf_dir):
+    i = F.col("id")
+    shelved = books(spark, sf_dir).withColumn("file_path", F.concat(F.when(i % 13 == 0, "../").otherwise("shelf/"), i.cast("string")))
+    files_ = shelved.filter(i % 4 != 1).select(F.col("file_path").alias("path"))
+    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("book_id"))
+    return desk.delivery(wanted, shelved, records(spark, sf_dir), files_).select("request_id", "outcome")
+
+
+@query("""SELECT n_name AS slug, CASE WHEN n_nationkey < 15 AND (n_nationkey < 5 OR n_nationkey % 2 = 0) THEN 'code ' || n_nationkey ELSE 'own' END AS name, n_nationkey < 5 OR n_nationkey % 2 = 0 AS builtin FROM nation""")
+def profile_sync(spark, sf_dir):
+    k = F.col("n_nationkey")
+    nation = table(spark, sf_dir, "nation")
+    stored = nation.filter(k >= 5).select(F.col("n_name").alias("slug"), F.lit("own").alias("name"), F.lit("{}").alias("spec"), (k % 2 == 0).alias("builtin"))
+    code = nation.filter(k < 15).select(F.col("n_name").alias("slug"), F.concat(F.lit("code "), k.cast("string")).alias("name"), F.lit("{}").alias("spec"))
+    return desk.sync_profiles(stored, code).select("slug", "name", "builtin")
+
+
+@query("SELECT page_id AS request_id, page_id = min(page_id) OVER (PARTITION BY url) AND url NOT IN (SELECT url FROM pages WHERE page_id % 4 = 0) AS created FROM pages")
+def feed_conflicts(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("request_id"), "url")
+    return desk.create_feeds(pages.filter("request_id % 4 = 0").select("url"), pages).select("request_id", "created")
+
+
+@query("SELECT feed_id, book_id FROM (SELECT page_id % 5 AS feed_id, page_id AS book_id, row_number() OVER (PARTITION BY page_id % 5 ORDER BY length(html) DESC, url DESC) AS n FROM pages) WHERE n <= 7")
+def latest_items(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 5).alias("feed_id"), F.col("url").alias("guid"), F.col("page_id").alias("book_id"), F.length("html").alias("added_at"))
+    return desk.latest_items(rows, 7).select("feed_id", "book_id")
+
+
+@query(f"""WITH h AS (SELECT page_id, split_part({_NORMAL}, '/', 1) AS host FROM pages), f AS (SELECT host, min(page_id) AS feed_id FROM h WHERE page_id % 3 = 0 GROUP BY host)
+  SELECT page_id, feed_id, (feed_id % 7)::BIGINT AS category_id FROM h LEFT JOIN f USING (host)""")
+def feed_defaults(spark, sf_dir):
+    host = F.split_part(urls.normal_form("url"), F.lit("/"), F.lit(1))
+    posts = table(spark, sf_dir, "pages").select("page_id", host.alias("host"))
+    sources = posts.filter("page_id % 3 = 0").select(F.col("page_id").alias("id"), "host", (F.col("page_id") % 7).alias("category_id"))
+    return desk.feed_defaults(posts, sources).drop("host")
+
+
+@query(f"""WITH {_BOOKS}, f AS (SELECT id, sha256(description) AS h, CASE WHEN format = 'mobi' THEN 'skipped' WHEN coalesce(file_size, 0) < 20 THEN 'error' END AS bad FROM books WHERE description IS NOT NULL),
+  o AS (SELECT coalesce(bad, CASE WHEN h IN (SELECT h FROM f WHERE id % 9 = 0) OR id <> min(id) FILTER (WHERE bad IS NULL) OVER (PARTITION BY h) THEN 'duplicate' ELSE 'imported' END) AS outcome FROM f)
+  SELECT s AS outcome, count(o.outcome) AS n FROM (VALUES ('imported'), ('duplicate'), ('skipped'), ('error')) v(s) LEFT JOIN o ON o.outcome = s GROUP BY s""")
+def import_counts(spark, sf_dir):
+    found = books(spark, sf_dir).filter("description IS NOT NULL").select(F.col("id").alias("file_id"), "format", "file_size", F.sha2("description", 256).alias("content_hash"))
+    outcomes = reports.import_outcomes(found, found.filter("file_id % 9 = 0"), F.col("format") != "mobi", F.coalesce("file_size", F.lit(0)) < 20)
+    return reports.import_counts(outcomes)
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (ORDER BY page_id) AS n FROM pages) SELECT ['article', 'podcast', 'ebook'][page_id % 3 + 1] AS kind, count(*) AS n, count(*) FILTER (WHERE n <= 10) AS sampled FROM r WHERE n <= 200 GROUP BY 1")
+def kinds_of_feed(spark, sf_dir):
+    entries = table(spark, sf_dir, "pages").select("page_id", _pick(["article", "podcast", "ebook"], F.col("page_id") % 3).alias("kind"))
+    return reports.kinds_of_feed(entries, "page_id")
+
+
+@query("SELECT i AS id, count(page_id) AS items, count(CASE WHEN page_id % 2 = 0 THEN 1 END) AS books FROM range(7) t(i) LEFT JOIN pages ON page_id % 5 = i GROUP BY i")
+def feed_counts(spark, sf_dir):
+    rows = items(spark, sf_dir).withColumn("book_id", F.when(F.col("book_id") % 2 == 0, F.col("book_id")))
+    return reports.feed_counts(spark.range(7), rows)
+
+
+@query(f"WITH {_FEEDS}, e AS (SELECT id FROM feeds WHERE cleanup_enabled AND cleanup_days > 0), p AS (SELECT length(html) AS size, page_id % 2 = 0 AS done FROM pages WHERE page_id % 5 IN (SELECT id FROM e)) SELECT (SELECT count(*) FROM e) AS feeds, count(*) FILTER (WHERE done) AS removed, coalesce(sum(size) FILTER (WHERE done), 0)::BIGINT AS freed, count(*) FILTER (WHERE NOT done) AS skipped FROM p")
+def retention_totals(spark, sf_dir):
+    removed = table(spark, sf_dir, "pages").select((F.col("page_id") % 5).alias("feed_id"), (F.col("page_id") % 2 == 0).alias("done"), F.length("html").alias("freed"))
+    return reports.retention_totals(feed_table(spark), removed)
+
+
+@query(f"WITH {_BOOKS} SELECT count(format) AS books, least(count(DISTINCT author), 500) AS author, least(count(DISTINCT series), 500) AS series, (SELECT count(*) FROM region) AS categories FROM books")
+def key_figures(spark, sf_dir):
+    return reports.key_figures(books(spark, sf_dir), table(spark, sf_dir, "region"))
+
+
+@query()
+def progress_writes(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), (F.col("event_id") % 101).cast("int").alias("percent"))
+    return desk.progress_writes(log)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_page(spark, sf_dir)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quillspark import queries
-from quillspark.functions import chapters, files, html, text, urls
+from quillspark.functions import chapters, files, html, lines, text, urls
 from quillspark.operators import catalog, lifecycle, links
+from quillspark.operators import records as desk
 from quillspark.plans import planner
 from quillspark.sources import catalogs, feeds
 from quillspark.sources import files as file_sources
@@ -243,3 +244,30 @@ def test_pages_cover_the_result(spark):
     found = [r.id for n in (1, 2, 3) for r in catalog.page(books, catalog.BookQuery(sort="size_desc", per_page=70, page=n))[0].collect()]
     assert sorted(found) == sorted(r.id for r in books.select("id").collect()) and len(set(found)) == len(found)
     assert catalog.page(books.limit(0), q)[1].first().pages == 1
+
+
+def test_progress_writes(spark):
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [(1, t(0), 0, 2), (1, t(0), 1, 4), (1, t(0.5), 2, 20), (1, t(1), 3, 8), (1, t(1), 4, 9), (1, t(1.1), 5, 100), (1, t(1.2), 6, 100), (2, t(0), 0, 5), (2, t(9), 1, 9), (None, t(0), 0, 50), (2, t(9), 2, None)]
+    found = desk.progress_writes(spark.createDataFrame(rows, "job_id long, at timestamp, seq long, percent int"))
+    assert sorted((r.job_id, r.seq) for r in found.collect()) == [(1, 1), (1, 4), (1, 5), (1, 6), (2, 0)]
+
+
+def test_gutters(spark):
+    two = [("d", 1, x, y, x + 180.0) for x in (50.0, 300.0) for y in range(0, 200, 20)]
+    one_column = [("d", 2, 50.0, y, 480.0) for y in range(0, 200, 20)]
+    found = lines.gutters(spark.createDataFrame([*two, *one_column], "doc string, page int, x0 double, y0 long, x1 double"))
+    at = {r.page: r.gutter for r in found.collect()}
+    assert at[2] is None and 230 < at[1] < 300
+
+
+def test_merge_pages(spark):
+    rows = [("d", 0, 1, "head", "Title"), ("d", 1, 1, "para", "An exam-"), ("d", 2, 2, "para", "ple that goes"), ("d", 3, 3, "para", "on. It ends."), ("d", 4, 3, "para", "next"), ("d", 5, 4, "para", "Upper"), ("d", 6, 4, "para", "Co-"), ("d", 7, 5, "para", "Op")]
+    found = lines.merge_pages(spark.createDataFrame(rows, "doc string, n int, page int, kind string, text string")).orderBy("n").collect()
+    assert [(r.n, r.page, r.text) for r in found] == [(0, 1, "Title"), (1, 1, "An example that goes on. It ends."), (4, 3, "next"), (5, 4, "Upper"), (6, 4, "Co- Op")]
+
+
+def test_profiles_and_names(spark):
+    stored = spark.createDataFrame([("a", "A", "{}", True), ("b", "B", "{}", False)], "slug string, name string, spec string, builtin boolean")
+    both = spark.createDataFrame([("a",), ("b",), ("c",)], "slug string")
+    assert [r.slug for r in desk.delete_profiles(stored, both).collect()] == ["a"]
