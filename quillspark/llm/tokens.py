@@ -9,8 +9,9 @@ Texts that the short cut might not treat exactly are encoded whole.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ MEMORY = 400_000
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Only characters below U+0250 with no white space or control among them: NFC leaves these as they are.
 _PLAIN = re.compile(r"[!-~¡-ɏ]*\Z")
-#: Lower case that depends on the place in a word, and strings that may be special tokens.
-_ODD = re.compile("[İΣ]|<\\|")
+#: Lower case that depends on the place in a word, and the start of strings that may be special tokens.
+_ODD = ("<|", "İ", "Σ")
 
 
 def vocabulary() -> str:
@@ -42,6 +43,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Memory(dict):
+    """What ``find`` returned for a key, forgotten all at once when there are too many."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.find(key)
+        if len(self) >= MEMORY:
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Encoder:
     """Documents to little-endian unsigned 32-bit ids."""
 
@@ -49,39 +65,29 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary())
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {"": b""}
+        self.words, self.chunks = _Memory(self._word), _Memory(self._chunk)
         self.letters = _byte_letters()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], dtype="<u4").tobytes()
-            if len(self.words) >= MEMORY:
-                self.words.clear()
-            self.words[word] = found
-        return found
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        found = b"".join(map(self._word, _WORD.findall(chunk))) if _PLAIN.match(chunk) else self.whole(chunk)
-        if len(self.chunks) >= MEMORY:
-            self.chunks = {"": b""}
-        self.chunks[chunk] = found
-        return found
+        if chunk.isascii():  # most chunks are one word, or one with a mark
+            if chunk.isalpha():
+                return self.words[chunk]
+            if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+                return self.words[chunk[:-1]] + self.words[chunk[-1]]
+        return b"".join(map(self.words.__getitem__, _WORD.findall(chunk))) if _PLAIN.match(chunk) else self.whole(chunk)
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if any(odd in text for odd in _ODD):
             return self.whole(text)
-        get, out = self.chunks.get, []
-        for chunk in text.lower().replace("\n", " ").split(" "):
-            found = get(chunk)
-            out.append(self._chunk(chunk) if found is None else found)
-            get = self.chunks.get
-        return b"".join(out)
+        return b"".join(map(self.chunks.__getitem__, text.lower().replace("\n", " ").split(" ")))
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])

@@ -19,6 +19,7 @@ from quillspark.llm.simhash import drop_near_copies, link_cell, manhattan, near_
 from quillspark.llm.substring_bytes import remove_repeated_bytes
 from quillspark.llm.substring_words import remove_repeated_windows
 from quillspark.llm.suffixsort import repeated_starts, suffix_order
+from quillspark.llm.tokens import Encoder
 
 SMALL = "/root/testdata/sf0.001"
 DDL = "doc_id long, text string, lang string, source string, n_chars long, digest string, row long, key string, fp long"
@@ -234,6 +235,15 @@ def test_matrix_round_trip(spark, rows, tokenizer):
     assert not found
 
 
+def test_encoder_is_exact():
+    encoder = Encoder()
+    pool = "abzABZÄßéÉıſKÅǅ'sтЖΔσΣİ<|>09_-.,!\n\t   \u0301\u0308\u200b中文\x1c\x85\r"
+    dice = random.Random(5)
+    for _ in range(3000):
+        text = "".join(dice.choice(pool) for _ in range(dice.randint(0, 25)))
+        assert encoder.encode(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 def test_bins():
     rng = random.Random(6)
     for _ in range(20):
