@@ -13,11 +13,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import chapters, files, html, text, urls
+from quillspark.functions import chapters, files, html, lines, text, urls
 from quillspark.operators import catalog, lifecycle, links, reports
 from quillspark.operators import records as desk
 from quillspark.plans import planner
+from quillspark.sources import books as containers
 from quillspark.sources import catalogs, feeds
+from quillspark.sources import files as file_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -655,5 +657,93 @@ def progress_writes(spark, sf_dir):
     return desk.progress_writes(log)
 
 
+# ------------------------------------------------------- pages and containers
+
+_LINES = """lines AS (SELECT doc_id AS doc, (n // 4)::INT AS page, n AS line, t AS text, n % 4 IN (0, 3) AS edge, 10.0 + (length(t) + n) % 6 AS size, n % 2 = 0 AS bold, CASE WHEN n % 3 = 0 THEN 'B' ELSE 'A' END AS font
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents))"""
+
+
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as if laid out four to a page."""
+    n = F.col("line")
+    split = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    top = (n % 4) * F.lit(30.0)
+    return split.select(
+        "doc", F.floor(n / 4).cast("int").alias("page"), n.cast("long").alias("line"), "text", lines.at_edge(top, top + 10, F.lit(100.0)).alias("edge"), (F.lit(10.0) + (F.length("text") + n) % 6).alias("size"),
+        (n % 2 == 0).alias("bold"), F.when(n % 3 == 0, "B").otherwise("A").alias("font"),
+    )
+
+
+@query(rf"WITH {_LINES}, k AS (SELECT *, lower(trim(regexp_replace(text, '\d+', '', 'g'))) AS key FROM lines), c AS (SELECT doc, key, count(*) AS repeats FROM k WHERE edge AND length(key) BETWEEN 2 AND 80 GROUP BY doc, key), p AS (SELECT doc, count(DISTINCT page) AS pages FROM k GROUP BY doc) SELECT doc, line, coalesce(repeats >= greatest(2, floor(pages * 0.4)), false) OR (edge AND regexp_matches(text, '(?i)^\s*[-–—]?\s*(?:\d{{1,4}}|[ivxlcdm]{{1,7}})\s*[-–—]?\s*$')) AS header FROM k JOIN p USING (doc) LEFT JOIN c USING (doc, key)")
+def page_headers(spark, sf_dir):
+    return chapters.running_headers(text_lines(spark, sf_dir)).select("doc", "line", "header")
+
+
+@query(rf"""WITH {_LINES}, w AS (SELECT *, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t, size / 10.0 AS ratio FROM lines), l AS (SELECT *, len(regexp_split_to_array(t, '\s+')) AS words, regexp_replace(regexp_extract(t, '^\S+'), '[.)]+$', '') AS label FROM w)
+SELECT doc, line, CASE WHEN t = '' OR length(t) > 90 OR words > 16 OR regexp_matches(t, '[.,;]$') THEN 0 WHEN regexp_matches(t, '{lines.NUMBERED}') THEN least(3, length(label) - length(replace(label, '.', '')) + 1)
+  WHEN lower(trim(t, '.:')) IN ({", ".join(f"'{x}'" for x in lines.TITLE_WORDS)}) OR (length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) >= 3 AND words <= 6 AND t = upper(t)) THEN CASE WHEN ratio >= 1.05 THEN 1 ELSE 2 END
+  WHEN ratio >= 1.35 AND words <= 12 THEN 1 WHEN ratio >= 1.12 AND words <= 12 THEN 2 WHEN bold AND ratio >= 1.04 AND words <= 12 AND font <> 'A' THEN 2 ELSE 0 END AS level FROM l""")
+def heading_levels(spark, sf_dir):
+    level = lines.heading_level(F.col("text"), F.col("size"), F.col("bold"), F.col("font"), F.lit(10.0), F.lit("A"))
+    return text_lines(spark, sf_dir).select("doc", "line", level.alias("level"))
+
+
+@query(f"""WITH {_LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY size DESC, page, line) AS r FROM lines WHERE page <= 1 AND trim(text) <> '' AND length(text) <= 200)
+SELECT doc, coalesce(a.text, '') AS title, CASE WHEN b.size >= 0.7 * a.size THEN b.text ELSE '' END AS author FROM (SELECT DISTINCT doc FROM lines) LEFT JOIN (SELECT * FROM r WHERE r = 1) a USING (doc) LEFT JOIN (SELECT * FROM r WHERE r = 2) b USING (doc)""")
+def front_matter(spark, sf_dir):
+    return lines.front_matter(text_lines(spark, sf_dir))
+
+
+_BOXES = """boxes AS (SELECT l_orderkey AS doc, (l_partkey % 300)::DOUBLE AS x0, (l_partkey % 300 + l_quantity * 6)::DOUBLE AS x1, (l_suppkey * 7 % 700)::DOUBLE AS y0, (l_suppkey * 7 % 700 + 10)::DOUBLE AS y1, l_linenumber AS line, CASE WHEN l_orderkey % 4 > 0 THEN 300.0::DOUBLE END AS gutter FROM lineitem)"""
+
+
+@query(f"""WITH {_BOXES}, g AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY doc) >= 6 THEN gutter END AS g FROM boxes), w AS (SELECT *, coalesce(x0 < g - 2 AND x1 > g + 2, false) AS wide FROM g),
+b AS (SELECT *, (SELECT count(*) FROM w v WHERE v.doc = w.doc AND v.wide AND v.y1 <= w.y0 + 0.1)::INT AS band, CASE WHEN wide OR g IS NULL OR (x0 + x1) / 2 < g THEN 0 ELSE 1 END AS side FROM w)
+SELECT doc, line, band, side, row_number() OVER (PARTITION BY doc ORDER BY band, NOT wide, side, y0, x0, line) AS place FROM b""")
+def reading_order(spark, sf_dir):
+    k, top = F.col("l_partkey") % 300, F.col("l_suppkey") * 7 % 700
+    boxes = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), k.cast("double").alias("x0"), (k + F.col("l_quantity") * 6).cast("double").alias("x1"), top.cast("double").alias("y0"), (top + 10).cast("double").alias("y1"),
+        F.col("l_linenumber").alias("line"), F.when(F.col("l_orderkey") % 4 > 0, F.lit(300.0)).alias("gutter"),
+    )
+    return lines.reading_order(boxes).select("doc", "line", "band", "side", "place")
+
+
+@query()
+def plain_chapters(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chapters.plain_chapters(F.col("text"))).alias("chapter", "c"))
+    return docs.select("doc_id", "chapter", "c.title", "c.body")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'Doc ' || doc_id ELSE source END AS title, source AS series, (doc_id % 20 + 1)::DOUBLE AS series_index, lang AS language, 1.0::DOUBLE AS page_count, CASE WHEN doc_id % 2 = 0 THEN 'rtl' END AS reading_direction FROM documents")
+def comic_round_trip(spark, sf_dir):
+    """Comic archives of documents, read again; a comic without a title has that of its series."""
+    i = F.col("doc_id")
+    text_of = lambda c: F.col(c).cast("string")
+    about = F.struct(F.when(i % 3 > 0, F.concat(F.lit("Doc "), i.cast("string"))).alias("title"), text_of("source").alias("series"), (i % 20 + 1).cast("double").alias("series_index"), text_of("lang").alias("language"), F.when(i % 2 == 0, "rtl").alias("reading_direction"))
+    page = F.array(F.struct(F.lit("p.PNG").alias("name"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")))
+    read = table(spark, sf_dir, "documents").select("doc_id", containers.comic_metadata(containers.comic_archive(page, about)).alias("m"))
+    return read.select("doc_id", *(f"m.{c}" for c in ("title", "series", "series_index", "language", "page_count", "reading_direction")))
+
+
+def _two_chapters():
+    chapter = lambda title, body: F.struct(F.lit(title).alias("title"), F.concat(F.lit("<p>"), body, F.lit("</p>")).alias("body"))
+    return F.array(chapter("One", F.concat(F.lit("row "), F.col("doc_id").cast("string"))), chapter("Two & last", F.col("lang").cast("string")))
+
+
+@query("SELECT doc_id, k::INT AS place, 'c' || k || '.xhtml' AS key, ['One', 'Two & last'][k + 1] AS title, 1 AS level FROM documents, range(2) t(k)")
+def epub_contents(spark, sf_dir):
+    made = file_sources.epub(F.col("source"), F.lit("A"), F.col("lang"), _two_chapters())
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(containers.epub_contents(made)).alias("place", "c"))
+    return rows.select("doc_id", "place", "c.*")
+
+
+@query("SELECT doc_id, k::INT AS chapter, 'A B' AS author, ['One', 'Two & last'][k + 1] AS title, '<p>' || CASE WHEN k = 0 THEN 'row ' || doc_id ELSE lang END || '</p>' AS body FROM documents, range(2) t(k) WHERE lang IS NOT NULL")
+def fictionbook_round_trip(spark, sf_dir):
+    made = containers.fictionbook_file(F.col("source"), F.lit("A B"), F.col("lang"), _two_chapters())
+    rows = table(spark, sf_dir, "documents").filter("lang IS NOT NULL").select("doc_id", containers.fictionbook(made).alias("b"))
+    return rows.select("doc_id", F.col("b.author").alias("author"), F.posexplode("b.chapters").alias("chapter", "c")).select("doc_id", "chapter", "author", "c.title", "c.body")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_page(spark, sf_dir)

@@ -14,6 +14,7 @@ from quillspark.operators import catalog, lifecycle, links
 from quillspark.operators import records as desk
 from quillspark.plans import planner
 from quillspark.sources import catalogs, feeds
+from quillspark.sources import books as containers
 from quillspark.sources import files as file_sources
 from quillspark.streaming import ingest
 
@@ -116,10 +117,11 @@ def test_text_chapters(spark):
 
 def test_pdf_lines(spark):
     rows = [(1, p, 0.0, y, w, y + 10, 10.0, "f", t) for p in (1, 2, 3) for y, w, t in ((0.0, 50.0, f"Header {p}"), (40.0, 100.0, f"alpha {chr(96 + p)}"), (52.0, 100.0, f"beta {chr(96 + p)}"), (90.0, 100.0, f"gamma {chr(96 + p)}"))]
-    lines = spark.createDataFrame(rows, "doc int, page int, x0 double, y0 double, x1 double, y1 double, size double, font string, text string")
+    frame = spark.createDataFrame(rows, "doc int, page int, x0 double, y0 double, x1 double, y1 double, size double, font string, text string")
+    lines = frame.withColumn("edge", F.col("y0") < 10)
     assert {r.text for r in chapters.running_headers(lines).filter("header").collect()} == {"Header 1", "Header 2", "Header 3"}
     assert tuple(chapters.body_font(lines).first()) == (1, 10.0, "f")
-    # the short header ends its paragraph; no gap is wide against the page's median of 28
+    # the short header ends its paragraph; no step is wide against the page's median of 38
     assert len({(r.page, r.paragraph) for r in chapters.paragraph_numbers(lines).collect()}) == 6
 
 
@@ -271,3 +273,77 @@ def test_profiles_and_names(spark):
     stored = spark.createDataFrame([("a", "A", "{}", True), ("b", "B", "{}", False)], "slug string, name string, spec string, builtin boolean")
     both = spark.createDataFrame([("a",), ("b",), ("c",)], "slug string")
     assert [r.slug for r in desk.delete_profiles(stored, both).collect()] == ["a"]
+
+
+def test_headers_need_an_edge(spark):
+    rows = [(1, p, t, edge) for p in range(5) for t, edge in ((f"Part {p}", True), ("inside", False), ("Part", False), ("12", False), (str(p), True), ("- xiv -", True))]
+    found = chapters.running_headers(spark.createDataFrame(rows, "doc int, page int, text string, edge boolean")).filter("header").collect()
+    assert {r.text for r in found} == {f"Part {p}" for p in range(5)} | {"Part", "- xiv -"} | {str(p) for p in range(5)}
+    few = chapters.running_headers(spark.createDataFrame(rows, "doc int, page int, text string, edge boolean"), spark.createDataFrame([(1, 90)], "doc int, pages int"))
+    assert {r.text for r in few.filter("header").collect()} == {"- xiv -"} | {str(p) for p in range(5)}
+
+
+def test_heading_levels(spark):
+    level = lambda t, size=10.0, bold=False, font="A": one(spark, lines.heading_level(F.lit(t).cast("string"), F.lit(size), F.lit(bold), F.lit(font), F.lit(10.0), F.lit("A")).alias("l"))[0]
+    assert [level("2.3.1.4 Deep part"), level("1) First"), level("Resumo:"), level("Resumo", 11.0), level("ALL CAPS"), level("plain words", 13.5), level("plain words", 11.3), level("plain words", 10.5, True, "B"), level("plain words", 10.5, True)] == [3, 1, 2, 1, 2, 1, 2, 2, 0]
+    assert [level("Ends.", 20.0), level("x" * 91, 20.0), level("a " * 17, 20.0), level(None), level("AB")] == [0, 0, 0, 0, 0]
+
+
+def test_spans_and_lines(spark):
+    rows = [(1, 0, 0, 0, 10.0, 5.0, 20.0, 15.0, 10.0, 0, "f", "codi", 100.0), (1, 0, 0, 1, 20.1, 5.0, 24.0, 15.0, 12.0, 16, "fi", "fi", 100.0), (1, 0, 0, 2, 24.2, 5.0, 40.0, 15.0, 10.0, 0, "f", "cador", 100.0), (1, 0, 0, 3, 45.0, 5.0, 60.0, 15.0, 10.0, 0, "f", " x  y ", 100.0), (1, 0, 1, 0, 0.0, 50.0, 9.0, 60.0, 10.0, 0, "f", "  ", 100.0)]
+    got = lines.page_lines(spark.createDataFrame(rows, "doc int, page int, line int, n int, x0 double, y0 double, x1 double, y1 double, size double, flags int, font string, text string, height double")).collect()
+    assert [(r.text, r.x0, r.x1, r.size, r.font, r.bold, r.edge) for r in got] == [("codificador x y", 10.0, 60.0, 12.0, "f", True, True)]
+
+
+def test_plain_chapters(spark):
+    text_of = lambda t: [(c["title"], c["body"]) for c in chapters.plain_markup(t)]
+    assert text_of(None) == [("Texto", "")] and text_of("Chapter 1\na") == [("Texto", "<p>Chapter 1</p>\n<p>a</p>")]
+    assert text_of("a\n\n<b>\nChapter 1\nx\n1.2 early\nPART TWO\ny") == [("Seção", "<p>a</p>\n<p>&lt;b&gt;</p>"), ("Chapter 1", "<h2>Chapter 1</h2>\n<p>x</p>\n<p>1.2 early</p>"), ("PART TWO", "<h2>PART TWO</h2>\n<p>y</p>")]
+    assert chapters.plain_cuts(["x"] * 7, 3) == [(0, 3, ""), (3, 6, ""), (6, 7, "")]
+
+
+def test_archives_and_comics(spark):
+    import io
+    import tarfile
+
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        for name in ("p10.png", "p2.png", "../up.png", "note.txt"):
+            t.addfile(tarfile.TarInfo(name), io.BytesIO(b""))
+    assert [n for n, _ in containers.members(out.getvalue())] == ["p2.png", "p10.png"]
+    made = containers.write_comic([("a.JPG", b"1"), ("b", b"2")], {"series": "S & T", "series_index": 3.0, "reading_direction": "rtl"})
+    assert [(n, d) for n, d in containers.members(made)] == [("00001.jpg", b"1"), ("00002.jpg", b"2")]
+    read = containers.read_comic(made)
+    assert (read["title"], read["series"], read["series_index"], read["page_count"], read["reading_direction"], read["author"]) == ("S & T", "S & T", 3.0, 2.0, "rtl", None)
+    rows = spark.createDataFrame([(bytearray(made),), (bytearray(b"junk"),), (None,)], "c binary").select(containers.comic_metadata("c").alias("m"), containers.archive_pages("c").alias("p"), containers.epub_contents("c").alias("t")).collect()
+    assert [r.m.series for r in rows] == ["S & T", None, None] and [r.p is None for r in rows] == [False, True, True] and [r.t for r in rows] == [None] * 3
+
+
+def test_fictionbook():
+    made = containers.write_fb2("T", "Ann B C", None, [("One", "<h2>In</h2><p>a <em>b</em> &amp; c</p>\x00"), ("", "")])
+    read = containers.read_fb2(made)
+    assert (read["title"], read["author"], read["language"]) == ("T", "Ann B C", "pt")
+    assert [(c["title"], c["body"]) for c in read["chapters"]] == [("One", "<p>In</p>\n<p>a b &amp; c</p>"), ("", "")]
+    nested = f'<FictionBook xmlns="{containers.FB2}" xmlns:l="http://www.w3.org/1999/xlink"><body><section><title><p>A</p><p>B</p></title><p>x<image l:href="#i"/>y</p><section><title><p>In</p></title><p>z</p></section></section></body><binary id="i" content-type="image/png">AA==</binary></FictionBook>'
+    assert [(c["title"], c["body"]) for c in containers.read_fb2(nested.encode())["chapters"]] == [("A B", '<p>x<img src="i.png" alt=""/>y</p>\n<h2>In</h2>\n<p>z</p>')]
+
+
+def test_epub_parts():
+    data = file_sources.write_epub("T", "A", "pt", [("One", "<p>First one. Second <b>bold</b> tail! End</p>"), ("Two", "<p></p>")])
+    assert containers.read_contents(data) == [{"key": "c0.xhtml", "title": "One", "level": 1}, {"key": "c1.xhtml", "title": "Two", "level": 1}]
+    assert [c["title"] for c in containers.read_chapters(data)] == ["One", "Two"]
+    made = containers.write_kepub(data)
+    with containers.zipfile.ZipFile(containers.io.BytesIO(made)) as z:
+        page, first = z.read("c0.xhtml").decode(), z.namelist()[0]
+    assert first == "mimetype" and [f'id="kobo.2.{k}"' in page for k in range(1, 6)] == [True] * 5 and 'id="kobo.2.6"' not in page and "<b>bold</b>" in page
+    ncx = b'<ncx xmlns="n"><navMap><navPoint><navLabel><text>P</text></navLabel><content src="a.html"/><navPoint><navLabel><text>Q</text></navLabel><content src="b.html"/></navPoint></navPoint></navMap></ncx>'
+    assert list(containers._ncx_links(containers.ElementTree.fromstring(ncx))) == [("a.html", "P", 0), ("b.html", "Q", 0)]
+
+
+def test_kindle_cover():
+    s = containers.struct
+    exth = b"EXTH" + s.pack(">II", 0, 2) + s.pack(">II", 100, 9) + b"x" + s.pack(">III", 201, 12, 0)
+    head = b"\0" * 16 + b"MOBI" + b"\0" * 20 + s.pack(">I", 96) + b"\0" * 56 + s.pack(">I", 0x40) + b"\0" * 12 + exth
+    base = 78 + 16
+    data = b"\0" * 60 + b"BOOKMOBI" + b"\0" * 8 + s.pack(">H", 2) + s.pack(">II", base, 0) + s.pack(">II", base + len(head), 0) + head + b"COVER"
+    assert containers.read_kindle_cover(data) == b"COVER" and containers.read_kindle_cover(b"x") is None
