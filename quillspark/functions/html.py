@@ -178,7 +178,7 @@ def read_page(html: str, url: str) -> dict:
 @vectorised(PAGE_DDL)
 def page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     """Metadata, consolidated chapters and images of each page; null html is an empty page."""
-    return pd.DataFrame([read_page(h or "", u or "") for h, u in zip(html, url, strict=True)], columns=["title", "date", "author", "publisher", "description", "tags", "language", "chapters", "images"])
+    return pd.DataFrame([read_page(h or "", u or "") for h, u in zip(html, url, strict=True)], columns=["title", "date", "author", "publisher", "description", "tags", "language", "chapters", "images"], dtype=object)
 
 
 def clean_css(css: Column | str) -> Column:

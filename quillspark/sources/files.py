@@ -83,7 +83,7 @@ def read_epub(data: bytes) -> dict:
 
 @vectorised(BOOK_DDL)
 def epub_metadata(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_epub(c) for c in content], columns=["title", "author", "language", "publisher", "description", "spine", "image_only"])
+    return pd.DataFrame([read_epub(c) for c in content], columns=["title", "author", "language", "publisher", "description", "spine", "image_only"], dtype=object)
 
 
 def write_epub(title: str, author: str, language: str, chapters: list[tuple[str, str]]) -> bytes:
