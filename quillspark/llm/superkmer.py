@@ -260,8 +260,13 @@ def _hot_runs(strings: DataFrame, shape: Shape) -> DataFrame:
     return lists.mapInArrow(_as_runs, _RUNS_DDL)
 
 
+def _who(column: str):
+    """With ``row``, a 64-bit hash of id and text, the id itself tells texts apart; null as the least long."""
+    return F.coalesce(F.col(column), F.lit(-(1 << 63)))
+
+
 def gather(rows: DataFrame, shape: Shape, across: bool, bucket: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], hot_strings: int | None = None) -> DataFrame:
-    """row and its list of (starts, offset, length): windows that ``bucket`` finds repeated.
+    """row, who and their list of (starts, offset, length): windows that ``bucket`` finds repeated.
 
     ``bucket`` turns a partition of packed strings, sorted by key and string,
     into runs of windows (``_RUNS_DDL``) with the least owner of each.
@@ -283,7 +288,7 @@ def gather(rows: DataFrame, shape: Shape, across: bool, bucket: Callable[[Iterat
     hits = places.join(runs, ["key", "sid"])
     if across:
         hits = hits.filter("owner > least")
-    return hits.groupBy("row").agg(F.collect_list(F.struct("starts", "offset", "length")).alias("runs"))
+    return hits.withColumn("who", _who("owner")).groupBy("row", "who").agg(F.collect_list(F.struct("starts", "offset", "length")).alias("runs"))
 
 
 def covered(runs: list[dict] | None, size: int, width: int) -> np.ndarray:
@@ -302,7 +307,7 @@ def apply(docs: DataFrame, shape: Shape, across: bool, bucket: Callable, finish:
     rows = id_text(docs).withColumn("row", F.xxhash64("doc_id", "text"))
     found = gather(rows, shape, across, bucket, hot_strings)
     # the runs are the smaller side: hashing them spares a sort of the texts
-    joined = rows.join(found.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "runs")
+    joined = rows.withColumn("who", _who("doc_id")).join(found.hint("shuffle_hash"), ["row", "who"], "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(finish, ddl)
 
 
