@@ -8,14 +8,15 @@ their own.
 ``best_fit_decreasing`` searches capacities with a segment tree.  ``improve``
 is the local search: it exchanges one piece for one, two for one, or moves a
 piece between underfull bins whenever that raises the sum of squared fills,
-and so drains the emptiest bins until they are gone.
+and so drains the emptiest bins until they are gone.  It ends where no such
+step is left between any two underfull bins of the shard.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,6 @@ from quillspark.llm.tokens import PIECES_DDL, SEQUENCE, pieces
 
 #: Bytes of text whose pieces make a shard: with token ids, and with lengths only.
 SHARD_BYTES, LIGHT_SHARD_BYTES = 8 << 20, 96 << 20
-#: Rounds of the local search over all underfull bins, at most.
-ROUNDS = 30
 
 
 class CapacityTree:
@@ -81,68 +80,136 @@ def best_fit_decreasing(lengths: list[int], capacity: int = SEQUENCE) -> list[li
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int = SEQUENCE, rounds: int = ROUNDS) -> list[list[int]]:
-    """Local search by moves and exchanges between underfull bins; never more bins than before."""
-    full = [b for b in bins if sum(lengths[i] for i in b) == capacity]
-    open_ = [list(b) for b in bins if sum(lengths[i] for i in b) < capacity]
-    fill = [sum(lengths[i] for i in b) for b in open_]
+class RoomIndex:
+    """Which open bins hold items of a length, or two items of a sum, and the most room among them.
 
-    def put(b: int, out: tuple[int, ...], in_: tuple[int, ...]) -> None:
-        for i in out:
-            open_[b].remove(i)
-        open_[b].extend(in_)
-        fill[b] += sum(lengths[i] for i in in_) - sum(lengths[i] for i in out)
+    ``reach[k]`` is that room plus k: a bin can give k and take s for it if
+    ``k < s <= reach[k]``.  Entries of bins that have changed since are dropped
+    when they come to the top.
+    """
 
-    def drain(b: int, targets: list[int]) -> bool:
-        """Shift length from bin b to fuller bins; each step raises the sum of squares."""
-        changed = False
-        for t in targets:
-            if t == b or not open_[b] or not open_[t] or fill[t] < fill[b]:
+    def __init__(self, capacity: int):
+        self.heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]
+        self.reach = np.zeros(capacity + 1, np.int64)
+        self.version: dict[int, int] = {}
+
+    def add(self, b: int, room: int, keys: set[int]) -> None:
+        for k in keys:
+            heappush(self.heaps[k], (-room, b, self.version.setdefault(b, 0)))
+            self._settle(k)
+
+    def remove(self, b: int, keys: set[int]) -> None:
+        self.version[b] = self.version.get(b, 0) + 1
+        for k in keys:
+            self._settle(k)
+
+    def _settle(self, k: int) -> None:
+        heap = self.heaps[k]
+        while heap and heap[0][2] != self.version[heap[0][1]]:
+            heappop(heap)
+        self.reach[k] = k - heap[0][0] if heap else 0
+
+    def least(self, s: int, low: int, high: int) -> int | None:
+        """The least k in low..high-1 that some bin can give for s."""
+        if low >= high:
+            return None
+        k = int((self.reach[low:high] >= s).argmax()) + low
+        return k if self.reach[k] >= s else None
+
+    def bin(self, k: int) -> int:
+        return self.heaps[k][0][1]
+
+
+def improve(bins: list[list[int]], lengths: list[int], capacity: int = SEQUENCE) -> list[list[int]]:
+    """Local search by moves and exchanges between underfull bins; never more bins than before.
+
+    A pass goes through all underfull bins, the emptiest of those left first,
+    and shifts length from each to fuller bins until no move or exchange does
+    so; the bins left are all as full, so every pair is tried.  Passes end when
+    one gains nothing, or when there are as few bins as the lengths allow.
+    """
+    full, held = [], []  # item numbers of each underfull bin by length
+    for b in bins:
+        if sum(lengths[i] for i in b) == capacity:
+            full.append(b)
+            continue
+        held.append({})
+        for i in b:
+            held[-1].setdefault(lengths[i], []).append(i)
+    fill = [sum(n * len(of) for n, of in b.items()) for b in held]
+    fewest = -(-sum(fill) // capacity)
+    live = sum(f > 0 for f in fill)
+
+    def sums(b: int) -> set[int]:
+        sizes = sorted(held[b])
+        return {x + y for k, x in enumerate(sizes) for y in sizes[:k]} | {2 * x for x in sizes if len(held[b][x]) > 1}
+
+    def halves(b: int, total: int) -> tuple[int, int]:
+        return next((x, total - x) for x in sorted(held[b]) if total - x in held[b] and (2 * x != total or len(held[b][x]) > 1))
+
+    def shift(a: int, b: int, sizes: tuple[int, ...]) -> None:
+        for n in sizes:
+            held[b].setdefault(n, []).append(held[a][n].pop())
+            if not held[a][n]:
+                del held[a][n]
+        fill[a], fill[b] = fill[a] - sum(sizes), fill[b] + sum(sizes)
+
+    gained = True
+    while gained and live > fewest:
+        gained = False
+        # key 0 of ``ones``: a bin that gives nothing
+        ones, twos = RoomIndex(capacity), RoomIndex(capacity)
+        waiting = {b for b in range(len(held)) if 0 < fill[b] < capacity}
+        queue = sorted((fill[b], b) for b in waiting)
+
+        def enter(b: int) -> None:
+            ones.add(b, capacity - fill[b], {0, *held[b]})
+            twos.add(b, capacity - fill[b], sums(b))
+
+        def leave(b: int) -> None:
+            ones.remove(b, {0, *held[b]})
+            twos.remove(b, sums(b))
+
+        def step(b: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
+            """The fuller bin, what it gets and what it gives where most length is shifted."""
+            most, found, room = 0, None, int(ones.reach[0])
+            for s in sorted(held[b], reverse=True):
+                for index in (ones, twos):  # move, one for one, one for two
+                    if (k := index.least(s, max(0, s - room), s - most)) is not None:
+                        most, found = s - k, (index, (s,), k)
+            for s in sums(b):  # two for one
+                if (k := ones.least(s, max(1, s - room), min(s - most, capacity))) is not None:
+                    most, found = s - k, (ones, halves(b, s), k)
+            if found is None:
+                return None
+            index, mine, k = found
+            t = index.bin(k)
+            return t, mine, halves(t, k) if index is twos else (k,) if k else ()
+
+        for b in waiting:
+            enter(b)
+        while queue:
+            f, b = heappop(queue)
+            if b not in waiting or f != fill[b]:
                 continue
-            while open_[b] and (room := capacity - fill[t]):
-                mine = sorted((lengths[i], i) for i in open_[b])
-                theirs = sorted((lengths[i], i) for i in open_[t])
-                sizes = [n for n, _ in mine]
-                best, step = 0, None
-                if (k := bisect_right(sizes, room)) and sizes[k - 1] > best:  # move
-                    best, step = sizes[k - 1], ((mine[k - 1][1],), ())
-                for n, j in theirs:  # one for one
-                    k = bisect_right(sizes, room + n)
-                    if k and sizes[k - 1] - n > best:
-                        best, step = sizes[k - 1] - n, ((mine[k - 1][1],), (j,))
-                for x in range(len(mine)):  # two of mine for one of theirs
-                    for n, j in theirs:
-                        k = bisect_right(sizes, room + n - sizes[x], 0, x)
-                        if k and sizes[k - 1] + sizes[x] - n > best:
-                            best, step = sizes[k - 1] + sizes[x] - n, ((mine[x][1], mine[k - 1][1]), (j,))
-                given = [n for n, _ in theirs]
-                for y in range(len(theirs)):  # one of mine for two of theirs
-                    for n, i in mine:
-                        k = bisect_right(given, n - given[y] - 1, 0, y)
-                        low = bisect_right(given, n - given[y] - room - 1, 0, y)
-                        if low < k and n - given[y] - given[low] > best:
-                            best, step = n - given[y] - given[low], ((i,), (theirs[y][1], theirs[low][1]))
-                if step is None:
+            waiting.remove(b)
+            leave(b)
+            while (found := step(b)) is not None:
+                t, mine, theirs = found
+                leave(t)
+                shift(b, t, mine)
+                shift(t, b, theirs)
+                gained = True
+                if fill[t] < capacity:
+                    enter(t)
+                    heappush(queue, (fill[t], t))
+                else:
+                    waiting.remove(t)
+            if not fill[b]:
+                live -= 1
+                if live == fewest:
                     break
-                put(b, step[0], step[1])
-                put(t, step[1], step[0])
-                changed = True
-        return changed
-
-    for _ in range(rounds):
-        order = sorted((b for b in range(len(open_)) if open_[b]), key=lambda b: (fill[b], b))
-        slack = sum(capacity - fill[b] for b in order)
-        if len(order) < 2 or slack < fill[order[0]]:
-            break
-        targets = [b for b in reversed(order) if fill[b] < capacity]
-        changed = False
-        for b in order:
-            changed |= drain(b, targets)
-            if open_[b]:
-                break  # the emptiest bin that stays takes no more rounds than it gains
-        if not changed:
-            break
-    return full + [b for b in open_ if b]
+    return full + [[i for of in b.values() for i in of] for b in held if b]
 
 
 def shards(docs: DataFrame, shard_bytes: int) -> int:

@@ -261,6 +261,17 @@ def test_bins():
     assert tree.take(5) == (7, 2) and tree.take(5) is None and tree.take(1) == (4, 1)
 
 
+def test_bins_beside_a_stuck_one():
+    # 17 fits nowhere and exchanges with nothing until the two other bins exchange 46 for 39
+    assert len(improve([[0], [1, 2], [3, 4]], [17, 46, 40, 39, 52], 100)) == 2
+    rng = random.Random(1)
+    lengths = [rng.randint(400, 900) for _ in range(900)]
+    bins = best_fit_decreasing(lengths)
+    better = improve(bins, lengths)
+    assert sorted(i for b in better for i in b) == list(range(900)) and max(sum(lengths[i] for i in b) for b in better) <= 2048
+    assert len(bins) == 310 and len(better) <= 300
+
+
 def test_language(spark, rows):
     got = identify(frame(spark, rows)).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((d is None, d or 0) for d, _ in rows)
