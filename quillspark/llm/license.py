@@ -1,6 +1,11 @@
 """License scan: base phrases, and an exact set-similarity join with notice templates.
 
-Only DataFrame functions.  Blocks are the lines of a text.  A block and a
+Only DataFrame functions.  Blocks are the lines of a text, and for wrapped
+notices the runs of consecutive words, whatever the line breaks among them, of
+as many words as the template has.  A run within a line adds nothing to that
+line, and runs are no longer than the notice, so that prose beside a notice
+doesn't count towards another one.  Only texts that hold enough words of some
+template are cut into blocks.  A block and a
 template are sets of words; a block matches where it holds at least
 ``threshold`` of the template's words.  Words are put in one global order, the
 rarest over all blocks first.  With an overlap of ``a`` words needed, a match
@@ -16,11 +21,13 @@ from __future__ import annotations
 
 import re
 import string
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import id_text, session
+from quillspark.llm.common import id_text, session, stage
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -73,12 +80,21 @@ def base_places(rows: DataFrame, base: dict[str, str] = BASE) -> DataFrame:
 
 
 def template_matches(rows: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_key, block, label and containment of every block that meets the threshold."""
+    """doc_id, text_key, label and containment of lines, and of runs of words over line breaks, that meet the threshold."""
     spark = rows.sparkSession
     sets = [(label, sorted(set(words.split(" ")))) for label, words in templates]
     need = [-(-round(threshold * 1000) * len(t) // 1000) for _, t in sets]
     vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, t in sets for w in t})])
-    lines = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("block", "line"))
+    literals = [F.array(*map(F.lit, words)) for _, words in sets]
+
+    def reaches(found: Column) -> Column:
+        any_of = [F.size(F.array_intersect(found, t)) >= a for t, a in zip(literals, need, strict=True)]
+        return (F.size(found) >= min(need)) & reduce(or_, any_of)
+
+    # a text without enough of any template's words has no block with them; the lambda keeps the words from being cut for each template
+    hopeful = F.exists(F.array(F.array_intersect(_words(F.col("text")), vocabulary)), reaches)
+    near = stage(rows.filter(hopeful).select("doc_id", F.xxhash64("text").alias("text_key"), "text", _words(F.col("text")).alias("w")), "notices")
+    lines = near.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("block", "line"))
     blocks = lines.select("doc_id", "text_key", "block", F.array_intersect(_words(F.col("line")), vocabulary).alias("words")).filter(F.size("words") >= min(need))
     # one row for each word of the templates: small, whatever the corpus
     seen = {r[0]: r[1] for r in blocks.select(F.explode("words").alias("word")).groupBy("word").count().collect()}
@@ -99,7 +115,20 @@ def template_matches(rows: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     # a pair is counted at its first shared word only
     first = F.col("rank") == F.array_min(F.array_intersect("b", "t"))
     exact = F.size(F.array_intersect("b", "t"))
-    return pairs.filter(length & prefix & positional & first & (exact >= F.col("need"))).select("doc_id", "text_key", "block", "label", (exact / F.col("t_size")).alias("containment"))
+    in_lines = pairs.filter(length & prefix & positional & first & (exact >= F.col("need"))).select("doc_id", "text_key", "label", (exact / F.col("t_size")).alias("containment"))
+
+    def fullest(words: list[str], size: int) -> Column:
+        """The most template words in a run of as many words as the template has; it begins with one of them."""
+        t = F.array(*map(F.lit, words))
+        starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_contains(t, F.get(F.col("w"), i - 1)))
+        return F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("w", i, size), t))))
+
+    runs = [
+        F.struct(F.lit(label).alias("label"), fullest(words, len(whole.split(" "))).alias("n"), F.lit(a).alias("need"), F.lit(len(words)).alias("t_size"))
+        for (label, words), a, (_, whole) in zip(sets, need, templates, strict=True)
+    ]
+    wrapped = near.select("doc_id", "text_key", F.explode(F.array(*runs)).alias("run")).filter("run.n >= run.need")
+    return in_lines.union(wrapped.select("doc_id", "text_key", "run.label", (F.col("run.n") / F.col("run.t_size")).alias("containment")))
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -67,6 +67,17 @@ def test_license_templates(spark):
     assert got == {1: ("gpl", round(11 / 12, 3)), 2: ("", 0.0), 3: ("bsd", 1.0), 4: ("mit", 1.0)}
 
 
+def test_license_wrapped(spark):
+    mit = 'Copyright (c) 2020 A\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal'
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file"
+    narrow = "\n".join("x y Redistribution and use in source and binary forms with or without modification are permitted".split())
+    beside = "der mit te\nlicensed under the apache license version 2 0"
+    apart = bsd.replace("\n", "\n" + "other words " * 20)
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan(frame(spark, list(enumerate([mit, bsd, mpl, narrow, beside, apart, mit.replace("\n", "\r\n")])))).collect()}
+    assert got == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("mpl", 1.0), 3: ("bsd", 1.0), 4: ("apache", 1.0), 5: ("", 0.0), 6: ("mit", 1.0)}
+
+
 ITEMS = [(1, "w1 w2"), (2, None), (None, "one"), (2, "w1 w2"), (7, "...")]
 
 
