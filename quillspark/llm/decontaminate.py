@@ -226,6 +226,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The documents without a hit, with all their columns."""
-    bad = decontaminate(docs, benchmark, broadcast_bytes).filter("contaminated").select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad.distinct(), docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The documents without a hit, with all their columns; rows are told by a hash of id and text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), text)
+    bad = decontaminate(docs.select(row.alias("doc_id"), "text"), benchmark, broadcast_bytes).filter("contaminated").select(F.col("doc_id").alias("__bad"))
+    return docs.withColumn("__row", row).join(bad.distinct(), F.col("__row") == F.col("__bad"), "left_anti").drop("__row")

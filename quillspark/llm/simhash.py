@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import bytekit as bk
@@ -30,7 +30,7 @@ SEED, SHINGLE, DISTANCE = 42, 3, 2
 #: Cells with more distinct fingerprints than this are linked through one-bit neighbours.
 CROWDED = 64
 
-_BITS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_BITS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.int64())])
 
 
 def fingerprints_of(units: bk.Units, width: int = SHINGLE) -> np.ndarray:
@@ -79,13 +79,13 @@ def _fingerprints(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for _, _, data, offsets in bk.slices(batch, "text"):
             found.append(fingerprints_of(bk.Units(data, offsets, bk.SPACE, bk.LOWER)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], schema=_BITS)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], schema=_BITS)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and 64-bit fingerprint (signed) of every whole text; no words: 0."""
+    """doc_id, text_key and 64-bit fingerprint (signed) of every whole text; no words: 0."""
     session(docs)
-    return id_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return id_text(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(_fingerprints, "doc_id long, text_key long, fp long")
 
 
 def segment_counts(fps: np.ndarray) -> np.ndarray:
@@ -229,6 +229,16 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _with_components(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, fp, root (a fingerprint of its component, the same for all of it) and component_id of every row."""
+    prints = stage(fingerprints(docs), "fingerprints")
+    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    roots = components(links(classes.select("fp", F.col("fp").alias("rep")))).withColumnRenamed("node", "fp")
+    of = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(of.join(ids, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (least doc_id reachable) of every row.
 
@@ -237,17 +247,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     class but never names it (component_id is null if no other id does).  An
     empty table gives no rows.
     """
-    prints = stage(fingerprints(docs), "fingerprints")
-    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    # a class without an id gets a number that no edge can prefer to a real one
-    named = classes.withColumn("rep", F.coalesce("rep", F.lit((1 << 63) - 1)))
-    roots = components(links(named)).withColumnRenamed("node", "rep")
-    of = classes.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    out = prints.join(of, "fp", "left")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _with_components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one of least doc_id, with all its columns."""
-    keep = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi")
+    """One row of each component with all its columns: of least doc_id, without one only where none has any."""
+    row = [F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("text_key").alias("__text")]
+    keep = _with_components(docs).groupBy("root").agg(F.min(F.struct(*row)).alias("k")).select("k.*")
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keyed = docs.select("*", F.col("doc_id").isNull().alias("__none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), text.alias("__text"))
+    same = Window.partitionBy("__none", "__id", "__text").orderBy("__text")
+    kept = keyed.join(keep, ["__none", "__id", "__text"], "left_semi").withColumn("__row", F.row_number().over(same))
+    return kept.filter("__row = 1").select(*docs.columns)

@@ -175,6 +175,31 @@ def test_near_duplicates(spark, rows):
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in brute.near(rows) if c is not None}
 
 
+def test_near_copies_without_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, a), (None, b), (7, c), (None, c), (9, "last words of all")]
+    assert Counter((r.doc_id, r.text) for r in drop_near_copies(frame(spark, rows)).collect()) == Counter([(None, a), (None, b), (7, c), (9, "last words of all")])
+
+
+def test_classes_without_ids_link_apart(spark, monkeypatch):
+    # two null-only classes, each within two bits of another real one
+    prints = [(1, 11, 0b1), (None, 12, 0b10), (2, 13, 0xFF0001 << 30), (None, 14, 0xFF0002 << 30), (None, 15, 1 << 62 | 0xFFF)]
+    table = spark.createDataFrame(prints, "doc_id long, text_key long, fp long")
+    monkeypatch.setattr("quillspark.llm.simhash.fingerprints", lambda docs: table)
+    assert {(r.doc_id, r.fingerprint): r.component_id for r in near_duplicates(frame(spark, [])).collect()} == {
+        (d, f"{fp:016x}"): c for (d, _, fp), c in zip(prints, [1, 1, 2, 2, None], strict=True)
+    }
+
+
+def test_decontaminate_drops_rows_without_ids(spark):
+    passage = awkward()[9][1]
+    bench = spark.createDataFrame([(99, passage)], "item_id long, text string")
+    rows = [(None, passage), (None, "clean and without an id"), (4, passage), (4, "clean with a clashing id"), (None, None)]
+    for limit in (1 << 24, 0):
+        kept = drop_contaminated(frame(spark, rows), bench, limit).collect()
+        assert Counter((r.doc_id, r.text) for r in kept) == Counter([rows[1], rows[3], rows[4]])
+
+
 def test_link_cell_crowded():
     rng = np.random.default_rng(4)
     centre = rng.integers(0, 1 << 62, 6)
