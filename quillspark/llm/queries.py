@@ -131,4 +131,17 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
-SQL = {"op2_license_scan": _OP2, "op6_decontamination": _OP6, "op7_substring_words": _OP7, "op8_exact_dedup": _OP8}
+_OP9 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+spots AS (SELECT r, i, md5(array_slice(b, i + 1, i + 200)) AS win FROM (SELECT r, b, unnest(range(0, octet_length(b) - 199)) AS i FROM d WHERE octet_length(b) >= 200)),
+repeated AS (SELECT win FROM spots GROUP BY win HAVING count(*) > 1),
+starts AS (SELECT r, i, lag(i) OVER w AS before, lead(i) OVER w AS after FROM spots SEMI JOIN repeated USING (win) WINDOW w AS (PARTITION BY r ORDER BY i)),
+gone AS (SELECT r, sum(least(200, coalesce(after - i, 200))) AS n_removed, count(*) FILTER (before IS NULL OR i > before + 200) AS n_spans FROM starts GROUP BY r),
+ends AS (SELECT r, 0 AS s, min(i) AS e FROM starts GROUP BY r UNION ALL SELECT r, i + 200, after FROM starts WHERE after IS NULL OR after > i + 200),
+kept AS (SELECT r, string_agg(hex(array_slice(b, s + 1, coalesce(e, octet_length(b)))), '' ORDER BY s) AS bytes FROM ends JOIN d USING (r) WHERE s < coalesce(e, octet_length(b)) GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN n_removed IS NULL THEN b ELSE unhex(coalesce(bytes, '')) END) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
+SQL = {"op9_suffix_array_dedup": _OP9, "op2_license_scan": _OP2, "op6_decontamination": _OP6, "op7_substring_words": _OP7, "op8_exact_dedup": _OP8}

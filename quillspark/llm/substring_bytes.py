@@ -2,9 +2,12 @@
 
 Every byte covered by a 200-byte string that also starts anywhere else goes.
 Strings travel as super-k-mers to the bucket of their minimiser.  A string that
-stands in two places or more is settled; strings that share a minimiser with
-others are laid end to end, and induced suffix sorting with common-prefix
-values finds the windows that two of them share.
+stands in two places or more is settled.  Strings that may share a window with
+another one are laid end to end on disk, all buckets of a partition together,
+and external induced suffix sorting with common-prefix values finds the windows
+that two of them share.  A window reaches half its other bytes beyond its
+minimiser on one side at least, so strings that share neither side with another
+string of their bucket are left out.
 """
 
 from __future__ import annotations
@@ -19,54 +22,61 @@ from pyspark.sql import DataFrame
 from quillspark.llm import bytekit as bk
 from quillspark.llm import superkmer as sk
 from quillspark.llm.common import batches
-from quillspark.llm.suffixsort import repeated_starts
+from quillspark.llm.suffixsort import BLOCK, HELD, Scratch, repeated_starts
 
 WINDOW, GRAM = 200, 24
 SHAPE = sk.Shape(WINDOW, GRAM, words=False)
-#: Bytes of whole buckets that are sorted together; a larger bucket is sorted alone.
-SORTED_TOGETHER = 3 << 20
-#: A minimiser with more strings (of some 300 bytes) than are sorted together is split by window.
-HOT_STRINGS = SORTED_TOGETHER // 300
+#: A minimiser with more strings (of some 300 bytes, held by one task) is split by window.
+HOT_STRINGS = 10_000
+#: Bytes that a window has on one side of its minimiser at least.
+_SIDE = (WINDOW - GRAM) // 2
+#: Texts are sorted with symbols 0 (the end), 1 (the end of a string) and bytes from 2 on.
+_SYMBOLS = 258
+_RECORD = 5
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.int64()))])
 
 
-def _sorted(held: list[tuple[int, int, int, int, bytes]]) -> Iterator[tuple[int, int, int, int, None]]:
-    """Runs of repeated windows of the strings (key, sid, windows, times, bytes)."""
-    size = sum(len(x[4]) + 1 for x in held) + 1
-    text = np.ones(size, dtype=np.uint16)  # 1 ends a string, 0 the text, bytes from 2 on
-    text[-1] = 0
-    starts, at = [], 0
-    for *_, packed in held:
-        starts.append(at)
-        text[at : at + len(packed)] = np.frombuffer(packed, np.uint8).astype(np.uint16) + 2
-        at += len(packed) + 1
-    repeated = repeated_starts(text, WINDOW)
-    for (key, sid, n, times, _), start in zip(held, starts, strict=True):
-        if times > 1:
-            yield key, sid, 0, n, None
-            continue
-        for s, e in zip(*(x.tolist() for x in bk.mask_to_runs(repeated[start : start + n])), strict=True):
-            yield key, sid, s, e - s, None
-
-
-def _bucket(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shares_a_side(strings: dict[int, list]) -> list[int]:
+    """Strings of a bucket that share one side of the minimiser with another."""
+    sides = {}
+    for sid, (_, _, _, packed, spot) in strings.items():
+        if spot >= _SIDE:
+            sides.setdefault((0, packed[spot - _SIDE : spot + GRAM]), []).append(sid)
+        if spot + GRAM + _SIDE <= len(packed):
+            sides.setdefault((1, packed[spot : spot + GRAM + _SIDE]), []).append(sid)
+    return sorted({sid for group in sides.values() if len(group) > 1 for sid in group})
+
+
+def _bucket(rows: Iterator[pa.RecordBatch], block: int = BLOCK, held: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Runs of repeated windows; the partition's doubtful strings are one text on disk."""
+
     def runs():
-        held, size = [], 0
-        for key, strings in sk.groups(rows):
-            if all(times > 1 for _, _, times, _ in strings.values()) or len(strings) == 1:
-                for sid, (_, n, times, _) in strings.items():
-                    if times > 1:
-                        yield key, sid, 0, n, None
-                continue
-            for sid, (_, n, times, packed) in strings.items():
-                held.append((key, sid, n, times, packed))
-                size += len(packed) + 1
-            if size > SORTED_TOGETHER:
-                yield from _sorted(held)
-                held, size = [], 0
-        if held:
-            yield from _sorted(held)
+        with Scratch() as scratch:
+            path, records, size = scratch.path(), scratch.path(), 0
+            with open(path, "wb") as text, open(records, "wb") as kept:
+                for key, strings in sk.groups(rows):
+                    for sid, (_, n, times, *_) in strings.items():
+                        if times > 1:
+                            yield key, sid, 0, n, None, times
+                    if all(s[2] > 1 for s in strings.values()):
+                        continue
+                    for sid in _shares_a_side(strings):
+                        _, n, times, packed, _ = strings[sid]
+                        text.write((np.frombuffer(packed + b"\0", np.uint8).astype(np.uint16) + 2).tobytes()[:-2] + b"\1\0")
+                        kept.write(np.array([key, sid, n, times, size], dtype=np.int64).tobytes())
+                        size += len(packed) + 1
+                text.write(b"\0\0")
+            if not size:
+                return
+            repeated = repeated_starts(scratch.array(size + 1, np.uint16, path), _SYMBOLS, WINDOW, scratch, block, held)
+            with open(records, "rb") as kept:
+                while part := kept.read(8 * _RECORD * 4096):
+                    for key, sid, n, times, start in np.frombuffer(part, np.int64).reshape(-1, _RECORD).tolist():
+                        if times > 1:
+                            continue
+                        for s, e in zip(*(x.tolist() for x in bk.mask_to_runs(repeated[start : start + n])), strict=True):
+                            yield key, sid, s, e - s, None, times
 
     return sk.runs_batches(runs())
 

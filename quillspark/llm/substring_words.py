@@ -30,11 +30,11 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remove
 
 def least_owners(strings: dict[int, list], width: int = WINDOW) -> dict[int, list[int | None]]:
     """Least owner of each window of each string, by sorting the windows."""
-    out = {sid: [None] * n for sid, (_, n, _, _) in strings.items()}
+    out = {sid: [None] * n for sid, (_, n, *_) in strings.items()}
     turns = -(-sum(len(x) for x in out.values()) // SORTED_AT_ONCE)
     for turn in range(turns):
         windows = []
-        for sid, (owner, n, _, packed) in strings.items():
+        for sid, (owner, n, _, packed, _) in strings.items():
             ends = np.flatnonzero(np.frombuffer(packed, np.uint8) == 0x20).tolist()
             begins, ends = [0, *[e + 1 for e in ends]], [*ends, len(packed)]
             for i in range(n):
@@ -54,17 +54,17 @@ def _bucket(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def runs():
         for key, strings in sk.groups(rows):
             if len(strings) == 1:
-                ((sid, (owner, n, times, _)),) = strings.items()
+                ((sid, (owner, n, times, *_)),) = strings.items()
                 if times > 1:
-                    yield key, sid, 0, n, owner
+                    yield key, sid, 0, n, owner, times
                 continue
             for sid, least in least_owners(strings).items():
-                owner, n, times, _ = strings[sid]
+                owner, n, times, *_ = strings[sid]
                 at = 0
                 for i in range(1, n + 1):
                     if i == n or least[i] != least[at]:
                         if least[at] is not None and (times > 1 or owner is None or least[at] < owner):
-                            yield key, sid, at, i - at, least[at]
+                            yield key, sid, at, i - at, least[at], times
                         at = i
 
     return sk.runs_batches(runs())

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import bytekit as bk
-from quillspark.llm.common import id_text, partitions, session, stage
+from quillspark.llm.common import id_text, partitions, session, stage, unstage
 
 #: The bitmap of repeated minimisers has at most this many bits (32 MB), and 16 a minimiser below that.
 MAX_BITMAP_BITS = 28
@@ -40,6 +40,8 @@ HELD_BYTES = 48 << 20
 HOT_STRINGS = 500
 #: Split minimisers that are broadcast (1 MB), at most; more are joined by key.
 MAX_HOT_BROADCAST = 1 << 17
+#: Places of one string that are joined in one task, and strings at most that have more and are dealt out.
+HOT_PLACES, MAX_SALTED = 100_000, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -62,19 +64,20 @@ class SuperKmers:
     start: np.ndarray  # first window, as a unit of the slice
     count: np.ndarray  # windows
     key: np.ndarray  # hash of the minimiser
+    spot: np.ndarray  # place of the minimiser, from the first window's start
 
 
 def cut(values: np.ndarray, bounds: np.ndarray, shape: Shape) -> SuperKmers:
     none = np.empty(0, np.int64)
     if len(values) < shape.width:
-        return SuperKmers(none, none, none, none.astype(np.uint64))
+        return SuperKmers(none, none, none, none.astype(np.uint64), none)
     hashes = bk.grams(bk.prefix(values), shape.gram)
     spots = bk.leftmost_minima(hashes, shape.width - shape.gram + 1)
     # windows inside one text
     sizes = np.diff(bounds)
     long = np.flatnonzero(sizes >= shape.width)
     if not len(long):
-        return SuperKmers(none, none, none, none.astype(np.uint64))
+        return SuperKmers(none, none, none, none.astype(np.uint64), none)
     inside = np.zeros(len(spots) + 1, dtype=np.int8)
     np.add.at(inside, bounds[long], 1)
     np.add.at(inside, bounds[long] + sizes[long] - shape.width + 1, -1)
@@ -86,7 +89,7 @@ def cut(values: np.ndarray, bounds: np.ndarray, shape: Shape) -> SuperKmers:
     start = live[first]
     count = np.diff(np.append(first, len(live)))
     # minima crowd near zero: mixed again, their first bits spread over the bitmap
-    return SuperKmers(np.searchsorted(bounds, start, side="right") - 1, start, count, bk.mix(hashes[place[first]]))
+    return SuperKmers(np.searchsorted(bounds, start, side="right") - 1, start, count, bk.mix(hashes[place[first]]), place[first] - start)
 
 
 _KEYS_DDL = "key long, low long, high long, n long"
@@ -147,11 +150,12 @@ def repeated_minimisers(rows: DataFrame, shape: Shape, across: bool) -> Bitmap:
     for block, part in blocks.toLocalIterator():  # the bitmap's own bounded size
         at = block << (size - 3)
         data[at : at + len(part)] = np.frombuffer(part, dtype=np.uint8)
+    unstage(repeated)
     return Bitmap(bits, data)
 
 
-_EMIT = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("owner", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("times", pa.int64()), ("starts", pa.list_(pa.int32())), ("packed", pa.binary())])
-_EMIT_DDL = "key long, sid long, owner long, row long, n int, times long, starts array<int>, packed binary"
+_EMIT = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("owner", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("times", pa.int64()), ("starts", pa.list_(pa.int32())), ("packed", pa.binary()), ("spot", pa.int32())])
+_EMIT_DDL = "key long, sid long, owner long, row long, n int, times long, starts array<int>, packed binary, spot int"
 
 
 def _emit(rows: Iterator[pa.RecordBatch], shape: Shape, bitmap: Bitmap) -> Iterator[pa.RecordBatch]:
@@ -169,7 +173,7 @@ def _emit(rows: Iterator[pa.RecordBatch], shape: Shape, bitmap: Bitmap) -> Itera
         items = list(strings.items())
         strings.clear()
         for at in range(0, len(items), 4096):
-            out.extend((key, sid, owner, None, n, times, None, packed) for (key, sid), (owner, n, times, packed) in items[at : at + 4096])
+            out.extend((key, sid, owner, None, n, times, None, packed, spot) for (key, sid), (owner, n, times, packed, spot) in items[at : at + 4096])
             yield flush_out()
 
     for batch in rows:
@@ -186,7 +190,7 @@ def _emit(rows: Iterator[pa.RecordBatch], shape: Shape, bitmap: Bitmap) -> Itera
             high = units.ends[last] if units else last + 1
             raw = data.tobytes()
             per_text: dict[tuple[int, int, int], list[int]] = {}
-            for t, key, s, n, a, b in zip(text.tolist(), found.key[pick].view(np.int64).tolist(), (start - bounds[text]).tolist(), count.tolist(), low.tolist(), high.tolist(), strict=True):
+            for t, key, s, n, a, b, spot in zip(text.tolist(), found.key[pick].view(np.int64).tolist(), (start - bounds[text]).tolist(), count.tolist(), low.tolist(), high.tolist(), found.spot[pick].tolist(), strict=True):
                 packed = raw[a:b]
                 if units:
                     packed = b" ".join(packed.split())
@@ -194,7 +198,7 @@ def _emit(rows: Iterator[pa.RecordBatch], shape: Shape, bitmap: Bitmap) -> Itera
                 owner = ids[first + t]
                 known = strings.get((key, sid))
                 if known is None:
-                    strings[key, sid] = [owner, n, 1, packed]
+                    strings[key, sid] = [owner, n, 1, packed, spot]
                     size += len(packed) + 100
                 else:
                     known[2] += 1
@@ -205,7 +209,7 @@ def _emit(rows: Iterator[pa.RecordBatch], shape: Shape, bitmap: Bitmap) -> Itera
                     per_text[t, key, sid] = places = [n]
                 places.append(s)
             for (t, key, sid), places in per_text.items():
-                out.append((key, sid, ids[first + t], keys[first + t], places[0], len(places) - 1, places[1:], None))
+                out.append((key, sid, ids[first + t], keys[first + t], places[0], len(places) - 1, places[1:], None, None))
                 if len(out) >= 4096:
                     yield flush_out()
             if out:
@@ -216,7 +220,7 @@ def _emit(rows: Iterator[pa.RecordBatch], shape: Shape, bitmap: Bitmap) -> Itera
     yield from flush_strings()
 
 
-_RUNS_DDL = "key long, sid long, offset int, length int, least long"
+_RUNS_DDL = "key long, sid long, offset int, length int, least long, times long"
 
 
 def _windows(rows: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
@@ -237,16 +241,16 @@ def _windows(rows: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.Record
 def _as_runs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def runs():
         for batch in rows:
-            for key, sid, cells in zip(*(batch.column(c).to_pylist() for c in ("key", "sid", "cells")), strict=True):
+            for key, sid, times, cells in zip(*(batch.column(c).to_pylist() for c in ("key", "sid", "times", "cells")), strict=True):
                 start, length, least = None, 0, None
                 for cell in cells:
                     if start is not None and cell["offset"] == start + length and cell["least"] == least:
                         length += 1
                         continue
                     if start is not None:
-                        yield key, sid, start, length, least
+                        yield key, sid, start, length, least, times
                     start, length, least = cell["offset"], 1, cell["least"]
-                yield key, sid, start, length, least
+                yield key, sid, start, length, least, times
 
     return runs_batches(runs())
 
@@ -255,11 +259,25 @@ def _hot_runs(strings: DataFrame, shape: Shape) -> DataFrame:
     """Runs of repeated windows of the strings of hot minimisers: no task gets a minimiser's strings together."""
     windows = strings.repartition(partitions(strings.sparkSession)).mapInArrow(lambda it: _windows(it, shape), "a long, b long, key long, sid long, offset int, owner long, times long")
     repeated = windows.groupBy("a", "b").agg(F.min("owner").alias("least"), F.sum("times").alias("n")).filter("n > 1").drop("n")
-    cells = windows.select("a", "b", "key", "sid", "offset").join(repeated, ["a", "b"])
-    lists = cells.groupBy("key", "sid").agg(F.array_sort(F.collect_set(F.struct("offset", "least"))).alias("cells"))
+    cells = windows.select("a", "b", "key", "sid", "offset", "times").join(repeated, ["a", "b"])
+    lists = cells.groupBy("key", "sid").agg(F.greatest(F.lit(1), F.sum(F.when(F.col("offset") == 0, F.col("times")).otherwise(0))).alias("times"), F.array_sort(F.collect_set(F.struct("offset", "least"))).alias("cells"))
     return lists.mapInArrow(_as_runs, _RUNS_DDL)
 
 
+def _salted(places: DataFrame, runs: DataFrame) -> DataFrame:
+    """Places joined with the runs of their string; a string of very many places is dealt to several tasks by text."""
+    total, most = runs.agg(F.coalesce(F.sum("times"), F.lit(0)), F.coalesce(F.max("times"), F.lit(0))).first()
+    limit = max(HOT_PLACES, total // MAX_SALTED)
+    if most <= limit:
+        return places.join(runs.drop("times"), ["key", "sid"])
+    hot = runs.filter(F.col("times") > limit).groupBy("key", "sid").agg(F.ceil(F.max("times") / limit).cast("int").alias("salts"))
+    # at most MAX_SALTED strings, by the limit
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = places.join(F.broadcast(hot), ["key", "sid"], "left").withColumn("salt", F.pmod(F.col("row"), salts).cast("int")).drop("salts")
+    copied = runs.drop("times").join(F.broadcast(hot), ["key", "sid"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(copied, ["key", "sid", "salt"]).drop("salt")
+
+
 def _who(column: str):
     """With ``row``, a 64-bit hash of id and text, the id itself tells texts apart; null as the least long."""
     return F.coalesce(F.col(column), F.lit(-(1 << 63)))
@@ -274,7 +292,7 @@ def gather(rows: DataFrame, shape: Shape, across: bool, bucket: Callable[[Iterat
     spark = rows.sparkSession
     bitmap = spark.sparkContext.broadcast(repeated_minimisers(rows, shape, across))
     emitted = stage(rows.mapInArrow(lambda it: _emit(it, shape, bitmap.value), _EMIT_DDL), "superkmers")
-    strings = emitted.filter("packed is not null").select("key", "sid", "owner", "n", "times", "packed")
+    strings = emitted.filter("packed is not null").select("key", "sid", "owner", "n", "times", "packed", "spot")
     limit = HOT_STRINGS if hot_strings is None else hot_strings
     hot = stage(strings.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("key"), "hot")
     n_hot = hot.count()
@@ -285,7 +303,7 @@ def gather(rows: DataFrame, shape: Shape, across: bool, bucket: Callable[[Iterat
     if n_hot:
         runs = runs.union(_hot_runs(strings.join(keys, "key", "left_semi"), shape))
     places = emitted.filter("packed is null").select("key", "sid", "owner", "row", "starts")
-    hits = places.join(runs, ["key", "sid"])
+    hits = _salted(places, stage(runs, "runs"))
     if across:
         hits = hits.filter("owner > least")
     return hits.withColumn("who", _who("owner")).groupBy("row", "who").agg(F.collect_list(F.struct("starts", "offset", "length")).alias("runs"))
@@ -312,17 +330,17 @@ def apply(docs: DataFrame, shape: Shape, across: bool, bucket: Callable, finish:
 
 
 def groups(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list]]]:
-    """Strings of each key of a partition sorted by key: sid to [least owner, windows, times, packed]."""
+    """Strings of each key of a partition sorted by key: sid to [least owner, windows, times, packed, minimiser's place]."""
     current, held = None, {}
     for batch in rows:
-        for key, sid, owner, n, times, packed in zip(*(batch.column(c).to_pylist() for c in ("key", "sid", "owner", "n", "times", "packed")), strict=True):
+        for key, sid, owner, n, times, packed, spot in zip(*(batch.column(c).to_pylist() for c in ("key", "sid", "owner", "n", "times", "packed", "spot")), strict=True):
             if key != current:
                 if held:
                     yield current, held
                 current, held = key, {}
             known = held.get(sid)
             if known is None:
-                held[sid] = [owner, n, times, packed]
+                held[sid] = [owner, n, times, packed, spot]
             else:
                 known[2] += times
                 if owner is not None and (known[0] is None or owner < known[0]):
@@ -331,8 +349,8 @@ def groups(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list
         yield current, held
 
 
-def runs_batches(rows: Iterator[tuple[int, int, int, int, int | None]]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("offset", pa.int32()), ("length", pa.int32()), ("least", pa.int64())])
+def runs_batches(rows: Iterator[tuple[int, int, int, int, int | None, int]]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("offset", pa.int32()), ("length", pa.int32()), ("least", pa.int64()), ("times", pa.int64())])
     held = []
     for row in rows:
         held.append(row)

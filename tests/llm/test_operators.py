@@ -1,8 +1,11 @@
 """Every operator against its plain version, on the small tables and on awkward rows."""
 
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -18,7 +21,7 @@ from quillspark.llm.quality import importance_resample
 from quillspark.llm.simhash import drop_near_copies, link_cell, manhattan, near_duplicates, popcount, segment_counts
 from quillspark.llm.substring_bytes import remove_repeated_bytes
 from quillspark.llm.substring_words import remove_repeated_windows
-from quillspark.llm.suffixsort import repeated_starts, suffix_order
+from quillspark.llm.suffixsort import Scratch, repeated_starts, suffix_order
 from quillspark.llm.tokens import Encoder
 
 SMALL = "/root/testdata/sf0.001"
@@ -106,8 +109,9 @@ def test_repeated_bytes(spark, rows):
     same(remove_repeated_bytes(frame(spark, rows)), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.repeated_bytes(rows))
 
 
-@pytest.mark.parametrize(("limit", "sent"), [(0, 1 << 17), (3, 1 << 17), (3, 0)])
-def test_hot_minimisers(spark, monkeypatch, limit, sent):
+@pytest.mark.parametrize(("limit", "sent", "places"), [(0, 1 << 17, 1), (3, 1 << 17, 100_000), (3, 0, 2), (10_000, 0, 3)])
+def test_hot_minimisers(spark, monkeypatch, limit, sent, places):
+    monkeypatch.setattr("quillspark.llm.superkmer.HOT_PLACES", places)
     monkeypatch.setattr("quillspark.llm.superkmer.MAX_HOT_BROADCAST", sent)
     monkeypatch.setattr("quillspark.llm.superkmer.HOT_STRINGS", limit)
     monkeypatch.setattr("quillspark.llm.substring_bytes.HOT_STRINGS", limit)
@@ -116,24 +120,67 @@ def test_hot_minimisers(spark, monkeypatch, limit, sent):
     same(remove_repeated_bytes(frame(spark, clean)), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.repeated_bytes(clean))
 
 
-def test_suffix_order():
+BLOCKS = [(4, 8), (16, 64), (1 << 16, 1 << 19)]
+
+
+@pytest.mark.parametrize(("block", "held"), BLOCKS)
+def test_suffix_order(block, held):
     rng = np.random.default_rng(1)
-    for size, alphabet in ((1, 2), (50, 2), (400, 3), (3000, 5), (500, 1)):
-        text = np.append(rng.integers(1, alphabet + 1, size), 0)
-        order = suffix_order(text, 10**9).tolist()
+    for size, alphabet in ((1, 2), (50, 2), (400, 3), (2000, 5), (300, 1), (1500, 200)):
+        text = np.append(rng.integers(1, alphabet + 1, size), 0).astype(np.uint16)
+        order = suffix_order(text, 10**6, block, held).tolist()
         assert order == sorted(range(len(text)), key=lambda i: text[i:].tolist())
 
 
-@pytest.mark.parametrize("memory", [4, 1 << 22])
-def test_repeated_starts(monkeypatch, memory):
-    monkeypatch.setattr("quillspark.llm.suffixsort.MEMORY_SUFFIXES", memory)
-    monkeypatch.setattr("quillspark.llm.suffixsort.QUEUE_TUPLES", memory)
+@pytest.mark.parametrize(("block", "held"), BLOCKS)
+def test_repeated_starts(block, held):
     rng = np.random.default_rng(2)
-    for size, alphabet, width in ((300, 2, 5), (300, 3, 4), (2000, 4, 6), (200, 1, 9)):
-        text = np.append(rng.integers(1, alphabet + 1, size), 0)
+    base = rng.integers(1, 4, 60)
+    texts = [(np.append(rng.integers(1, alphabet + 1, size), 0), width) for size, alphabet, width in ((300, 2, 5), (300, 3, 4), (2000, 4, 6), (200, 1, 9), (3000, 30, 2))]
+    texts.append((np.concatenate([np.tile(base, 12), [7], base, [6], np.full(100, 3), [0]]), 20))
+    for text, width in texts:
+        size = len(text) - 1
         strings = Counter(tuple(text[i : i + width]) for i in range(size - width + 1))
         want = [strings[tuple(text[i : i + width])] > 1 for i in range(size - width + 1)]
-        assert repeated_starts(text, width)[: len(want)].tolist() == want
+        with Scratch() as scratch:
+            got = repeated_starts(text.astype(np.uint16), 31, width, scratch, block, held)
+            assert got[: len(want)].tolist() == want
+
+
+def test_sort_beyond_memory():
+    """A text on disk of ten times the memory that the sort may allocate, names and recursion included."""
+    code = """
+import resource, sys, tracemalloc
+import numpy as np
+from quillspark.llm import bytekit as bk
+from quillspark.llm.suffixsort import Scratch, bytes_level
+with Scratch() as scratch:
+    n = 4_000_000
+    text = scratch.array(n, np.uint32)
+    rng = np.random.default_rng(0)
+    part = rng.integers(1, 5, 20_000)
+    for at in range(0, n - 1, 60_000):
+        chunk = np.concatenate([part, rng.integers(1, 5, 40_000)])[: n - 1 - at]
+        text[at : at + len(chunk)] = chunk
+    text[n - 1] = 0
+    level = bytes_level(text, 5, 200, scratch, block=1024, held=8192)
+    held = int(next(l.split()[1] for l in open("/proc/self/status") if l.startswith("VmData"))) << 10
+    resource.setrlimit(resource.RLIMIT_DATA, (held + text.nbytes // 2, resource.RLIM_INFINITY))
+    tracemalloc.start()
+    places = repeated = 0
+    for found, common in level.sorted():
+        places += len(found)
+        repeated += int((common >= 200).sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    resource.setrlimit(resource.RLIMIT_DATA, (resource.RLIM_INFINITY,) * 2)
+    hashes = np.sort(bk.grams(bk.prefix(text), 200)[:-1])
+    same = hashes[1:] == hashes[:-1]
+    print(places, repeated == same.sum(), peak * 10 < text.nbytes, level.spilled > n)
+"""
+    root = Path(__file__).resolve().parent.parent.parent
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, timeout=600, check=True).stdout.split()
+    assert out == ["4000000", "True", "True", "True"]
 
 
 def test_exact_dedup(spark, rows):
