@@ -5,9 +5,9 @@ Strings travel as super-k-mers to the bucket of their minimiser.  A string that
 stands in two places or more is settled.  Strings that may share a window with
 another one are laid end to end on disk, all buckets of a partition together,
 and external induced suffix sorting with common-prefix values finds the windows
-that two of them share.  A window reaches half its other bytes beyond its
-minimiser on one side at least, so strings that share neither side with another
-string of their bucket are left out.
+that two of them share.  A window reaches so far to the left of its minimiser
+and so far to the right; what no other string of the bucket shares to that
+extent is left out beforehand.
 """
 
 from __future__ import annotations
@@ -28,24 +28,39 @@ WINDOW, GRAM = 200, 24
 SHAPE = sk.Shape(WINDOW, GRAM, words=False)
 #: A minimiser with more strings (of some 300 bytes, held by one task) is split by window.
 HOT_STRINGS = 10_000
-#: Bytes that a window has on one side of its minimiser at least.
-_SIDE = (WINDOW - GRAM) // 2
+#: Steps in which a window's reach to the left of its minimiser is told.
+_STEP = (WINDOW - GRAM) // 4
 #: Texts are sorted with symbols 0 (the end), 1 (the end of a string) and bytes from 2 on.
 _SYMBOLS = 258
-_RECORD = 5
+_RECORD = 6
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.int64()))])
 
 
-def _shares_a_side(strings: dict[int, list]) -> list[int]:
-    """Strings of a bucket that share one side of the minimiser with another."""
-    sides = {}
+def _doubtful(strings: dict[int, list]) -> list[tuple[int, int, int]]:
+    """(string, first, last window) that another string of the bucket may share.
+
+    A window that reaches from k to k + 1 steps to the left of the minimiser
+    holds k steps on its left and the rest of its bytes, less one step, on its
+    right: another string must have the same bytes there.
+    """
+    rest = WINDOW - GRAM
+    around: dict[tuple[int, bytes], list[int]] = {}
     for sid, (_, _, _, packed, spot) in strings.items():
-        if spot >= _SIDE:
-            sides.setdefault((0, packed[spot - _SIDE : spot + GRAM]), []).append(sid)
-        if spot + GRAM + _SIDE <= len(packed):
-            sides.setdefault((1, packed[spot : spot + GRAM + _SIDE]), []).append(sid)
-    return sorted({sid for group in sides.values() if len(group) > 1 for sid in group})
+        for left in range(0, rest, _STEP):
+            end = spot + GRAM + rest - left - _STEP
+            if left <= spot and end <= len(packed):
+                around.setdefault((left, packed[spot - left : end]), []).append(sid)
+    reach: dict[int, list[int]] = {}
+    for (left, _), sids in around.items():
+        if len(sids) > 1:
+            for sid in sids:
+                reach.setdefault(sid, []).append(left)
+    out = []
+    for sid in sorted(reach):
+        _, n, _, _, spot = strings[sid]
+        out.append((sid, max(0, spot - max(reach[sid]) - _STEP), min(n - 1, spot - min(reach[sid]))))
+    return out
 
 
 def _bucket(rows: Iterator[pa.RecordBatch], block: int = BLOCK, held: int = HELD) -> Iterator[pa.RecordBatch]:
@@ -61,22 +76,23 @@ def _bucket(rows: Iterator[pa.RecordBatch], block: int = BLOCK, held: int = HELD
                             yield key, sid, 0, n, None, times
                     if all(s[2] > 1 for s in strings.values()):
                         continue
-                    for sid in _shares_a_side(strings):
-                        _, n, times, packed, _ = strings[sid]
-                        text.write((np.frombuffer(packed + b"\0", np.uint8).astype(np.uint16) + 2).tobytes()[:-2] + b"\1\0")
-                        kept.write(np.array([key, sid, n, times, size], dtype=np.int64).tobytes())
-                        size += len(packed) + 1
+                    for sid, first, last in _doubtful(strings):
+                        _, _, times, packed, _ = strings[sid]
+                        part = np.frombuffer(packed, np.uint8)[first : last + WINDOW]
+                        text.write(np.append(part.astype(np.uint16) + 2, np.uint16(1)).tobytes())
+                        kept.write(np.array([key, sid, first, last - first + 1, times, size], dtype=np.int64).tobytes())
+                        size += len(part) + 1
                 text.write(b"\0\0")
             if not size:
                 return
             repeated = repeated_starts(scratch.array(size + 1, np.uint16, path), _SYMBOLS, WINDOW, scratch, block, held)
             with open(records, "rb") as kept:
                 while part := kept.read(8 * _RECORD * 4096):
-                    for key, sid, n, times, start in np.frombuffer(part, np.int64).reshape(-1, _RECORD).tolist():
+                    for key, sid, first, n, times, start in np.frombuffer(part, np.int64).reshape(-1, _RECORD).tolist():
                         if times > 1:
                             continue
                         for s, e in zip(*(x.tolist() for x in bk.mask_to_runs(repeated[start : start + n])), strict=True):
-                            yield key, sid, s, e - s, None, times
+                            yield key, sid, first + s, e - s, None, times
 
     return sk.runs_batches(runs())
 

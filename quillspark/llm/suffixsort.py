@@ -45,8 +45,12 @@ class Scratch:
         return f"{self.dir.name}/{self.names}"
 
     def array(self, size: int, dtype, path: str | None = None) -> np.ndarray:
-        """An array on disk, zero at first unless its file exists."""
-        return np.asarray(np.memmap(path or self.path(), dtype=dtype, mode="r+" if path else "w+", shape=(max(1, size),)))[:size]
+        """An array on disk: the file of that path, or a new one of zeros, which goes with the array."""
+        at = path or self.path()
+        out = np.asarray(np.memmap(at, dtype=dtype, mode="r+" if path else "w+", shape=(max(1, size),)))[:size]
+        # the mapping keeps the space until the array is gone
+        os.unlink(at)
+        return out
 
     def __enter__(self) -> Scratch:
         return self
@@ -56,22 +60,33 @@ class Scratch:
 
 
 class Tuples:
-    """A file of (place, common prefix) that grows at its end."""
-
-    WIDTH = 16
+    """A list of (place, common prefix) that grows at its end: in memory up to ``held`` tuples, then a file."""
 
-    def __init__(self, path: str):
-        self.path, self.size, self.file = path, 0, None
+    def __init__(self, scratch: Scratch, dtype, held: int = 0):
+        self.path, self.dtype, self.held, self.size = scratch.path(), np.dtype(dtype), held, 0
+        self.parts: list[np.ndarray] = []
+        self.on_disk = False
 
     def append(self, *parts: tuple[np.ndarray, np.ndarray]) -> None:
-        with open(self.path, "ab") as f:
-            for places, common in parts:
-                f.write(np.stack([places.astype(np.int64), common.astype(np.int64)], axis=1).tobytes())
-                self.size += len(places)
+        for places, common in parts:
+            both = np.empty((len(places), 2), self.dtype)
+            both[:, 0], both[:, 1] = places, common
+            self.parts.append(both)
+            self.size += len(places)
+        if self.on_disk or self.size > self.held:
+            with open(self.path, "ab") as f:
+                for both in self.parts:
+                    f.write(both.tobytes())
+            self.parts, self.on_disk = [], True
 
     def read(self, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
-        both = np.fromfile(self.path, dtype=np.int64, count=2 * (stop - start), offset=self.WIDTH * start).reshape(-1, 2)
-        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+        if self.on_disk:
+            both = np.fromfile(self.path, dtype=self.dtype, count=2 * (stop - start), offset=2 * self.dtype.itemsize * start).reshape(-1, 2)
+        else:
+            if len(self.parts) > 1:
+                self.parts = [np.concatenate(self.parts)]
+            both = self.parts[0][start:stop]
+        return both[:, 0].astype(np.int64), both[:, 1].astype(np.int64)
 
     def backwards(self, low: int, high: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of low..high-1 from the end; each tuple's prefix is then that with the one read before it, 0 for the first."""
@@ -81,6 +96,11 @@ class Tuples:
             yield places[::-1], np.concatenate([[carry], common[:0:-1]])
             carry = int(common[0])
 
+    def delete(self) -> None:
+        self.parts, self.size = [], 0
+        if self.on_disk:
+            os.unlink(self.path)
+
 
 class Queues:
     """First-in first-out queues of tuples, one for each range of symbols.
@@ -92,8 +112,8 @@ class Queues:
 
     PART = 16
 
-    def __init__(self, scratch: Scratch, held: int):
-        self.scratch, self.limit = scratch, held
+    def __init__(self, scratch: Scratch, dtype, held: int):
+        self.scratch, self.dtype, self.limit = scratch, dtype, held
         self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.sizes: dict[int, int] = {}
         self.files: dict[int, Tuples] = {}
@@ -109,7 +129,7 @@ class Queues:
         if self.held > self.limit:
             for q in sorted(self.sizes, key=self.sizes.get, reverse=True):
                 if q not in self.files:
-                    self.files[q] = Tuples(self.scratch.path())
+                    self.files[q] = Tuples(self.scratch, self.dtype)
                 self.files[q].append(*self.parts.pop(q))
                 self.spilled += self.sizes[q]
                 self.held -= self.sizes.pop(q)
@@ -126,7 +146,7 @@ class Queues:
         parts = self.parts.pop(r, None)
         if not parts:
             if file is not None:
-                os.unlink(file.path)
+                file.delete()
                 del self.files[r], self.done[r]
             return None
         self.held -= self.sizes.pop(r)
@@ -201,6 +221,8 @@ class Level:
         self.text, self.symbols, self.limit, self.scratch, self.block, self.held = text, symbols, limit, scratch, block, held
         self.cuts = np.append(cuts, symbols).astype(np.int64)
         self.single = (np.diff(self.cuts) == 1).tolist()
+        #: Of places and prefixes.
+        self.kind = np.int32 if max(len(text), limit + 1) < 1 << 31 else np.int64
         self.spilled = 0
 
     def ranges(self, symbols: np.ndarray) -> np.ndarray:
@@ -209,13 +231,14 @@ class Level:
     def shared(self, a: np.ndarray, b: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
         """Common prefix of suffixes a and b, up to ``limit``, by their symbols; the first ``start`` are known to be equal."""
         out = np.zeros(len(a), np.int64) if start is None else np.minimum(start, self.limit)
-        live, end, steps = np.flatnonzero(out < self.limit), len(self.text) - 1, np.arange(8)
+        live, end, steps = np.flatnonzero(out < self.limit), len(self.text) - 1, np.arange(4)
         while len(live):
             at = out[live, None] + steps
             differs = self.text[np.minimum(a[live, None] + at, end)] != self.text[np.minimum(b[live, None] + at, end)]
             some = differs.any(axis=1)
             out[live] += np.where(some, differs.argmax(axis=1), len(steps))
             live = live[~some & (out[live] < self.limit)]
+            steps = np.arange(min(2 * len(steps), 64))
         return np.minimum(out, self.limit)
 
     def smaller(self) -> np.ndarray:
@@ -239,9 +262,9 @@ class Level:
             for start in range(1, len(up), self.block):
                 stop = min(len(up), start + self.block)
                 found = np.flatnonzero(up[start:stop] & ~up[start - 1 : stop - 1]) + start
-                f.write(found.astype(np.int64).tobytes())
+                f.write(found.astype(self.kind).tobytes())
                 size += len(found)
-        return self.scratch.array(size, np.int64, path)
+        return self.scratch.array(size, self.kind, path)
 
     def order(self, items: np.ndarray, common: np.ndarray | None, seeds: np.ndarray, seed_common: np.ndarray | None, r: int, upwards: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
         """All suffixes of a range of several symbols in order of the pass: places, common prefixes, whether induced.
@@ -302,7 +325,7 @@ class Level:
 
         seeds: range to its given suffixes, by blocks in the order of the pass.
         """
-        queues = Queues(self.scratch, self.held)
+        queues = Queues(self.scratch, self.kind, self.held)
         since = Since(self.symbols, self.limit, self.scratch) if with_common else None
         small = self.symbols <= 1 << 16
         of = self.ranges(np.arange(self.symbols)) if small else None
@@ -366,7 +389,7 @@ class Level:
 
     def both_ways(self, seeds, with_common: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All suffixes but the sentinel's, the greatest first, with the common prefix with the one before."""
-        larger, ends = Tuples(self.scratch.path()), np.zeros(len(self.single) + 1, np.int64)
+        larger, ends = Tuples(self.scratch, self.kind, self.held), np.zeros(len(self.single) + 1, np.int64)
         for r, places, common, induced in self.induce(seeds, True, with_common):
             if induced.any():
                 larger.append((places[induced], self._among(places, common, induced, with_common)))
@@ -375,8 +398,7 @@ class Level:
         back = lambda r: larger.backwards(ends[r], ends[r + 1], self.block)
         for _, places, common, _ in self.induce(back, False, with_common):
             yield places, common
-        if larger.size:
-            os.unlink(larger.path)
+        larger.delete()
 
     @staticmethod
     def _among(places: np.ndarray, common: np.ndarray, chosen: np.ndarray, with_common: bool) -> np.ndarray:
@@ -394,7 +416,7 @@ class Level:
         up = self.smaller()
         lms = self.lms(up)
         m = len(lms)
-        out, sizes = Tuples(self.scratch.path()), np.zeros(len(self.single), np.int64)
+        out, sizes = Tuples(self.scratch, self.kind, self.held), np.zeros(len(self.single), np.int64)
 
         def keep(places: np.ndarray, common: np.ndarray) -> None:
             sizes[:] += np.bincount(self.ranges(self.text[places]), minlength=len(sizes))
@@ -404,7 +426,7 @@ class Level:
             keep(lms[:1], np.zeros(1, np.int64))
             return out, sizes
         # substrings of LMS places, in order and named
-        seeds = Queues(self.scratch, self.held)
+        seeds = Queues(self.scratch, self.kind, self.held)
         for start in range(0, m, self.block):
             part = lms[start : start + self.block]
             to = self.ranges(self.text[part])
@@ -424,8 +446,8 @@ class Level:
                 places = np.concatenate(got)
                 yield places[np.argsort(self.text[places], kind="stable")], np.zeros(len(places), np.int64)
 
-        sorted_places = Tuples(self.scratch.path())
-        names = self.scratch.array(m, np.int64)
+        sorted_places = Tuples(self.scratch, self.kind, self.held)
+        names = self.scratch.array(m, self.kind)
         cuts, run, distinct, before = Cuts(self.block), 0, 0, None
 
         def substrings():
@@ -465,10 +487,13 @@ class Level:
                 common[0] = 0 if last is None else common[0]
                 keep(places, common)
                 last = int(places[-1])
+            sorted_places.delete()
             return out, sizes
         string = self.scratch.array(m, np.uint32 if distinct < 1 << 32 else np.int64)
         for start in range(0, m, self.block):
             string[start : start + self.block] = distinct - 1 - names[start : start + self.block]
+        sorted_places.delete()
+        del names
         deeper = Level(string, distinct, cuts.upwards(distinct), self.limit // 2 + 1, self.scratch, self.block, self.held)
         last = None
         for index, common in deeper.sorted():
