@@ -4,7 +4,12 @@ One table of slots holds, in each slot, a bitmask with a bit per language.  An
 n-gram sets its languages' bits in its ``HASHES`` slots; the AND of those slots
 returns all languages that contain it, in one probe.  A document's evidence for
 a language is the number of its n-grams with that bit, less what the filter
-would say by chance at that language's load; the largest share decides.
+would say by chance at that language's measured load; the largest share decides.
+
+N-grams are counted exactly, by 64-bit hashes, and the filter has eight slots
+for each, as narrow as the number of languages allows.  The fit is bounded: by
+documents, by languages (those of most documents) and by n-grams (the most
+frequent).
 """
 
 from __future__ import annotations
@@ -19,12 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import bytekit as bk
-from quillspark.llm.common import batches, session
+from quillspark.llm.common import batches, session, stage, unstage
 
-#: Bytes of an n-gram, slots of the filter, hash functions, and counters of a training task.
-GRAM, SLOT_BITS, HASHES, COUNT_BITS = 5, 21, 3, 19
+#: Bytes of an n-gram, and hash functions of the filter.
+GRAM, HASHES = 5, 3
 #: Largest number of labelled documents that the filter is fitted on, whole texts.
 MAX_TRAIN_DOCS = 20_000
+#: Languages and n-grams that it learns at most.
+MAX_LANGUAGES, MAX_GRAMS = 256, 2_000_000
+#: N-grams that a training task holds before it passes their counts on.
+_HELD = 1 << 21
 #: An n-gram belongs to a language if its frequency there is at least this share of its largest.
 SHARE = 0.25
 
@@ -59,53 +68,62 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _count(rows: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator[pa.RecordBatch]:
-    """Frequencies of hashed n-grams by language, one row for each counter in use."""
+    """Frequencies of n-grams by language (its place), combined before they move."""
     place = {x: i for i, x in enumerate(languages)}
-    counts = np.zeros((len(languages), 1 << COUNT_BITS), dtype=np.int64)
+    held: dict[int, list[np.ndarray]] = {}
+    size = 0
+
+    def flush():
+        for at, parts in held.items():
+            gram, n = np.unique(np.concatenate(parts), return_counts=True)
+            for k in range(0, len(gram), 1 << 16):
+                part = slice(k, k + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram[part]), at, np.int32)), pa.array(gram[part].view(np.int64)), pa.array(n[part].astype(np.int64))], names=["at", "gram", "n"])
+        held.clear()
+
     for batch in rows:
         langs = batch.column("lang").to_pylist()
         for first, end, data, offsets in bk.slices(batch, "text"):
             hashes, fine = _grams(data, offsets)
             for i in range(end - first):
                 part = slice(int(offsets[i]), int(offsets[i + 1]))
-                h = hashes[part][fine[part]]
-                np.add.at(counts[place[langs[first + i]]], (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
-    for i, lang in enumerate(languages):
-        at = np.flatnonzero(counts[i])
-        for k in range(0, len(at), 65536):
-            part = at[k : k + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(counts[i][part])], names=["lang", "gram", "n"])
+                found = hashes[part][fine[part]]
+                held.setdefault(place[langs[first + i]], []).append(found)
+                size += len(found)
+            if size > _HELD:
+                yield from flush()
+                size = 0
+    yield from flush()
 
 
 @dataclass
 class LanguageFilter:
     languages: list[str]
-    slots: np.ndarray  # uint64 words a slot: (words, 1 << SLOT_BITS)
+    bits: int  # of a slot's number
+    slots: np.ndarray  # words of a slot: (words, 1 << bits)
     false_positive: np.ndarray  # by language
 
     @classmethod
-    def build(cls, languages: list[str], table: np.ndarray) -> LanguageFilter:
-        """table: counts by language and hashed n-gram."""
-        if not languages:
-            return cls([], np.zeros((0, 1 << SLOT_BITS), dtype=np.uint64), np.zeros(0))
-        rate = table / np.maximum(table.sum(axis=1, keepdims=True), 1)
-        member = (table > 0) & (rate >= SHARE * rate.max(axis=0, keepdims=True))
-        slots = np.zeros((-(-len(languages) // 64), 1 << SLOT_BITS), dtype=np.uint64)
+    def build(cls, languages: list[str], grams: np.ndarray, members: np.ndarray) -> LanguageFilter:
+        """grams: hash of each n-gram, members: place of a language that has it; an n-gram of several languages repeats."""
+        kind = next((k for k in (np.uint8, np.uint16, np.uint32) if len(languages) <= 8 * np.dtype(k).itemsize), np.uint64)
+        width = 8 * np.dtype(kind).itemsize
+        bits = max(10, (8 * len(np.unique(grams)) - 1).bit_length()) if len(grams) else 10
+        slots = np.zeros((-(-len(languages) // width), 1 << bits), dtype=kind)
         load = np.zeros(len(languages))
         for i in range(len(languages)):
-            grams = np.flatnonzero(member[i]).astype(np.uint64)
-            for at in cls.places(grams):
-                slots[i // 64, at] |= np.uint64(1 << (i % 64))
-            load[i] = ((slots[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()
-        return cls(list(languages), slots, load**HASHES)
+            for at in cls.places(grams[members == i], bits):
+                slots[i // width, at] |= kind(1 << (i % width))
+            load[i] = ((slots[i // width] >> kind(i % width)) & kind(1)).mean()
+        return cls(list(languages), bits, slots, load**HASHES)
 
     @staticmethod
-    def places(grams: np.ndarray) -> Iterator[np.ndarray]:
+    def places(grams: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         """Slots of hashed n-grams, by each hash function."""
         h = bk.mix(grams + np.uint64(0x1234567))
         step = bk.mix(h) | np.uint64(1)
         for k in range(HASHES):
-            yield ((h + np.uint64(k) * step) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            yield ((h + np.uint64(k) * step) >> np.uint64(64 - bits)).astype(np.int64)
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(texts, languages): corrected number of n-grams that each language contains, as a share of all."""
@@ -114,17 +132,18 @@ class LanguageFilter:
         out = np.zeros((n_docs, len(self.languages)))
         if not len(hashes):
             return out
-        at = [p for p in self.places(hashes >> np.uint64(64 - COUNT_BITS))]
+        at = list(self.places(hashes, self.bits))
         cuts = np.minimum(offsets, len(hashes))
         total = np.diff(np.concatenate([[0], np.cumsum(fine)])[cuts])
+        width = 8 * self.slots.itemsize
         for word in range(len(self.slots)):
             masks = self.slots[word][at[0]]
             for p in at[1:]:
                 masks &= self.slots[word][p]
             masks[~fine] = 0
-            for i in range(64 * word, min(64 * word + 64, len(self.languages))):
-                bits = ((masks >> np.uint64(i % 64)) & np.uint64(1)).astype(np.int64)
-                hits = np.diff(np.concatenate([[0], np.cumsum(bits)])[cuts])
+            for i in range(width * word, min(width * (word + 1), len(self.languages))):
+                bits = (masks >> masks.dtype.type(i % width)) & masks.dtype.type(1)
+                hits = np.diff(np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])[cuts])
                 out[:, i] = np.maximum(0, hits - total * self.false_positive[i]) / (1 - self.false_positive[i] + 1e-12)
         return out / np.maximum(total, 1)[:, None]
 
@@ -132,21 +151,26 @@ class LanguageFilter:
 def fit(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> LanguageFilter:
     """Fit on at most ``max_docs`` labelled documents (those of least hashed id) that are not held out.
 
-    The counters are of fixed size, whatever the corpus; without labelled
-    documents the filter knows no language.
+    Without labelled documents the filter knows no language.
     """
     session(docs)
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     ids = labelled.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     sample = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
-    languages = sorted(x[0] for x in sample.select("lang").distinct().collect())
-    table = np.zeros((len(languages), 1 << COUNT_BITS), dtype=np.int64)
-    if languages:
-        counts = sample.mapInArrow(lambda it: _count(it, languages), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        cells = counts.select(F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).alias("at"), "gram", "n").toArrow()
-        at, gram, n = (cells.column(i).to_numpy() for i in range(3))
-        table[at - 1, gram] = n
-    return LanguageFilter.build(languages, table)
+    languages = sorted(r["lang"] for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    if not languages:
+        return LanguageFilter.build([], np.empty(0, np.uint64), np.empty(0, np.int64))
+    counted = sample.filter(F.col("lang").isin(languages)).mapInArrow(lambda it: _count(it, languages), "at int, gram long, n long")
+    cells = stage(counted.groupBy("at", "gram").agg(F.sum("n").alias("n")), "grams")
+    # as many rows as languages
+    totals = {r["at"]: r["n"] for r in cells.groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    share = F.element_at(F.create_map(*[F.lit(x) for at, n in totals.items() for x in (at, 1.0 / n)]), F.col("at")) if totals else F.lit(0.0)
+    by_gram = cells.groupBy("gram").agg(F.sum("n").alias("n"), F.collect_list(F.struct("at", (F.col("n") * share).alias("rate"))).alias("c"))
+    if by_gram.count() > MAX_GRAMS:
+        by_gram = by_gram.orderBy(F.desc("n"), "gram").limit(MAX_GRAMS)
+    has = by_gram.select("gram", F.explode(F.filter("c", lambda x: x["rate"] >= SHARE * F.array_max("c.rate"))["at"]).alias("at")).toArrow()
+    unstage(cells)
+    return LanguageFilter.build(languages, has.column("gram").to_numpy().view(np.uint64), has.column("at").to_numpy())
 
 
 def _predict(rows: Iterator[pa.RecordBatch], model: LanguageFilter) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
@@ -189,11 +213,14 @@ def identify(docs: DataFrame, model: LanguageFilter | None = None) -> DataFrame:
 
 def _keep(rows: Iterator[pa.RecordBatch], model: LanguageFilter, languages: list[str] | None, least: float) -> Iterator[pa.RecordBatch]:
     for batch, preds, scores in _predict(rows, model):
-        yield batch.filter(pa.array([p != "und" and s > least and (languages is None or p in languages) for p, s in zip(preds, scores, strict=True)], pa.bool_()))
+        yield batch.filter(pa.array([p != "und" and s >= least and (languages is None or p in languages) for p, s in zip(preds, scores, strict=True)], pa.bool_()))
 
 
 def keep_identified(docs: DataFrame, languages: list[str] | None = None, least: float = 0.0, model: LanguageFilter | None = None) -> DataFrame:
-    """The documents in a learned language (or one of ``languages``) with a score over ``least``, all columns."""
+    """The documents in a learned language (or one of ``languages``) with a score of at least ``least``, all columns.
+
+    With the defaults only those go that ``identify`` calls ``und``.
+    """
     spark = session(docs)
     held = spark.sparkContext.broadcast(pickle.dumps(model or fit(docs)))
     return docs.mapInArrow(lambda it: _keep(it, pickle.loads(held.value), languages, least), docs.schema)
