@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: texts can be long, so fewer than Spark's default.
@@ -65,6 +65,36 @@ def unstage(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows at most of a table of dropped rows that is broadcast (some 40 bytes each); more are joined by key.
+MAX_BROADCAST_ROWS = 1 << 19
+
+
+def row_key(text_col: str = "text") -> list[Column]:
+    """What tells rows apart: doc_id (null or not) and a 64-bit hash of the text, as __none, __id, __text."""
+    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return [F.col("doc_id").isNull().alias("__none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), text.alias("__text")]
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows of ``dropped``: __none, __id, __text, one (boolean), one row a key.
+
+    Where ``one`` is true one of the rows with that key stays.  Texts move only
+    if the dropped rows are too many to broadcast, and those of which one stays.
+    """
+    key = ["__none", "__id", "__text"]
+    dropped = stage(dropped.select(*key, "one"), "dropped")
+    n, ones = dropped.agg(F.count("*"), F.count(F.when(F.col("one"), 1))).first()
+    keyed = docs.select("*", *row_key())
+    if not n:
+        return docs
+    sent = F.broadcast if n <= MAX_BROADCAST_ROWS else lambda df: df
+    kept = keyed.join(sent(dropped.select(*key)), key, "left_anti")
+    if ones:
+        again = keyed.join(sent(dropped.filter("one").select(*key)), key, "left_semi")
+        kept = kept.unionByName(again.dropDuplicates(key))
+    return kept.select(*docs.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,8 +7,10 @@ Fingerprints that meet are seeds: the words around them are compared one by
 one, and every maximal run of ten or more equal words is hit.  Items of fewer
 than ten words are looked up whole, by their own length.
 
-A small benchmark goes to the executors as one index; beyond ``broadcast_bytes``
-fingerprints are joined by shuffle and each document gets its candidate items.
+A small benchmark goes to the executors as one index.  Beyond
+``broadcast_bytes`` a bitmap of bounded size holds the items' fingerprints; the
+windows of a document around a fingerprint that passes are joined, by hash and
+words, with the windows of the items.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import bytekit as bk
-from quillspark.llm.common import batches, id_text, session
+from quillspark.llm.common import batches, drop_rows, id_text, row_key, session, stage
+from quillspark.llm.superkmer import Bitmap, bitmap_of
 
 WINDOW, GRAM = 10, 5
 #: Largest benchmark text, in bytes, that is sent to every executor.
@@ -106,12 +109,11 @@ class Scan:
     def word(self, i: int) -> bytes:
         return self.raw[self.units.starts[i] : self.units.ends[i]]
 
-    def hits(self, index: ItemIndex, only: int | None = None) -> dict[int, tuple[list[tuple[int, int]], set[int]]]:
+    def hits(self, index: ItemIndex) -> dict[int, tuple[list[tuple[int, int]], set[int]]]:
         """For each document with a hit: spans of words (from the slice's first), and the items."""
         found: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
         bounds = self.units.bounds
-        lo, hi = (0, len(self.units)) if only is None else (int(bounds[only]), int(bounds[only + 1]))
-        spots = self.spots[(self.spots >= lo) & (self.spots < hi)] if only is not None else self.spots
+        spots = self.spots
         reached: dict[tuple[int, int], int] = {}
         for p in spots[_member(self.grams[spots], index.sorted)].tolist():
             d = int(np.searchsorted(bounds, p, side="right")) - 1
@@ -134,8 +136,6 @@ class Scan:
         for length, (table, of) in index.short.items():
             hashes = bk.grams(self.pre, length)
             for p in np.flatnonzero(_member(hashes, table) & self._whole(len(hashes), length)).tolist():
-                if not lo <= p < hi:
-                    continue
                 for k in of[int(hashes[p])]:
                     if all(self.word(p + j) == w for j, w in enumerate(index.words[k])):
                         spans, items = found.setdefault(int(np.searchsorted(bounds, p, side="right")) - 1, ([], set()))
@@ -163,40 +163,112 @@ def _scan_all(rows: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.R
         yield from batches(out, _SCHEMA)
 
 
-def _scan_candidates(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_ITEM_DDL = "key long, finger long, packed binary, item_id string"
+_DOC_DDL = "__none boolean, __id long, __text long, pos long, size int, key long, packed binary"
+
+
+def _finger(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Bitmap key of a fingerprint (size 0) or of a whole item of fewer than ten words."""
+    return bk.mix(hashes + np.uint64(size * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+
+
+def _packed(scan: Scan, start: int, size: int) -> bytes:
+    return b" ".join(scan.word(i) for i in range(start, start + size))
+
+
+def _emitted(columns: list[list], ddl: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
+    fields = [f.split() for f in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
+
+
+def _item_windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of every item, and its fingerprint's bitmap key."""
     for batch in rows:
-        ids, out, items = batch.column("doc_id").to_pylist(), [], batch.column("items").to_pylist()
+        ids = batch.column("item_id").to_pylist()
         for first, end, data, offsets in bk.slices(batch, "text"):
-            scan = Scan(data, offsets)
-            counts = scan.units.counts().tolist()
+            scan, out = Scan(data, offsets), []
+            least = bk.leftmost_minima(scan.grams, WINDOW - GRAM + 1)
             for i in range(end - first):
-                index = ItemIndex([(x["item_id"], x["text"]) for x in items[first + i]]) if items[first + i] else None
-                hit = scan.hits(index, only=i).get(i) if index else None
-                out.append(_row(ids[first + i], counts[i], int(scan.units.bounds[i]), hit, index))
-        yield from batches(out, _SCHEMA)
+                lo, hi = int(scan.units.bounds[i]), int(scan.units.bounds[i + 1])
+                size = min(WINDOW, hi - lo)
+                if not size:
+                    continue
+                hashes = bk.span(scan.pre, np.arange(lo, hi - size + 1), np.arange(lo + size, hi + 1))
+                fingers = _finger(scan.grams[least[lo : hi - size + 1]], 0) if size == WINDOW else _finger(hashes, size)
+                out += [(k, f, _packed(scan, lo + j, size), ids[first + i]) for j, (k, f) in enumerate(zip(hashes.view(np.int64).tolist(), fingers.view(np.int64).tolist(), strict=True))]
+            for at in range(0, len(out), 4096):
+                yield _emitted(list(zip(*out[at : at + 4096], strict=True)), _ITEM_DDL)
 
 
-_KEYS = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("owner", pa.int64())])
+def _doc_windows(rows: Iterator[pa.RecordBatch], bitmap: Bitmap, sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    """Windows of the documents whose fingerprint is an item's, by the bitmap."""
+    for batch in rows:
+        keys = [batch.column(c).to_pylist() for c in ("__none", "__id", "__text")]
+        for first, _, data, offsets in bk.slices(batch, "text"):
+            scan, out = Scan(data, offsets), []
+            least = bk.leftmost_minima(scan.grams, WINDOW - GRAM + 1)
+            for size in [WINDOW, *sizes]:
+                starts = np.arange(max(0, len(scan.pre) - size))
+                hashes = bk.span(scan.pre, starts, starts + size)
+                fine = scan._whole(len(hashes), size)
+                fine &= bitmap.has(_finger(scan.grams[least[: len(hashes)]], 0) if size == WINDOW else _finger(hashes, size))
+                at = np.flatnonzero(fine)
+                of = first + np.searchsorted(scan.doc_end, at, side="right")
+                base = scan.units.bounds[of - first]
+                for d, p, b, k in zip(of.tolist(), at.tolist(), base.tolist(), hashes[at].view(np.int64).tolist(), strict=True):
+                    out.append((keys[0][d], keys[1][d], keys[2][d], p - b, size, k, _packed(scan, p, size)))
+                    if len(out) == 4096:
+                        yield _emitted(list(zip(*out, strict=True)), _DOC_DDL)
+                        out = []
+            if out:
+                yield _emitted(list(zip(*out, strict=True)), _DOC_DDL)
+
+
+def _sizes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        for _, _, data, offsets in bk.slices(batch, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(bk.Units(data, offsets, bk.ALNUM_RAW, bk.LOWER).counts().astype(np.int64))], names=["n_words"])
 
 
-def _keys(rows: Iterator[pa.RecordBatch], lengths: list[int], of_items: bool) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint once per text; kind 0, or the length of a short item."""
+def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
-        ids = np.array([-(1 << 63) if x is None else x for x in batch.column("doc_id").to_pylist()], dtype=np.int64)
-        for first, _, data, offsets in bk.slices(batch, "text"):
-            scan = Scan(data, offsets)
-            found = [(0, scan.grams[scan.spots], scan.spots)]
-            for length in lengths:
-                hashes = bk.grams(scan.pre, length)
-                at = np.flatnonzero(scan._whole(len(hashes), length))
-                if of_items:
-                    size = scan.units.counts()[np.searchsorted(scan.doc_end, at, side="right")]
-                    at = at[size == length]
-                found.append((length, hashes[at], at))
-            for kind, hashes, at in found:
-                owner = ids[first + np.searchsorted(scan.doc_end, at, side="right")] if len(at) else np.empty(0, np.int64)
-                pairs = np.unique(np.stack([hashes.view(np.int64), owner], 1), axis=0) if len(at) else np.empty((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(np.full(len(pairs), kind, np.int32)), pa.array(pairs[:, 1])], schema=_KEYS)
+        found = [bk.Units(data, offsets, bk.ALNUM_RAW, bk.LOWER).counts() for _, _, data, offsets in bk.slices(batch, "text")]
+        counts = pa.array(np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "__none", "__id", "__text")), counts], names=["doc_id", "__none", "__id", "__text", "n_words"])
+
+
+def _written(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        out = []
+        for doc_id, n_words, spans, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "spans", "ids")), strict=True):
+            at = np.array([[s["pos"], s["pos"] + s["size"]] for s in spans or []], dtype=np.int64).reshape(-1, 2)
+            starts, ends = bk.mask_to_runs(bk.ranges_to_mask(at[:, 0], at[:, 1], n_words))
+            listed = sorted(ids or [])
+            out.append((doc_id, n_words, int((ends - starts).sum()), len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest(), bool(len(starts)), np.stack([starts, ends], 1).reshape(-1).tolist()))
+        yield from batches(out, _SCHEMA)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def _index(items: DataFrame, broadcast_bytes: int):
+    """The items as a broadcast index, or None if they are too large for one."""
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    return items.sparkSession.sparkContext.broadcast(ItemIndex([tuple(x) for x in items.collect()])) if size <= broadcast_bytes else None
+
+
+def _joined_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Hit windows of the documents: __none, __id, __text, pos, size, item_id."""
+    spark = docs.sparkSession
+    windows = stage(items.mapInArrow(_item_windows, _ITEM_DDL).distinct(), "windows")
+    bitmap = spark.sparkContext.broadcast(bitmap_of(windows.select(F.col("finger").alias("key")).distinct()))
+    # at most nine rows
+    sizes = sorted(r[0] for r in items.mapInArrow(_sizes, "n_words long").filter(F.col("n_words").between(1, WINDOW - 1)).distinct().collect())
+    keyed = docs.select(*row_key(), F.col("text").cast("string").alias("text"))
+    mine = keyed.mapInArrow(lambda it: _doc_windows(it, bitmap.value, sizes), _DOC_DDL)
+    return mine.join(windows.drop("finger"), ["key", "packed"]).drop("key", "packed")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -206,28 +278,35 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     count once by item_id; an item whose id is null hits but is not listed.  An
     empty benchmark hits nothing; an empty table gives no rows.
     """
-    spark = session(docs)
-    rows = id_text(docs)
-    items = benchmark.select(F.col("item_id").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    if size <= broadcast_bytes:
-        index = spark.sparkContext.broadcast(ItemIndex([tuple(x) for x in items.collect()]))
-        return rows.mapInArrow(lambda it: _scan_all(it, index.value), _DDL)
-
-    distinct = items.select(F.col("item_id").cast("string").alias("item_id"), "text").withColumn("key", F.xxhash64("item_id", "text"))
-    lengths = list(range(1, WINDOW))
-    fingers = lambda df, of_items: df.mapInArrow(lambda it: _keys(it, lengths, of_items), "key long, kind int, owner long")
-    theirs = fingers(distinct.select(F.col("key").alias("doc_id"), "text"), True).withColumnRenamed("owner", "item_key").distinct()
-    pairs = fingers(rows, False).join(theirs, ["key", "kind"]).select("owner", "item_key").distinct()
-    with_text = pairs.join(distinct.withColumnRenamed("key", "item_key"), "item_key").select("owner", "item_id", "text").distinct()
-    lists = with_text.groupBy("owner").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
-    joined = rows.join(lists, F.coalesce(rows["doc_id"], F.lit(-(1 << 63))) == lists["owner"], "left").select("doc_id", "text", "items")
-    return joined.mapInArrow(_scan_candidates, _DDL)
+    session(docs)
+    items = _items(benchmark)
+    index = _index(items, broadcast_bytes)
+    if index is not None:
+        return id_text(docs).mapInArrow(lambda it: _scan_all(it, index.value), _DDL)
+    key = ["__none", "__id", "__text"]
+    hits = stage(_joined_hits(docs, items), "hits")
+    spans = hits.select(*key, "pos", "size").distinct().groupBy(*key).agg(F.collect_list(F.struct("pos", "size")).alias("spans"))
+    # as many ids as the result names
+    listed = hits.select(*key, "item_id").distinct().groupBy(*key).agg(F.collect_list("item_id").alias("ids"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), F.col("text").cast("string").alias("text"))
+    counted = rows.mapInArrow(_counted, "doc_id long, __none boolean, __id long, __text long, n_words long")
+    return counted.join(spans, key, "left").join(listed, key, "left").mapInArrow(_written, _DDL)
+
+
+def _keep_clean(rows: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        clean = np.ones(batch.num_rows, dtype=bool)
+        for first, _, data, offsets in bk.slices(batch, "text"):
+            for d in Scan(data, offsets).hits(index):
+                clean[first + d] = False
+        yield batch.filter(pa.array(clean))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The documents without a hit, with all their columns; rows are told by a hash of id and text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    row = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), text)
-    bad = decontaminate(docs.select(row.alias("doc_id"), "text"), benchmark, broadcast_bytes).filter("contaminated").select(F.col("doc_id").alias("__bad"))
-    return docs.withColumn("__row", row).join(bad.distinct(), F.col("__row") == F.col("__bad"), "left_anti").drop("__row")
+    """The documents without a hit, with all their columns; every row is decided by its own text."""
+    session(docs)
+    items = _items(benchmark)
+    index = _index(items, broadcast_bytes)
+    if index is not None:
+        return docs.mapInArrow(lambda it: _keep_clean(it, index.value), docs.schema)
+    return drop_rows(docs, _joined_hits(docs, items).select("__none", "__id", "__text").distinct().withColumn("one", F.lit(False)))

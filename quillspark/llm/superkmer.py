@@ -140,11 +140,16 @@ def _blocks(rows: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatc
 def repeated_minimisers(rows: DataFrame, shape: Shape, across: bool) -> Bitmap:
     """across: only minimisers of more than one document count."""
     counts = rows.mapInArrow(lambda it: _minimisers(it, shape), _KEYS_DDL).groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
-    repeated = stage(counts.filter("low != high" if across else "n > 1").select("key"), "minimisers")
+    return bitmap_of(counts.filter("low != high" if across else "n > 1").select("key"))
+
+
+def bitmap_of(keys: DataFrame) -> Bitmap:
+    """Bitmap of the distinct keys of a column ``key``, of bounded size."""
+    repeated = stage(keys, "minimisers")
     bits = min(MAX_BITMAP_BITS, max(16, (16 * repeated.count()).bit_length()))
     size = min(bits, _BLOCK_BITS)
     unsigned = F.shiftrightunsigned("key", 64 - bits)
-    n = min(partitions(rows.sparkSession), 1 << (bits - size))
+    n = min(partitions(keys.sparkSession), 1 << (bits - size))
     blocks = repeated.withColumn("block", F.shiftright(unsigned, size)).repartition(n, "block").select("key").mapInArrow(lambda it: _blocks(it, bits), "block long, data binary")
     data = np.zeros(1 << (bits - 3), dtype=np.uint8)
     for block, part in blocks.toLocalIterator():  # the bitmap's own bounded size
