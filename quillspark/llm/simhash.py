@@ -6,10 +6,11 @@ of their fingerprints.  The points are laid on a grid of four blocks of eight
 segments; points within distance 2 agree in at least two whole blocks, so each
 point visits the six cells that name two blocks, and no pair is missed.  In a
 cell, points are compared by Manhattan distance first and survivors verified on
-their bits.  A crowded cell is linked through the 65 values within one bit of
-each fingerprint instead (two fingerprints meet in one of them exactly if they
-differ in two bits or fewer), so its cost stays linear.  A cell returns a
-spanning forest, never all pairs.
+their bits.  A crowded cell is a smaller grid of the same kind: the segments in
+which its points differ make four blocks again, and so on until few points are
+left in a cell; where fewer than four segments differ, single bits are the
+segments.  A cell returns a spanning forest, never all pairs, and cells whose
+points are connected already are not opened.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import bytekit as bk
-from quillspark.llm.common import id_text, partitions, session, stage, unstage
+from quillspark.llm.common import drop_rows, id_text, partitions, session, stage, unstage
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
-#: Cells with more distinct fingerprints than this are linked through one-bit neighbours.
+#: Cells with more distinct fingerprints than this are divided again.
 CROWDED = 64
 
 _BITS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.int64())])
@@ -140,36 +141,45 @@ class _Forest:
 
 def link_cell(fps: np.ndarray) -> list[tuple[int, int]]:
     """Spanning forest of the distinct fingerprints that differ in two bits or fewer."""
-    n, forest, edges = len(fps), _Forest(len(fps)), []
-    if n <= CROWDED:
-        points, bits = segment_counts(fps), fps.view(np.uint64)
-        a, b = np.triu_indices(n, 1)
+    points, bits = segment_counts(fps), fps.view(np.uint64)
+    forest, edges = _Forest(len(fps)), []
+
+    def compare(members: np.ndarray) -> None:
+        a, b = np.triu_indices(len(members), 1)
+        a, b = members[a], members[b]
         near = manhattan(points[a], points[b]) <= DISTANCE
         a, b = a[near], b[near]
         near = popcount(bits[a] ^ bits[b]) <= DISTANCE
-        pairs = zip(a[near].tolist(), b[near].tolist(), strict=True)
-    else:
-        flips = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)])
-
-        def meet():
-            # neighbours in 16 parts, so that memory stays at a few values a fingerprint
-            for part in range(16):
-                values, owners = [], []
-                for flip in flips:
-                    v = fps.view(np.uint64) ^ flip
-                    mine = np.flatnonzero((bk.mix(v) >> np.uint64(60)) == part)
-                    values.append(v[mine])
-                    owners.append(mine)
-                v, o = np.concatenate(values), np.concatenate(owners)
-                order = np.argsort(v, kind="stable")
-                v, o = v[order], o[order]
-                same = np.flatnonzero(v[1:] == v[:-1])
-                yield from zip(o[same].tolist(), o[same + 1].tolist(), strict=True)
-
-        pairs = meet()
-    for i, j in pairs:
-        if forest.join(i, j):
-            edges.append((i, j))
+        for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
+            if forest.join(i, j):
+                edges.append((i, j))
+
+    def differing(values: np.ndarray, width: int) -> list[int]:
+        """Masks of the segments of ``width`` bits that are not the same in all values."""
+        mixed = int(np.bitwise_or.reduce(values ^ values[0]))
+        every = [((1 << width) - 1) << at for at in range(0, 64, width)]
+        return [mask for mask in every if mixed & mask]
+
+    def divide(members: np.ndarray) -> None:
+        if len(members) <= CROWDED:
+            compare(members)
+            return
+        root = forest.find(int(members[0]))
+        if all(forest.find(i) == root for i in members.tolist()):
+            return
+        values, segments = points[members], differing(points[members], 2)
+        if len(segments) < 4:
+            values, segments = bits[members], differing(bits[members], 1)
+        blocks = [sum(segments[k::4]) for k in range(4)]
+        for a, b in combinations(blocks, 2):
+            cell = values & np.uint64(a | b)
+            order = np.argsort(cell, kind="stable")
+            edge = np.flatnonzero(np.concatenate([[True], cell[order][1:] != cell[order][:-1]]))
+            for s, e in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
+                if e - s > 1:
+                    divide(members[order[s:e]])
+
+    divide(np.arange(len(fps)))
     return edges
 
 
@@ -251,11 +261,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each component with all its columns: of least doc_id, without one only where none has any."""
-    row = [F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("text_key").alias("__text")]
-    keep = _with_components(docs).groupBy("root").agg(F.min(F.struct(*row)).alias("k")).select("k.*")
-    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = docs.select("*", F.col("doc_id").isNull().alias("__none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), text.alias("__text"))
-    same = Window.partitionBy("__none", "__id", "__text").orderBy("__text")
-    kept = keyed.join(keep, ["__none", "__id", "__text"], "left_semi").withColumn("__row", F.row_number().over(same))
-    return kept.filter("__row = 1").select(*docs.columns)
+    """One row of each component with all its columns: of least doc_id, without one only where none has any.
+
+    Of rows that repeat that doc_id and its text, one stays.
+    """
+    key = [F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("text_key").alias("__text")]
+    rows = _with_components(docs).select("root", F.struct(*key).alias("k"))
+    keep = rows.groupBy("root").agg(F.min("k").alias("best"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    dropped = rows.join(keep, "root").groupBy("k").agg(F.count("*").alias("n"), F.first(F.col("k") == F.col("best")).alias("one"))
+    return drop_rows(docs, dropped.filter("not one or n > 1").select("k.*", "one"))
