@@ -89,6 +89,11 @@ def simhash(text):
 
 
 def near(docs):
+    return [row[:3] for row in near_groups(docs)]
+
+
+def near_groups(docs):
+    """doc_id, fingerprint, component_id and a number of the component."""
     fps = [(doc, simhash(text)) for doc, text in docs]
     up = list(range(len(fps)))
 
@@ -106,7 +111,7 @@ def near(docs):
         r = find(i)
         if doc is not None:
             least[r] = min(least.get(r, doc), doc)
-    return [(doc, f"{fp:016x}", least.get(find(i))) for i, (doc, fp) in enumerate(fps)]
+    return [(doc, f"{fp:016x}", least.get(find(i)), find(i)) for i, (doc, fp) in enumerate(fps)]
 
 
 def pieces(tokenizer, docs, size=2048):
