@@ -19,17 +19,17 @@ from quillspark.llm.simhash import drop_near_copies
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language stay; those without letters or without evidence go."""
+    """Documents in a learned language stay; those without a letter go."""
     return keep_identified(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays."""
+    """Of equal texts one row stays, of the largest doc_id."""
     return drop_exact_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the least doc_id stays."""
+    """Of each component of near copies one row stays, of the least doc_id."""
     return drop_near_copies(docs)
 
 
