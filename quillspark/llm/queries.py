@@ -90,10 +90,13 @@ phrases AS (SELECT string_split(p, ' ') AS p, label FROM (VALUES {_BASE_ROWS}) A
 places AS (SELECT r, pos - 1 AS place, label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS pos FROM d WHERE list_contains(w, 'license')), phrases
            WHERE w[pos:pos + len(p) - 1] = p),
 base AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list(DISTINCT label)) AS base_set FROM places GROUP BY r),
-templates AS (SELECT label, list_distinct(string_split(words, ' ')) AS t FROM (VALUES {_TEMPLATE_ROWS}) AS v(k, label, words)),
+templates AS (SELECT label, list_distinct(string_split(words, ' ')) AS t, len(string_split(words, ' ')) AS long FROM (VALUES {_TEMPLATE_ROWS}) AS v(k, label, words)),
 blocks AS (SELECT r, {_LINE_WORDS} AS b FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
 matches AS (SELECT r, label, len(list_intersect(list_distinct(b), t)) AS n, len(t) AS size FROM blocks, templates WHERE len(b) >= {THRESHOLD} * len(t)),
-more AS (SELECT r, list(DISTINCT label) AS more_set, max(n / size) AS best FROM matches WHERE n >= {THRESHOLD} * size GROUP BY r)
+starts AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS pos FROM d),
+runs AS (SELECT r, label, len(list_intersect(list_distinct(w[pos:pos + long - 1]), t)) AS n, len(t) AS size FROM (SELECT r, label, w, pos, long, t FROM starts, templates WHERE list_contains(t, w[pos]))),
+every AS (SELECT r, label, n, size FROM matches UNION ALL SELECT r, label, n, size FROM runs),
+more AS (SELECT r, list(DISTINCT label) AS more_set, max(n / size) AS best FROM every WHERE n >= {THRESHOLD} * size GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        array_to_string(coalesce(base_set, []), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base_set, []), coalesce(more_set, [])))), ',') AS labels,

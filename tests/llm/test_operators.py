@@ -3,11 +3,13 @@
 import random
 import subprocess
 import sys
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tests.llm import brute
 
@@ -82,6 +84,29 @@ def test_license_wrapped(spark):
     assert got == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("mpl", 1.0), 3: ("bsd", 1.0), 4: ("apache", 1.0), 5: ("", 0.0), 6: ("mit", 1.0)}
 
 
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "apache": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License",
+}
+
+
+def test_license_sql(spark):
+    import duckdb
+
+    wrapped = [start + ("\n" + start).join(textwrap.wrap(t, 76 - len(start))) for t in NOTICES.values() for start in ("", " * ", "# ")]
+    rows = awkward() + list(enumerate(wrapped, 200)) + [(300 + k, f"before\n{t}\nafter") for k, t in enumerate(wrapped)]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())}))
+    found = con.execute(queries.SQL["op2_license_scan"])
+    columns = [c[0] for c in found.description]
+    want = found.fetchall()
+    same(license_scan(frame(spark, rows)), columns, want)
+    labels = {r[columns.index("doc_id")]: r[columns.index("labels")] for r in want}
+    assert [labels[200 + k] for k in range(len(wrapped))] == [label for label in NOTICES for _ in range(3)]
+
+
 ITEMS = [(1, "w1 w2"), (2, None), (None, "one"), (2, "w1 w2"), (7, "...")]
 
 
