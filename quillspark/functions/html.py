@@ -1,4 +1,4 @@
-"""Web pages: metadata, main content, cleaning and chapters, on the standard parser.
+"""Web pages: metadata, main content, cleaning, replacement and chapters, on the standard parser.
 
 One Arrow pass turns html and address into a struct; what plain expressions can
 tell (title, language, visible length) has expressions of its own.
@@ -6,28 +6,70 @@ tell (title, language, visible length) has expressions of its own.
 
 from __future__ import annotations
 
-import html as entities
-from html.parser import HTMLParser
-from urllib.parse import urljoin, urlparse
+import re
+from urllib.parse import urldefrag, urljoin, urlparse
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.chapters import merged
+from quillspark.functions.chapters import grouped
+from quillspark.functions.markup import Page
 from quillspark.functions.text import col
 from quillspark.functions.udf import vectorised
 
-#: Elements that go with all they hold, elements without content, attributes that stay.
-DROPPED = ["script", "style", "noscript", "template", "iframe", "form", "nav", "header", "footer", "aside", "button", "input", "svg", "object", "embed"]
-VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
-KEPT_ATTRIBUTES = ["href", "src", "alt", "title", "id", "colspan", "rowspan"]
-#: Attributes that hold the address of an image that loads late.
-LATE = ["data-src", "data-original", "data-lazy-src", "data-lazy", "data-url", "data-image", "data-full-src"]
-DATE_NAMES = ["article:published_time", "date", "dc.date", "pubdate", "publish-date", "og:published_time"]
-DESCRIPTION_NAMES = ["description", "og:description", "twitter:description"]
-TAG_NAMES = ["keywords", "article:tag", "news_keywords"]
-PUBLISHER_NAMES = ["og:site_name", "publisher", "application-name"]
+#: Elements that go with all they hold.
+DROPPED = frozenset(
+    "map area embed object video audio iframe canvas applet frameset track portal source frame param shadow "
+    "button input output textarea select datalist keygen optgroup option "
+    "base script meta link style template slot basefont font "
+    "menu command nav menuitem "
+    "math svg col colgroup dialog".split()
+)
+#: Attributes that go, beside all that begin with ``data-`` or ``on``.
+DROPPED_ATTRIBUTES = frozenset(
+    "style class background bgcolor border width heigth "
+    "contextmenu draggable tabindex for autocomplete capture contenteditable crossorigin dirname enterkeyhint form "
+    "formaction formenctype formmethod formnovalidate formtarget inputmode list maxlength minlength max min novalidate "
+    "pattern readonly required spellcheck step usemap autofocus "
+    "loading ping slot sizes decoding elementtiming fetchpriority referrerpolicy "
+    "accept accept-charset action enctype method srcset attributionsrc".split()
+)
+#: Elements that go when they are empty.
+GO_EMPTY = frozenset(
+    "span abbr cite em i b sub sup small strong mark del s code p ol ul li div pre blockquote label aside address "
+    "h1 h2 h3 h4 h5 h6 main section header article footer summary details table caption thead tbody tfoot".split()
+)
+#: Elements that stay as they are; others become div.
+KNOWN = frozenset(
+    "address article aside footer header h1 h2 h3 h4 h5 h6 hgroup main section blockquote dd div dl dt figcaption figure hr li ol p pre ul "
+    "a abbr b bdi bdo br cite code data dfn em i kbd mark q rp rt ruby s samp small span strong sub sup time u var wbr img picture portal "
+    "noscript del ins caption table tbody td tfoot th thead tr fieldset form label legend meter progress details summary".split()
+)
+#: What simpler element stands for another, and styles that stand for an element.
+SIMPLER = {
+    **dict.fromkeys("article aside details figure fieldset footer form header hgroup main noframes noscript picture search section".split(), "div"),
+    "dir": "ul",
+    **dict.fromkeys("bdi data label rt ruby time rp wbr".split(), "span"),
+    **dict.fromkeys("figcaption summary legend".split(), "p"),
+    **dict.fromkeys("s strike".split(), "del"),
+}
+STYLED = {
+    "mark": ("span", "background-color: #ff0;"),
+    "u": ("span", "text-decoration-color: red;text-decoration-style: wavy;text-decoration-line: underline;text-decoration: red wavy underline;"),
+    "table": ("table", "border-collapse: collapse;"),
+    "th": ("th", "border: 1px solid black;"),
+    "td": ("td", "border: 1px solid black;"),
+}
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Attributes that hold the address of an image that loads late, and names of metadata in order.
+LATE = ["data-src", "data-original", "data-lazy-src", "data-url", "data-image", "data-full-src", "data-hi-res-src"]
+DATE_NAMES = ["article:published_time", "article:modified_time", "book:release_date", "og:article:published_time", "og:article:modified_time", "og:book:release_date"]
+PUBLISHER_NAMES = ["publisher", "owner", "copyright", "og:site_name"]
+DESCRIPTION_NAMES = ["description", "og:description", "subtitle", "abstract"]
+TAG_NAMES = ["news_keywords", "keywords"]
+#: Characters before the first heading that make a chapter, and the title of a page without one.
+LEFTOVER, UNTITLED = 80, "Artigo"
 
 PAGE_DDL = "title string, date string, author string, publisher string, description string, tags array<string>, language string, chapters array<struct<title:string,body:string>>, images array<string>"
 
@@ -42,137 +84,216 @@ def language_of(html: Column | str) -> Column:
     return F.when(lang == "", "en").otherwise(lang)
 
 
-class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
-
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
-
-    def all(self, *tags: str):
-        for child in self.children:
-            if isinstance(child, Node):
-                if not tags or child.tag in tags:
-                    yield child
-                yield from child.all(*tags)
-
-    def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
-
-    def markup(self) -> str:
-        inner = "".join(entities.escape(c, quote=False) if isinstance(c, str) else c.markup() for c in self.children)
-        if self.tag == "#root":
-            return inner
-        attrs = "".join(f' {k}="{entities.escape(v)}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}/>" if self.tag in VOID else f"<{self.tag}{attrs}>{inner}</{self.tag}>"
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-
-def tree(html: str) -> Node:
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
-    return builder.root
-
-
-def _meta(root: Node, names: list[str]) -> str:
-    for name in names:
-        for attribute in ("name", "property"):
-            for node in root.all("meta"):
-                if node.attrs.get(attribute) == name and node.attrs.get("content", "").strip():
-                    return node.attrs["content"].strip()
-    return ""
-
-
-def main_content(root: Node) -> Node:
-    """The only article in main, else main, else the first article, else the body."""
-    mains = [n for n in root.all() if n.tag == "main" or n.attrs.get("role") == "main"]
-    for m in mains[:1]:
-        inner = list(m.all("article"))
-        return inner[0] if len(inner) == 1 else m
-    for tag in ("article", "body"):
-        for node in root.all(tag):
-            return node
-    return root
-
-
-def clean(node: Node, url: str, images: list[str]) -> bool:
-    """Take out what is not content, in place; False if nothing is left of the element."""
-    hidden = "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or "display:none" in node.attrs.get("style", "").replace(" ", "")
-    if node.tag in DROPPED or hidden:
-        return False
-    if node.tag == "img":
-        source = next((node.attrs[a] for a in LATE if node.attrs.get(a)), "") or node.attrs.get("src", "") or node.attrs.get("srcset", "").split(",")[0].strip().split(" ")[0]
-        if not source or source.startswith("data:"):
-            return False
-        node.attrs["src"] = urljoin(url, source)
-        if node.attrs["src"] not in images:
-            images.append(node.attrs["src"])
-    if node.tag == "a" and node.attrs.get("href"):
-        absolute = urljoin(url, node.attrs["href"])
-        page, _, fragment = absolute.partition("#")
-        node.attrs["href"] = f"#{fragment}" if fragment and page == url.partition("#")[0] else absolute
-    node.attrs = {k: v for k, v in node.attrs.items() if k in KEPT_ATTRIBUTES}
-    node.children = [c for c in node.children if isinstance(c, str) or clean(c, url, images)]
-    return node.tag in VOID or node.tag in ("td", "th") or any(not isinstance(c, str) or c.strip() for c in node.children)
-
-
-def split(node: Node, title: str) -> list[tuple[str, str]]:
-    """Chapters at the level-two headings; with a single one, level-three headings cut too."""
-    levels = ("h2",) if len(list(node.all("h2"))) != 1 else ("h2", "h3")
-    pieces: list[tuple[str, list[str]]] = [(title, [])]
-
-    def walk(n: Node) -> None:
-        for c in n.children:
-            if isinstance(c, Node) and c.tag in levels:
-                pieces.append((c.text().strip(), []))
-            elif isinstance(c, Node) and any(True for _ in c.all(*levels)):
-                walk(c)
+def _metadata(page: Page, url: str) -> dict:
+    named: dict[tuple[str, str], str] = {}
+    props: dict[tuple[str, str], list[int]] = {}
+    titles, langs = [], []
+    for i in page.elements():
+        tag, attrs = page.tag[i], page.data[i]
+        if tag == "meta" and attrs.get("content", "").strip():
+            for attribute in ("name", "property"):
+                if attribute in attrs:
+                    named.setdefault((attribute, attrs[attribute]), attrs["content"].strip())
+        elif tag == "title":
+            titles.append(page.text(i, page.end[i]).strip())
+        elif tag == "html":
+            langs.append((attrs.get("lang") or attrs.get("xml:lang") or "").strip())
+        if attrs.get("itemprop"):
+            props.setdefault(attrs["itemprop"], []).append(i)
+    meta = lambda names: next((named[a, n] for n in names for a in ("name", "property") if (a, n) in named), "")
+
+    def value(prop: str, tag: str, attribute: str) -> str:
+        return next((v for i in props.get(prop, ()) if page.tag[i] == tag and (v := page.data[i].get(attribute, "").strip())), "")
+
+    def name_in(prop: str) -> str:
+        return next((v for i in props.get(prop, ()) for k in page.inside(i, {"meta"}) if page.data[k].get("itemprop") == "name" and (v := page.data[k].get("content", "").strip())), "")
+
+    first_author = props.get("author", ())[:1]
+    try:
+        host = urlparse(url).hostname
+    except ValueError:
+        host = None
+    return {
+        "title": next((t for t in titles if t), "") or host or url,
+        "date": value("datePublished", "meta", "content") or value("startDate", "time", "datetime") or meta(DATE_NAMES) or None,
+        "author": meta(["author"]) or name_in("author") or "".join(page.text(i, page.end[i]).strip() for i in first_author),
+        "publisher": name_in("publisher") or meta(PUBLISHER_NAMES) or url,
+        "description": meta(DESCRIPTION_NAMES),
+        "tags": [t.strip() for t in meta(TAG_NAMES).split(",") if t.strip()],
+        "language": next((x for x in langs if x), "en").split("-")[0].lower() or "en",
+    }
+
+
+def _find_late_images(page: Page) -> None:
+    for i in page.elements({"img"}):
+        attrs = page.data[i]
+        if attrs.get("src", "").strip():
+            continue
+        found = next((v for a in LATE if (v := attrs.get(a, "").strip())), "")
+        if not found and page.tag[page.parent[i]] == "picture":
+            sets = (page.data[k].get("srcset", "").strip() for k in page.inside(page.parent[i], {"source"}))
+            found = next((c for s in sets if (c := s.split(",")[0].strip().split(" ")[0])), "")
+        if found:
+            attrs["src"] = found
+
+
+def tidy_space(text: str) -> str:
+    """Runs of spaces, and blank lines with the spaces around them, become one."""
+    text = re.sub("  +", " ", text.replace("\r", "").replace("\t", " "))
+    return re.sub(" +\n", "\n", re.sub(r"\n[\n ]+", "\n", text))
+
+
+def clean(page: Page) -> None:
+    """Take out what is not content: elements, hidden and empty ones, attributes and white space."""
+    for i in page.elements():
+        if page.live[i] and (page.tag[i] in DROPPED or "hidden" in page.data[i]):
+            page.remove(i)
+    # from the end, so that an element is seen after all that it holds
+    filled = bytearray(len(page.tag))
+    for i in range(len(page.tag) - 1, 0, -1):
+        if not page.live[i]:
+            continue
+        if page.tag[i] in GO_EMPTY and not filled[i]:
+            page.remove(i)
+        elif page.tag[i] is not None or page.data[i].strip():
+            filled[page.parent[i]] = 1
+    for i in page.elements():
+        page.data[i] = {k: v for k, v in page.data[i].items() if k not in DROPPED_ATTRIBUTES and not k.startswith(("data-", "on"))}
+        source = page.data[i].get("src", "")
+        if page.tag[i] == "img" and source.startswith("data:image/svg+xml"):
+            payload = source.partition(",")[2] or source
+            if "svg" in payload and "<" not in payload:
+                page.remove(i)
+    for i in range(len(page.tag)):
+        if page.live[i] and page.tag[i] is None and page.tag[page.parent[i]] not in ("pre", "code"):
+            page.data[i] = tidy_space(page.data[i])
+
+
+def main_content(page: Page) -> int:
+    """The only article in a main, else the first main, else the first article, else the body."""
+    inner = {k for m in page.elements({"main"}) for k in page.inside(m, {"article"})}
+    if len(inner) == 1:
+        return inner.pop()
+    first = lambda found: next(iter(found), None)
+    main = first(i for i in page.elements() if page.tag[i] == "main" or page.data[i].get("role") == "main")
+    for found in (main, first(page.elements({"article"})), first(page.elements({"body"}))):
+        if found is not None:
+            return found
+    return 0
+
+
+def replace(page: Page) -> None:
+    """Headings one level down if there is one of the first; simpler elements for others."""
+    lower = any(True for _ in page.elements({"h1"}))
+    for i in page.elements():
+        tag, attrs = page.tag[i], page.data[i]
+        if lower and tag in HEADINGS:
+            level = HEADINGS.index(tag) + 1
+            if level < len(HEADINGS):
+                tag = HEADINGS[level]
             else:
-                pieces[-1][1].append(entities.escape(c, quote=False) if isinstance(c, str) else c.markup())
-
-    walk(node)
-    out = [(t, "".join(parts).strip()) for t, parts in pieces]
-    return [c for i, c in enumerate(out) if c[1] or (i and c[0])]
+                tag = "p"
+                page.data[i] = attrs = {"role": "heading", "aria-level": "7", **attrs}
+        tag = SIMPLER.get(tag, tag)
+        if tag not in KNOWN and tag not in ("html", "head", "body", "title", "#root"):
+            tag = "div"
+        if tag in STYLED:
+            tag, style = STYLED[tag]
+            page.data[i] = {"style": style, **attrs}
+        page.tag[i] = tag
+
+
+def _place_images(page: Page, content: int, url: str) -> list[str]:
+    images: dict[str, None] = {}
+    for i in page.inside(content, {"img"}):
+        source = page.data[i].get("src", "").strip()
+        if source and not source.startswith("data:"):
+            absolute = urljoin(url, source)
+            images[absolute] = None
+            alt = page.data[i].get("alt")
+            page.data[i] = {"src": absolute, **({"alt": alt} if alt else {})}
+    return list(images)
+
+
+def split(page: Page, content: int, title: str) -> list[tuple[str, int, int, list[int]]]:
+    """(title, first node, end, shells) of each chapter.
+
+    Level-two headings cut; with a single one, level-three headings too.  A
+    chapter stands in copies of the elements that hold its heading.  What is
+    before the first heading is a chapter if it has enough text.
+    """
+    first, end = content + 1, page.end[content]
+    name = {i: page.text(i, page.end[i]).strip() for i in page.inside(content, {"h2", "h3"})}
+    cuts = [i for i, t in name.items() if t and page.tag[i] == "h2"]
+    if not cuts:
+        return [(title, first, end, [])]
+    if len(cuts) == 1:
+        cuts = [i for i, t in name.items() if t]
+    stops = [*cuts[1:], end]
+    chapters = [(name[i], page.end[i], stop, page.ancestors(i, content)) for i, stop in zip(cuts, stops, strict=True)]
+    chapters = [c for c in chapters if page.text(c[1], c[2]).strip()]
+    if len(page.text(first, cuts[0]).strip()) >= LEFTOVER:
+        chapters.insert(0, (title, first, cuts[0], []))
+    return chapters
+
+
+def _chapters(page: Page, content: int, title: str, url: str) -> list[dict]:
+    parts = split(page, content, title)
+    owners: dict[str, int] = {}
+    for k, (_, low, high, shells) in enumerate(parts):
+        for i in [*shells, *page.elements(None, low, high)]:
+            if page.data[i].get("id"):
+                owners.setdefault(page.data[i]["id"], k)
+            if page.tag[i] == "a" and page.data[i].get("name"):
+                owners.setdefault(page.data[i]["name"], k)
+    own = urldefrag(url)[0]
+    inner: dict[int, str] = {}
+
+    def linked(i: int) -> tuple[str, dict]:
+        """Addresses are absolute, inner ones lead to the chapter that has them, broken ones are no links."""
+        tag, attrs = page.tag[i], page.data[i]
+        if tag != "a" or "href" not in attrs:
+            return tag, attrs
+        try:
+            absolute = urljoin(url, attrs["href"])
+        except ValueError:
+            absolute = attrs["href"]
+        base, fragment = urldefrag(absolute)
+        if base == own and fragment or absolute.startswith("#"):
+            if fragment not in owners:
+                return "span", {k: v for k, v in attrs.items() if k != "href"}
+            inner[i] = fragment
+            chapter = into.get(owners[fragment])
+            here = chapter is None or chapter == into.get(at)
+            return tag, attrs | {"href": f"#{fragment}" if here else f"chapter_{chapter + 1:04d}.xhtml#{fragment}"}
+        blank = {"target": "_blank"} if absolute.startswith(("http://", "https://")) else {}
+        return tag, attrs | {"href": absolute} | blank
+
+    into: dict[int, int] = {}
+    bodies = []
+    for at, (_, low, high, shells) in enumerate(parts):  # noqa: B007
+        bodies.append(page.write(low, high, shells, change=linked))
+    named = [(t or title, b) for (t, *_), b in zip(parts, bodies, strict=True)]
+    groups = grouped(named)
+    if len(groups) > 1 and inner:
+        # links between chapters are known only now
+        into = {k: n for n, (_, _, members) in enumerate(groups) for k in members}
+        for at, (_, low, high, shells) in enumerate(parts):  # noqa: B007
+            bodies[at] = page.write(low, high, shells, change=linked)
+        groups = grouped([(t, b) for (t, _), b in zip(named, bodies, strict=True)])
+    return [{"title": t, "body": b} for t, b, _ in groups] or [{"title": title, "body": "<p></p>"}]
 
 
 def read_page(html: str, url: str) -> dict:
-    root = tree(html)
-    title = next((t for n in root.all("title") if (t := n.text().strip())), "") or urlparse(url).hostname or url
-    prop = lambda tag, name, attr: next((n.attrs[attr].strip() for n in root.all(*([tag] if tag else [])) if n.attrs.get("itemprop") == name and n.attrs.get(attr, "").strip()), "")
-    lang = next((x for n in root.all("html") if (x := (n.attrs.get("lang") or n.attrs.get("xml:lang") or "").strip())), "en").split("-")[0].lower() or "en"
-    author = _meta(root, ["author"]) or next((n.text().strip() for n in root.all() if n.attrs.get("itemprop") == "author"), "")
-    tags = [t.strip() for t in _meta(root, TAG_NAMES).split(",") if t.strip()]
-    date = prop("meta", "datePublished", "content") or prop("time", "startDate", "datetime") or _meta(root, DATE_NAMES) or None
-    page = {"title": title, "date": date, "author": author, "publisher": _meta(root, PUBLISHER_NAMES) or url, "description": _meta(root, DESCRIPTION_NAMES), "tags": tags, "language": lang}
-    images: list[str] = []
-    content = main_content(root)
-    clean(content, url, images)
-    chapters = merged(split(content, title))
-    return page | {"chapters": [{"title": t, "body": b} for t, b in chapters], "images": images}
+    page = Page(html)
+    about = _metadata(page, url)
+    title = about["title"] or UNTITLED
+    _find_late_images(page)
+    clean(page)
+    content = main_content(page)
+    replace(page)
+    images = _place_images(page, content, url)
+    return about | {"title": title, "chapters": _chapters(page, content, title, url), "images": images}
 
 
 @vectorised(PAGE_DDL)
@@ -181,13 +302,7 @@ def page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_page(h or "", u or "") for h, u in zip(html, url, strict=True)], columns=["title", "date", "author", "publisher", "description", "tags", "language", "chapters", "images"], dtype=object)
 
 
-def clean_css(css: Column | str) -> Column:
-    """Style sheets without comments, imports and scripts."""
-    out = F.regexp_replace(col(css), r"(?s)/\*.*?\*/", "")
-    return F.regexp_replace(F.regexp_replace(out, r"(?i)@import[^;]*;?", ""), r"(?i)(expression\s*\([^)]*\)|javascript:[^;)\s]*)", "")
-
-
 def reference_class(url: Column | str) -> Column:
     """keep, remote, internal or block: what a reader does with an address."""
     u = F.lower(F.trim(F.coalesce(col(url), F.lit(""))))
-    return F.when((u == "") | F.startswith(u, F.lit("#")), "keep").when(u.rlike("^(https?:|//)"), "remote").when(u.rlike(r"^(mailto|tel):"), "keep").when(u.rlike(r"^data:image/(png|jpe?g|gif|webp)"), "keep").when(u.rlike(r"^[a-z][a-z0-9+.-]*:"), "block").otherwise("internal")
+    return F.when(u == "", "block").when(u.rlike("^(#|data:|about:blank|mailto:|tel:)"), "keep").when(u.rlike("^((https?:)?//|[a-z][a-z0-9+.-]*:)"), "remote").otherwise("internal")

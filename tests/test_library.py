@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quillspark import queries
-from quillspark.functions import chapters, files, html, lines, text, urls
+from quillspark.functions import chapters, files, html, lines, sanitize, text, urls
 from quillspark.operators import catalog, lifecycle, links
 from quillspark.operators import records as desk
 from quillspark.plans import planner
@@ -92,7 +92,7 @@ def test_names_and_text(spark):
 
 def test_page_reader():
     page = """<html lang="pt-BR"><head><title> Pagina </title><meta name="author" content="Fulano"><meta name="keywords" content="um, dois,"></head>
-    <body><header>site</header><script>x()</script><main><article class="c"><p>Ola <a href="/rel">link</a><img data-src="i.png" src="data:x"></p><p hidden>no</p><div></div></article></main><footer>f</footer></body></html>"""
+    <body><header>site</header><script>x()</script><main><article class="c"><p>Ola <a href="/rel">link</a><img data-src="i.png" src=" "></p><p hidden>no</p><div></div></article></main><footer>f</footer></body></html>"""
     got = html.read_page(page, "https://h.org/p/")
     assert (got["title"], got["author"], got["language"], got["tags"]) == ("Pagina", "Fulano", "pt", ["um", "dois"])
     (chapter,) = got["chapters"]
@@ -103,7 +103,7 @@ def test_page_reader():
 
 def test_consolidation():
     short = chapters.merged([("a", "x" * 100), ("b", "y" * 100)])
-    assert len(short) == 1 and "<h3>b</h3>" in short[0][1]
+    assert len(short) == 1 and "<h2>b</h2>" in short[0][1]
     two = chapters.merged([("a", "x" * 8000), ("b", "tiny"), ("c", "z" * 30000)])
     assert [t for t, _ in two] == ["a", "c"] and "tiny" in two[0][1]
     assert 2 <= len(chapters.merged([("a", "x" * 6000)] + [(str(i), "y" * 3000) for i in range(18)])) <= 8
@@ -347,3 +347,43 @@ def test_kindle_cover():
     base = 78 + 16
     data = b"\0" * 60 + b"BOOKMOBI" + b"\0" * 8 + s.pack(">H", 2) + s.pack(">II", base, 0) + s.pack(">II", base + len(head), 0) + head + b"COVER"
     assert containers.read_kindle_cover(data) == b"COVER" and containers.read_kindle_cover(b"x") is None
+
+
+def test_deep_page():
+    deep = "<html><body>" + "<div>" * 10_000 + "<h2>Deep</h2><p>" + "text " * 30 + "</p>" + "</div>" * 10_000 + "</body></html>"
+    got = html.read_page(deep, "https://h.org/")
+    assert [c["title"] for c in got["chapters"]] == ["Deep"] and "text text" in got["chapters"][0]["body"]
+    assert "text text" in sanitize.safe_html(deep, "", "/a/")
+
+
+def test_page_steps():
+    lead = "An opening paragraph that is long enough to become a chapter of its own, with the title of the page. "
+    page = f"""<html><head><title>T</title><meta name="subtitle" content="S"><meta property="og:site_name" content="Site"><meta name="owner" content="Owner"><meta name="article:modified_time" content="2024"></head>
+    <body><header><h1>Top</h1><p>{lead}</p></header><section id="s1"><h2>One</h2><p>first <a href="#s2">to two</a> <a href="#gone">broken</a> <a href="/x">out</a></p></section>
+    <section id="s2"><h2>Two</h2><p>second <mark>m</mark><u>u</u></p><canvas>no</canvas><video>no</video><form><p>kept words</p></form><custom-tag>c</custom-tag><table><tr><td>cell</td></tr></table><pre>a   b</pre></section></body></html>"""
+    got = html.read_page(page, "https://h.org/p")
+    assert (got["description"], got["publisher"], got["date"]) == ("S", "Owner", "2024")
+    (chapter,) = got["chapters"]
+    body = chapter["body"]
+    assert "opening paragraph" in body and "kept words" in body and ">no<" not in body and "<h2>One</h2>" in body and "<header" not in body
+    assert '<a href="#s2">to two</a>' in body and "<span>broken</span>" in body and 'href="https://h.org/x" target="_blank"' in body
+    assert '<span style="background-color: #ff0;">m</span>' in body and "<div>c</div>" in body and '<td style="border: 1px solid black;">' in body and "<pre>a   b</pre>" in body
+
+
+def test_page_links_between_chapters():
+    long = "<p>" + "word " * 4000 + "</p>"
+    page = f"<body><h2>One</h2><p><a href='#b'>b</a><a href='#a'>a</a></p><p id='a'>x</p>{long}<h2>Two</h2><p id='b'>y</p>{long}</body>"
+    one, two = html.read_page(page, "https://h.org/p")["chapters"]
+    assert 'href="chapter_0002.xhtml#b"' in one["body"] and 'href="#a"' in one["body"] and two["title"] == "Two"
+
+
+def test_sanitiser():
+    css = sanitize.safe_css("/* c */ @import url(x.css); a{behavior:url(b.htc);-moz-binding:url(x);background:url('../i.png')} b{background:url(http://h/x)} c{background:url(../../../e)}", "t/c", "/as/")
+    assert "import" not in css and "behavior" not in css and "-moz" not in css and 'url("/as/t/i.png")' in css and css.count('url("data:,")') == 2
+    assert "vbscript" not in sanitize.safe_css("a{b:vbscript:x}", "", "")
+    raw = """<html lang="pt"><head><title>old</title><link rel="stylesheet" href="s.css"><link rel="icon" href="i.ico"><meta charset="x"><script>bad()</script></head>
+    <body onload="x()"><a href="c2.xhtml#p" onclick="y()">n</a><a href="javascript:z()">j</a><a href="mailto:a@b">m</a><img src="../img/a b.png" srcset="http://h/x 1x, y.png 2x"><img src="https://h/x.png"><iframe src="x"></iframe>tail<img src="../../../../etc"></body></html>"""
+    out = sanitize.safe_html(raw, "text/ch", "/as/", "/ch/", title="new")
+    assert out.startswith('<html lang="pt"><head><style id="reader-base">') and "old" not in out and "bad()" not in out and "onload" not in out and "onclick" not in out
+    assert 'href="/as/text/ch/s.css"' in out and "i.ico" not in out and 'href="/ch/text/ch/c2.xhtml"' in out and "javascript" not in out and 'href="mailto:a@b"' in out
+    assert 'src="/as/text/img/a%20b.png"' in out and 'srcset="/as/text/ch/y.png 2x"' in out and "https://h" not in out and "tail" in out and "etc" not in out
