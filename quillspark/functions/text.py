@@ -118,9 +118,9 @@ def visible_length(html: Column | str) -> Column:
 
 
 def tidy_space(c: Column | str) -> Column:
-    """No carriage returns, tabs as spaces, runs of spaces and of line feeds cut short."""
+    """No carriage returns, tabs as spaces, runs of spaces as one, blank lines and the spaces around line ends gone."""
     out = F.regexp_replace(F.replace(col(c), F.lit("\r"), F.lit("")), "\t", " ")
-    return F.regexp_replace(F.regexp_replace(out, " {2,}", " "), "\n{3,}", "\n\n")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, " {2,}", " "), "\n[\n ]+", "\n"), " +\n", "\n")
 
 
 def paragraphs(c: Column | str) -> Column:

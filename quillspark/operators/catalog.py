@@ -110,12 +110,9 @@ def histogram(books: DataFrame, name: str, absent: str = "unknown") -> DataFrame
 
 
 def facets(books: DataFrame, names: list[str]) -> DataFrame:
-    """Counts of all the facets in one pass, and the total size."""
-    sets = ", ".join(f"({n})" for n in names)
-    books.createOrReplaceTempView("__facets")
-    which = " ".join(f"WHEN grouping({n}) = 0 THEN '{n}'" for n in names)
-    value = f"coalesce({', '.join(f'cast({n} AS string)' for n in names)})"
-    return books.sparkSession.sql(f"SELECT CASE {which} END AS facet, {value} AS value, count(*) AS books, coalesce(sum(file_size), 0) AS total_size FROM __facets GROUP BY GROUPING SETS ({sets})")
+    """Counts and total size of all the facets' values in one pass; the null value too."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("facet"), F.col(n).cast("string").alias("value")) for n in names])
+    return books.select(F.explode(pairs).alias("f"), "file_size").groupBy("f.facet", "f.value").agg(F.count("*").alias("books"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("total_size"))
 
 
 def outer_counts(dimension: DataFrame, key: str, facts: DataFrame, foreign: str, counted: str) -> DataFrame:
@@ -145,15 +142,26 @@ def format_rank(fmt: Column | str) -> Column:
     return F.when(F.coalesce(at, F.lit(0)) == 0, len(FORMAT_ORDER) + 1).otherwise(at)
 
 
+#: Profiles whose files fit any device.
+UNIVERSAL = ["", "generic_epub", "manga_epub"]
+
+
 def ranked_variants(books: DataFrame, device: str | None = None, blocked: DataFrame | None = None) -> DataFrame:
-    """Variants of each work by rank: the device's own, then universal ones, then the rest; by format, originals first."""
+    """Variants of each work by rank: by format, universal ones first, originals first.
+
+    With a device its own files come before all, then universal ones, then the
+    rest.  Blocked variants go; a work whose variants are all blocked keeps its
+    own book.
+    """
     out = variants(books)
     if blocked is not None:
-        out = hide_states(out, blocked)
-    universal = given("device_profile").isNull()
-    group = F.when(universal, 1).otherwise(2) if device is None else F.when(F.col("device_profile") == device, 0).when(universal, 1).otherwise(2)
+        marked = out.join(hide_states(out, blocked).select(F.col("id").alias("__seen")), F.col("id") == F.col("__seen"), "left")
+        some = F.max(F.col("__seen").isNotNull()).over(Window.partitionBy("work_id"))
+        out = marked.withColumn("__some", some).filter(F.col("__seen").isNotNull() | (~F.col("__some") & (F.col("id") == F.col("work_id")))).drop("__seen", "__some")
+    universal = F.coalesce("device_profile", F.lit("")).isin(*UNIVERSAL)
+    group = F.lit(0) if device is None else F.when(F.col("device_profile") == device, 0).when(universal, 1).otherwise(2)
     original = F.when(F.coalesce("is_original", F.lit(False)), 0).otherwise(1)
-    w = Window.partitionBy("work_id").orderBy(group, format_rank("format"), original, "id")
+    w = Window.partitionBy("work_id").orderBy(group, format_rank("format"), F.when(universal, 0).otherwise(1), original, "id")
     return out.withColumn("rank", F.row_number().over(w))
 
 

@@ -15,10 +15,13 @@ def content_groups(books: DataFrame, content: str, key: str) -> DataFrame:
 
 
 def origins(books: DataFrame, content: str, key: str) -> DataFrame:
-    """Each row with the first key of its equal contents as origin, null for the first itself."""
-    w = Window.partitionBy(F.sha2(F.col(content), 256))
-    first = F.min(key).over(w)
-    return books.withColumn("origin_book_id", F.when(F.col(key) != first, first))
+    """Each row with the first key of its equal contents as origin, null for the first itself.
+
+    Only digests are grouped; a group of one row joins nothing.
+    """
+    groups = content_groups(books, content, key).filter("copies > 1").select(F.col("hash").alias("__hash"), F.col("first_id").alias("__first"))
+    joined = books.join(groups, F.sha2(F.col(content), 256) == F.col("__hash"), "left")
+    return joined.withColumn("origin_book_id", F.when(F.col(key) != F.col("__first"), F.col("__first"))).drop("__hash", "__first")
 
 
 def known_urls(books: DataFrame) -> DataFrame:
@@ -83,10 +86,21 @@ def overridden(builtin: DataFrame, custom: DataFrame, key: str = "slug") -> Data
 
 
 def unique_names(frame: DataFrame, path: str, order: str) -> DataFrame:
-    """Paths made unique: the second of equal ones gets ' (2)' before its extension, and so on."""
-    n = F.row_number().over(Window.partitionBy(path).orderBy(order))
-    stem, ext = F.regexp_extract(path, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(path, r"^(.*?)(\.[^./]*)?$", 2)
-    return frame.withColumn("unique_path", F.when(n == 1, F.col(path)).otherwise(F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), ext)))
+    """Paths made unique: the first of equal ones keeps its name, the others get the next free ' (n)' before the extension.
+
+    Every path that the table names is taken; n begins at 2.
+    """
+    parts = r"^(.*?)(\.[^./]*)?$"
+    stem, ext = F.regexp_extract(path, parts, 1), F.regexp_extract(path, parts, 2)
+    numbered = r"^(.*) \((\d{1,9})\)$"
+    names = frame.select(F.col(path).alias("__path")).distinct()
+    bare, mark = F.regexp_extract(F.regexp_extract("__path", parts, 1), numbered, 1), F.regexp_extract(F.regexp_extract("__path", parts, 1), numbered, 2)
+    owner = F.concat(bare, F.regexp_extract("__path", parts, 2))
+    used = names.filter((mark != "") & ~mark.startswith("0")).groupBy(owner.alias("__owner")).agg(F.sort_array(F.collect_set(mark.cast("int"))).alias("__taken"))
+    ranked = frame.withColumn("__n", F.row_number().over(Window.partitionBy(path).orderBy(order)))
+    joined = ranked.join(used, F.col(path) == F.col("__owner"), "left")
+    free = F.aggregate(F.filter(F.coalesce("__taken", F.array().cast("array<int>")), lambda t: t >= 2), F.col("__n"), lambda n, t: n + (t <= n).cast("int"))
+    return joined.withColumn("unique_path", F.when(F.col("__n") == 1, F.col(path)).otherwise(F.concat(stem, F.lit(" ("), free.cast("string"), F.lit(")"), ext))).drop("__n", "__owner", "__taken")
 
 
 def backfill_summary(posts: DataFrame, in_window: Column, known: DataFrame) -> DataFrame:

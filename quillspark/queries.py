@@ -142,9 +142,12 @@ def facet_histogram(spark, sf_dir):
     return catalog.histogram(books(spark, sf_dir), "device_profile")
 
 
-@query(f"WITH {_BOOKS} SELECT CASE WHEN grouping(format) = 0 THEN 'format' WHEN grouping(language) = 0 THEN 'language' WHEN grouping(content_type) = 0 THEN 'content_type' END AS facet, coalesce(format, language, content_type) AS value, count(*) AS books, coalesce(sum(file_size), 0)::BIGINT AS total_size FROM books GROUP BY GROUPING SETS ((format), (language), (content_type))")
+_FACETS = ["author", "series", "language", "format", "content_type", "category_id", "device_profile"]
+
+
+@query(f"WITH {_BOOKS} " + " UNION ALL ".join(f"SELECT '{n}' AS facet, {n}::VARCHAR AS value, count(*) AS books, coalesce(sum(file_size), 0)::BIGINT AS total_size FROM books GROUP BY {n}" for n in _FACETS))
 def facet_document(spark, sf_dir):
-    return catalog.facets(books(spark, sf_dir), ["format", "language", "content_type"])
+    return catalog.facets(books(spark, sf_dir), _FACETS)
 
 
 @query("SELECT s AS status, count(o_orderkey) AS n FROM (VALUES ('pending'), ('running'), ('done'), ('failed'), ('cancelled')) v(s) LEFT JOIN orders ON CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN 'done' ELSE 'running' END = s GROUP BY s")
@@ -159,9 +162,9 @@ def tag_filter_semi(spark, sf_dir):
     return catalog.with_tag(jobs(spark, sf_dir), bridge, tags, "Brand#12").select("id")
 
 
-@query("SELECT p_partkey, p_name, count(l_orderkey) AS n FROM part LEFT JOIN lineitem ON p_partkey = l_partkey AND l_quantity > 49 GROUP BY p_partkey, p_name")
+@query("SELECT p_partkey, p_name, count(l_orderkey) AS n FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY p_partkey, p_name")
 def tag_facet_outer(spark, sf_dir):
-    facts = table(spark, sf_dir, "lineitem").filter("l_quantity > 49")
+    facts = table(spark, sf_dir, "lineitem")
     return catalog.outer_counts(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", facts, "l_partkey", "l_orderkey")
 
 
@@ -176,7 +179,7 @@ def collapse_variants(spark, sf_dir):
 
 
 _RANK = "coalesce(list_position(['epub', 'azw3', 'mobi', 'pdf', 'cbz', 'cbr', 'fb2', 'docx', 'txt'], format), 10)"
-_RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY coalesce(origin_book_id, id) ORDER BY CASE WHEN device_profile = 'kindle' THEN 0 WHEN device_profile = '' THEN 1 ELSE 2 END, {_RANK}, CASE WHEN is_original THEN 0 ELSE 1 END, id) AS rank FROM books)"
+_RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY coalesce(origin_book_id, id) ORDER BY CASE WHEN device_profile = 'kindle' THEN 0 WHEN device_profile = '' THEN 1 ELSE 2 END, {_RANK}, CASE WHEN device_profile = '' THEN 0 ELSE 1 END, CASE WHEN is_original THEN 0 ELSE 1 END, id) AS rank FROM books)"
 
 
 @query(f"WITH {_BOOKS}, {_RANKED} SELECT coalesce(origin_book_id, id) AS work_id, id, rank::INT AS rank FROM ranked")
@@ -184,7 +187,7 @@ def variants_ranked(spark, sf_dir):
     return catalog.ranked_variants(derived_books(spark, sf_dir), "kindle").select("work_id", "id", "rank")
 
 
-_PLAIN_RANKED = _RANKED.replace("CASE WHEN device_profile = 'kindle' THEN 0 WHEN", "CASE WHEN")
+_PLAIN_RANKED = _RANKED.replace("CASE WHEN device_profile = 'kindle' THEN 0 WHEN device_profile = '' THEN 1 ELSE 2 END, ", "")
 
 
 @query(f"WITH {_BOOKS}, {_PLAIN_RANKED}, l AS (SELECT *, row_number() OVER (PARTITION BY coalesce(origin_book_id, id), format, device_profile ORDER BY rank) AS n FROM ranked) SELECT coalesce(origin_book_id, id) AS work_id, id, format FROM l WHERE n = 1")
@@ -224,9 +227,9 @@ def disk_usage(spark, sf_dir):
 _NORMAL = "regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') || regexp_replace(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '')"
 
 
-@query("SELECT sha256(text) AS hash, min(doc_id) AS first_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@query("SELECT sha256(text) AS hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
 def content_dedup(spark, sf_dir):
-    return links.content_groups(books(spark, sf_dir).filter("description IS NOT NULL"), "description", "id")
+    return links.content_groups(books(spark, sf_dir), "description", "id")
 
 
 @query(f"SELECT page_id, {_NORMAL} AS url FROM pages")
@@ -263,9 +266,9 @@ def recategorise(spark, sf_dir):
     return links.recategorise(feed_table(spark), items(spark, sf_dir), books(spark, sf_dir))
 
 
-@query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+@query("SELECT p_partkey * 2 AS id FROM part WHERE p_partkey * 2 NOT IN (SELECT l_partkey FROM lineitem)")
 def unused_tags(spark, sf_dir):
-    return links.unused_tags(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("tag_id")))
+    return links.unused_tags(table(spark, sf_dir, "part").select((F.col("p_partkey") * 2).alias("id")), table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("tag_id")))
 
 
 @query("SELECT coalesce(c.slug, b.slug) AS slug, CASE WHEN c.slug IS NOT NULL THEN c.width ELSE b.width END AS width FROM (SELECT n_name AS slug, n_nationkey::INT AS width FROM nation) b FULL JOIN (SELECT n_name AS slug, 100 + n_nationkey::INT AS width FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'own', 7) c ON b.slug = c.slug")
@@ -275,9 +278,14 @@ def profile_override(spark, sf_dir):
     return links.overridden(n.drop("n_regionkey"), custom)
 
 
-@query("WITH d AS (SELECT doc_id, source || '.epub' AS path, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, source FROM documents) SELECT doc_id, CASE WHEN n = 1 THEN path ELSE source || ' (' || n || ').epub' END AS unique_path FROM d")
+@query("""WITH d AS (SELECT doc_id, source AS base, CASE WHEN doc_id % 9 = 0 THEN ' (' || doc_id % 5 || ')' ELSE '' END AS mark FROM documents),
+  r AS (SELECT doc_id, base || mark AS stem, row_number() OVER (PARTITION BY base, mark ORDER BY doc_id) AS n FROM d), names AS (SELECT DISTINCT stem FROM r),
+  slots AS (SELECT stem, unnest(range(2, 2 * count(*) + 12)) AS k FROM r GROUP BY stem), free AS (SELECT slots.stem, k, row_number() OVER (PARTITION BY slots.stem ORDER BY k) + 1 AS n FROM slots ANTI JOIN names ON names.stem = slots.stem || ' (' || k || ')')
+  SELECT doc_id, r.stem || CASE WHEN r.n = 1 THEN '' ELSE ' (' || free.k || ')' END || '.epub' AS unique_path FROM r LEFT JOIN free ON free.stem = r.stem AND free.n = r.n""")
 def unique_file_names(spark, sf_dir):
-    return links.unique_names(table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(".epub")).alias("path")), "path", "doc_id").select("doc_id", "unique_path")
+    i = F.col("doc_id")
+    mark = F.when(i % 9 == 0, F.concat(F.lit(" ("), (i % 5).cast("string"), F.lit(")"))).otherwise("")
+    return links.unique_names(table(spark, sf_dir, "documents").select("doc_id", F.concat("source", mark, F.lit(".epub")).alias("path")), "path", "doc_id").select("doc_id", "unique_path")
 
 
 @query(f"SELECT count(*) AS found, count(*) FILTER (WHERE page_id < 200) AS in_window, count(*) FILTER (WHERE page_id < 200 AND {_NORMAL} IN (SELECT {_NORMAL} FROM pages WHERE page_id % 3 = 0)) AS skipped, count(*) FILTER (WHERE page_id < 200 AND {_NORMAL} NOT IN (SELECT {_NORMAL} FROM pages WHERE page_id % 3 = 0)) AS new FROM pages")
@@ -320,9 +328,9 @@ def cleanup_plan(spark, sf_dir):
 
 
 @query(f"""WITH {_FEEDS}, {_ITEMS}, {_BOOKS}, {_RECORDS}, {_JOBS}, old AS (SELECT i.feed_id, i.guid, b.id AS book_id, row_number() OVER (PARTITION BY i.feed_id ORDER BY b.added_at, b.id, i.guid) AS n FROM items i JOIN feeds f ON f.id = i.feed_id AND cleanup_enabled AND cleanup_days > 0 JOIN books b ON b.id = i.book_id WHERE b.added_at <= TIMESTAMP '2024-02-15' - to_days(greatest(1, cleanup_days)::INT))
-  SELECT feed_id, book_id FROM old WHERE n <= 20 AND book_id NOT IN (SELECT book_id FROM records WHERE active_downloads > 0) AND book_id NOT IN (SELECT book_id FROM jobs WHERE status IN ('pending', 'running') AND id % 40 = 0)""")
+  SELECT feed_id, book_id FROM old WHERE n <= 20 AND book_id NOT IN (SELECT book_id FROM records WHERE active_downloads > 0) AND book_id NOT IN (SELECT book_id * 3 FROM jobs WHERE status IN ('pending', 'running'))""")
 def feed_retention(spark, sf_dir):
-    waiting = jobs(spark, sf_dir).filter("id % 40 = 0")
+    waiting = jobs(spark, sf_dir).withColumn("book_id", F.col("book_id") * 3)
     return lifecycle.feed_retention(feed_table(spark), items(spark, sf_dir), books(spark, sf_dir), records(spark, sf_dir), waiting, NOW, 20).select("feed_id", "book_id")
 
 
@@ -513,11 +521,15 @@ def sitemap_posts(spark, sf_dir):
     return found.select(F.regexp_extract("url", r"order-(\d+)_", 1).cast("long").alias("id"), "year", "month", "day", "title", "date")
 
 
-@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'podcast' WHEN 1 THEN 'pdf' WHEN 2 THEN 'image' WHEN 3 THEN 'article' ELSE 'file' END AS kind, CASE WHEN length(html) >= 1000 THEN 'inline' WHEN page_id % 2 = 0 AND length(html) > 0 AND octet_length(encode(html)) >= 2000 THEN 'page' WHEN length(html) > 0 THEN 'inline_fallback' ELSE 'error' END AS source FROM pages WHERE NOT regexp_matches(html, '(?i)<img\\b')")
+@query("""WITH p AS (SELECT page_id, left(html, (600 * (page_id % 4))::INT) AS inl, CASE WHEN page_id % 3 = 0 THEN replace(html, '<p>', '<p><img src="x">') ELSE html END AS page FROM pages),
+  f AS (SELECT *, length(inl) AS n, regexp_matches(inl, '(?i)<img\\b') AS has, page_id % 2 = 0 AS fine, octet_length(encode(page)) < greatest(2000, floor(length(inl) * 0.4)) AS thin, regexp_matches(page, '(?i)<img\\b') AS page_has FROM p)
+  SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'podcast' WHEN 1 THEN 'pdf' WHEN 2 THEN 'image' WHEN 3 THEN 'article' ELSE 'file' END AS kind,
+  CASE WHEN n >= 1000 AND has THEN 'inline' WHEN n >= 1000 AND fine AND NOT thin AND page_has THEN 'page' WHEN n >= 1000 THEN 'inline' WHEN fine AND NOT (thin AND n > 0) THEN 'page' WHEN n > 0 THEN 'inline_fallback' ELSE 'error' END AS source FROM f""")
 def entry_outcome(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").filter(~F.col("html").rlike(r"(?i)<img\b"))
-    mime = _pick(["audio/mpeg", "application/pdf", "image/png", "text/html; charset=utf-8", "application/octet-stream"], F.col("page_id") % 5)
-    source = feeds.obtain(F.col("html"), F.when(F.col("page_id") % 2 == 0, "ok").otherwise("failed"), F.col("html"))
+    i = F.col("page_id")
+    p = table(spark, sf_dir, "pages").withColumn("inline", F.col("html").substr(F.lit(1), (i % 4 * 600).cast("int"))).withColumn("page", F.when(i % 3 == 0, F.replace("html", F.lit("<p>"), F.lit('<p><img src="x">'))).otherwise(F.col("html")))
+    mime = _pick(["audio/mpeg", "application/pdf", "image/png", "text/html; charset=utf-8", "application/octet-stream"], i % 5)
+    source = feeds.obtain(F.col("inline"), F.when(i % 2 == 0, "ok").otherwise("failed"), F.col("page"))
     return p.select("page_id", urls.kind(mime, F.array().cast("array<string>")).alias("kind"), source.alias("source"))
 
 
@@ -619,11 +631,11 @@ def feed_defaults(spark, sf_dir):
     return desk.feed_defaults(posts, sources).drop("host")
 
 
-@query(f"""WITH {_BOOKS}, f AS (SELECT id, sha256(description) AS h, CASE WHEN format = 'mobi' THEN 'skipped' WHEN coalesce(file_size, 0) < 20 THEN 'error' END AS bad FROM books WHERE description IS NOT NULL),
+@query(f"""WITH {_BOOKS}, f AS (SELECT id, sha256(coalesce(description, '')) AS h, CASE WHEN format = 'mobi' THEN 'skipped' WHEN coalesce(file_size, 0) < 20 THEN 'error' END AS bad FROM books),
   o AS (SELECT coalesce(bad, CASE WHEN h IN (SELECT h FROM f WHERE id % 9 = 0) OR id <> min(id) FILTER (WHERE bad IS NULL) OVER (PARTITION BY h) THEN 'duplicate' ELSE 'imported' END) AS outcome FROM f)
   SELECT s AS outcome, count(o.outcome) AS n FROM (VALUES ('imported'), ('duplicate'), ('skipped'), ('error')) v(s) LEFT JOIN o ON o.outcome = s GROUP BY s""")
 def import_counts(spark, sf_dir):
-    found = books(spark, sf_dir).filter("description IS NOT NULL").select(F.col("id").alias("file_id"), "format", "file_size", F.sha2("description", 256).alias("content_hash"))
+    found = books(spark, sf_dir).select(F.col("id").alias("file_id"), "format", "file_size", F.sha2(F.coalesce("description", F.lit("")), 256).alias("content_hash"))
     outcomes = reports.import_outcomes(found, found.filter("file_id % 9 = 0"), F.col("format") != "mobi", F.coalesce("file_size", F.lit(0)) < 20)
     return reports.import_counts(outcomes)
 
@@ -738,10 +750,10 @@ def epub_contents(spark, sf_dir):
     return rows.select("doc_id", "place", "c.*")
 
 
-@query("SELECT doc_id, k::INT AS chapter, 'A B' AS author, ['One', 'Two & last'][k + 1] AS title, '<p>' || CASE WHEN k = 0 THEN 'row ' || doc_id ELSE lang END || '</p>' AS body FROM documents, range(2) t(k) WHERE lang IS NOT NULL")
+@query("SELECT doc_id, k::INT AS chapter, 'A B' AS author, ['One', 'Two & last'][k + 1] AS title, '<p>' || CASE WHEN k = 0 THEN 'row ' || doc_id ELSE coalesce(lang, '') END || '</p>' AS body FROM documents, range(2) t(k)")
 def fictionbook_round_trip(spark, sf_dir):
     made = containers.fictionbook_file(F.col("source"), F.lit("A B"), F.col("lang"), _two_chapters())
-    rows = table(spark, sf_dir, "documents").filter("lang IS NOT NULL").select("doc_id", containers.fictionbook(made).alias("b"))
+    rows = table(spark, sf_dir, "documents").withColumn("lang", F.coalesce("lang", F.lit(""))).select("doc_id", containers.fictionbook(made).alias("b"))
     return rows.select("doc_id", F.col("b.author").alias("author"), F.posexplode("b.chapters").alias("chapter", "c")).select("doc_id", "chapter", "author", "c.title", "c.body")
 
 

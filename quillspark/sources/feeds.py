@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from hashlib import sha1
 from urllib.parse import urljoin
 from xml.etree import ElementTree
@@ -73,8 +74,46 @@ def _extension(url: str | None) -> str:
     return last.rsplit(".", 1)[-1].lower() if "." in last else ""
 
 
+def _json_entries(document: dict, base: str) -> list[dict]:
+    """Entries of a JSON feed."""
+    out = []
+    for item in document.get("items") or []:
+        text = lambda *names, item=item: next((str(item[n]) for n in names if item.get(n)), None)
+        html, bare = text("content_html") or "", text("content_text", "summary") or ""
+        inline = html if len(html) >= len(bare) else bare
+        files = [a for a in item.get("attachments") or [] if isinstance(a, dict) and a.get("url")]
+        best = next((a for a in files if _extension(a["url"]) in [*EBOOKS, *COMICS, *DOCUMENTS, *AUDIO] or str(a.get("mime_type") or "").startswith(("audio/", "application/"))), None)
+        url, mime = (best["url"], best.get("mime_type")) if best else (text("url", "external_url"), None)
+        guid = text("id", "url")
+        if not guid and not inline:
+            continue
+        guid = guid or "urn:sha1:" + sha1(((text("title") or "") + inline[:500]).encode("utf-8", "replace")).hexdigest()
+        out.append({"guid": guid, "title": text("title"), "url": urljoin(base, url) if url else None, "summary": text("summary"), "published": text("date_published", "date_modified"), "content_type": mime or None, "extensions": [x for x in (_extension(a["url"]) for a in files) if x], "inline_html": inline or None})
+    return out
+
+
+def feed_error(data: bytes | str | None) -> str | None:
+    """Why a feed can't be read; null for one that can, with entries or without."""
+    text = data.decode("utf-8", "replace") if isinstance(data, bytes | bytearray) else data or ""
+    if not text.strip():
+        return "empty document"
+    if text.lstrip().startswith("{"):
+        try:
+            return None if isinstance(json.loads(text).get("items"), list) else "no items"
+        except ValueError as e:
+            return str(e)
+    try:
+        root = ElementTree.fromstring(data)
+    except ElementTree.ParseError as e:
+        return str(e)
+    return None if _local(root.tag) in ("rss", "feed", "rdf") else "no feed"
+
+
 def read_feed(data: bytes | str | None, base: str) -> list[dict]:
-    """Entries of an RSS or Atom document; none if it can't be read."""
+    """Entries of an RSS, Atom or JSON document; none if it can't be read (``feed_error`` says why)."""
+    text = data.decode("utf-8", "replace") if isinstance(data, bytes | bytearray) else data or ""
+    if text.lstrip().startswith("{"):
+        return _json_entries(json.loads(text), base) if feed_error(text) is None else []
     try:
         root = ElementTree.fromstring(data or b"")
     except ElementTree.ParseError:
@@ -121,6 +160,16 @@ def entries(xml: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([read_feed(x, b or "") for x, b in zip(xml, base, strict=True)])
 
 
+@vectorised("string")
+def errors(xml: pd.Series) -> pd.Series:
+    return pd.Series([feed_error(x) for x in xml], dtype=object)
+
+
+def feed_failures(payloads: DataFrame) -> DataFrame:
+    """feed_id and error of the feeds that can't be read."""
+    return payloads.select("feed_id", errors(F.col("xml")).alias("error")).filter("error IS NOT NULL")
+
+
 def feed_entries(payloads: DataFrame) -> DataFrame:
     """payloads: feed_id, url, xml.  One row an entry with its position in the feed."""
     rows = payloads.select("feed_id", F.posexplode(entries(F.col("xml"), F.col("url"))).alias("position", "e"))

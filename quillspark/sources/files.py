@@ -7,6 +7,7 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,7 +106,7 @@ def write_epub(title: str, author: str, language: str, chapters: list[tuple[str,
 
 @vectorised("binary")
 def epub(title: pd.Series, author: pd.Series, language: pd.Series, chapters: pd.Series) -> pd.Series:
-    return pd.Series([write_epub(t, a, g, [(c["title"], c["body"]) for c in (cs if cs is not None else [])]) for t, a, g, cs in zip(title, author, language, chapters, strict=True)])
+    return pd.Series([write_epub(t, a, g, [(c["title"], c["body"]) for c in (cs if isinstance(cs, list | np.ndarray) else [])]) for t, a, g, cs in zip(title, author, language, chapters, strict=True)])
 
 
 def chapters_text(chapters: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,25 +20,33 @@ def unseen(entries: DataFrame) -> DataFrame:
     return entries.dropDuplicates(["feed_id", "guid"])
 
 
-def ingest(batch: DataFrame, seen_path: str, cap: int | None = None) -> DataFrame:
-    """New items of one batch against the seen table at a path, appended to it; running it twice adds nothing."""
+def ingest(batch: DataFrame, path: str, cap: int | None = None, batch_id: int | str | None = None) -> DataFrame:
+    """New items of one batch, written to the item table at a path and read back.
+
+    The table is its own seen set, with one folder a batch: items and their keys
+    are kept by the same write.  A batch that comes again replaces its folder
+    and sees what it saw before; without an id, running twice adds nothing.
+    """
     spark = batch.sparkSession
-    schema = "feed_id long, guid string"
-    path = spark._jvm.org.apache.hadoop.fs.Path(seen_path)
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    seen = spark.read.schema(schema).parquet(seen_path) if there else spark.createDataFrame([], schema)
-    fresh = new_items(batch, seen, cap)
-    fresh.select(F.col("feed_id").cast("long").alias("feed_id"), "guid").write.mode("append").parquet(seen_path)
-    return fresh
-
-
-def on_each_batch(seen_path: str, sink: Callable[[DataFrame], None], cap: int | None = None) -> Callable[[DataFrame, int], None]:
-    """For ``writeStream.foreachBatch``: the sink gets each batch's new items."""
-    def run(batch: DataFrame, _: int) -> None:
-        fresh = new_items(batch, batch.sparkSession.read.schema("feed_id long, guid string").parquet(seen_path), cap).persist()
-        sink(fresh)
-        fresh.select("feed_id", "guid").write.mode("append").parquet(seen_path)
-        fresh.unpersist()
+    mine = f"{path}/batch_id={uuid4().hex if batch_id is None else batch_id}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    keys = "feed_id long, guid string"
+    seen = spark.read.schema(f"{keys}, batch_id string").parquet(path).filter(F.col("batch_id") != mine.rsplit("=", 1)[1]).select("feed_id", "guid") if there else spark.createDataFrame([], keys)
+    fresh = new_items(batch, seen, cap).withColumn("feed_id", F.col("feed_id").cast("long"))
+    fresh.write.mode("overwrite").parquet(mine)
+    return spark.read.schema(fresh.schema).parquet(mine)
+
+
+def on_each_batch(path: str, sink: Callable[[DataFrame], None], cap: int | None = None) -> Callable[[DataFrame, int], None]:
+    """For ``writeStream.foreachBatch``: the sink gets each batch's new items.
+
+    After a failure the same batch comes again with the same new items, so the
+    sink gets each at least once and nothing is lost.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        sink(ingest(batch, path, cap, batch_id))
 
     return run
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quillspark import queries
-from quillspark.functions import chapters, files, html, lines, sanitize, text, urls
-from quillspark.operators import catalog, lifecycle, links
+from quillspark.functions import chapters, files, html, layout, lines, sanitize, text, urls
+from quillspark.operators import catalog, lifecycle, links, runs, upkeep
 from quillspark.operators import records as desk
-from quillspark.plans import planner
+from quillspark.plans import convert, planner
 from quillspark.sources import catalogs, feeds
 from quillspark.sources import books as containers
 from quillspark.sources import files as file_sources
@@ -211,11 +211,128 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_ingest_twice_adds_nothing(spark, tmp_path):
     entries = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (1, "a", 2)], "feed_id long, guid string, position int")
-    path = f"file://{tmp_path}/seen"
-    ingest.ingest(entries, path)
-    assert spark.read.parquet(path).count() == 2
-    ingest.ingest(entries, path)
-    assert spark.read.parquet(path).count() == 2
+    path = f"file://{tmp_path}/items"
+    assert sorted(r.guid for r in ingest.ingest(entries, path).collect()) == ["a", "b"]
+    assert ingest.ingest(entries, path).count() == 0 and spark.read.parquet(path).count() == 2
+
+
+def test_ingest_batch_comes_again(spark, tmp_path):
+    path, got, broken = f"file://{tmp_path}/items", [], [True]
+
+    def sink(df):
+        rows = sorted((r.feed_id, r.guid) for r in df.collect())
+        if rows and broken and broken.pop():
+            raise RuntimeError("sink is down")
+        got.append(rows)
+
+    run = ingest.on_each_batch(path, sink)
+    first = spark.createDataFrame([(1, "a", 0), (1, "b", 1)], "feed_id long, guid string, position int")
+    second = spark.createDataFrame([(1, "b", 0), (2, "b", 1)], "feed_id long, guid string, position int")
+    with pytest.raises(RuntimeError):
+        run(first, 0)
+    run(first, 0)
+    run(second, 1)
+    run(second, 1)
+    assert got == [[(1, "a"), (1, "b")], [(2, "b")], [(2, "b")]]
+
+
+def test_stream_dedup_and_hours(spark, tmp_path):
+    rows = [(1, "a"), (1, "a"), (2, "a")]
+    for k in range(2):
+        spark.createDataFrame(rows, "feed_id long, guid string").coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    out: list = []
+    q = ingest.unseen(spark.readStream.schema("feed_id long, guid string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e"))).writeStream.foreachBatch(lambda df, _: out.extend(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / "ck1")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(out) == [(1, "a"), (2, "a")]
+    ev = queries.events(spark, SF)
+    ev.coalesce(1).write.parquet(str(tmp_path / "h"))
+    hours: list = []
+    q = ingest.downloads_per_hour(spark.readStream.schema(ev.schema).parquet(str(tmp_path / "h"))).writeStream.outputMode("update").foreachBatch(lambda df, _: hours.extend(df.collect())).option("checkpointLocation", str(tmp_path / "ck2")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sum(r.downloads for r in hours) == ev.filter("status = 'completed'").count()
+
+
+def test_unique_names_pass_taken_ones(spark):
+    rows = spark.createDataFrame([(1, "x.epub"), (2, "x.epub"), (3, "x (2).epub"), (4, "x.epub"), (5, "x (4).epub"), (6, "d/y"), (7, "d/y"), (8, "x (2).epub")], "id int, path string")
+    got = {r.id: r.unique_path for r in links.unique_names(rows, "path", "id").collect()}
+    assert got == {1: "x.epub", 2: "x (3).epub", 3: "x (2).epub", 4: "x (5).epub", 5: "x (4).epub", 6: "d/y", 7: "d/y (2)", 8: "x (2) (2).epub"}
+
+
+def test_json_feed_and_errors():
+    doc = """{"version": "https://jsonfeed.org/version/1.1", "items": [{"id": "1", "url": "/a", "title": "A", "content_html": "<p>x</p>", "date_published": "2024"},
+      {"id": "2", "attachments": [{"url": "https://h/b.epub", "mime_type": "application/epub+zip"}]}, {"title": "nothing"}, {"content_text": "only text"}]}"""
+    got = feeds.read_feed(doc, "https://h.org/")
+    assert [(e["guid"][:9], e["url"], e["content_type"]) for e in got] == [("1", "https://h.org/a", None), ("2", "https://h/b.epub", "application/epub+zip"), ("urn:sha1:", None, None)]
+    assert feeds.feed_error(doc) is None and feeds.feed_error("<rss><channel/></rss>") is None
+    assert all(feeds.feed_error(x) for x in ("", None, "<rss>", "{bad", '{"a": 1}', "<html/>"))
+
+
+def test_mended_references():
+    names = {"O/book.opf", "O/text/c1.xhtml", "O/text/c2.xhtml", "O/images/i.jpg", "O/cover.xhtml"}
+    fix = lambda value, entry="O/text/c1.xhtml": upkeep.mended(value, entry, names, "O", {"p": "O/text/c2.xhtml", "q": "O/text/c1.xhtml"})
+    assert fix("../images/i.jpg") == "../images/i.jpg" and fix("images/i.jpg") == "../images/i.jpg" and fix("../images/i.jpg", "O/cover.xhtml") == "images/i.jpg"
+    assert fix("gone.xhtml#p") == "c2.xhtml#p" and fix("gone.xhtml#q") == "#q" and fix("gone.xhtml#z") == "gone.xhtml#z" and fix("https://h/x") == "https://h/x" and fix("#p") == "#p"
+    book = file_sources.write_epub("T", "A", "en", [("One", '<p><img src="../nav.xhtml"/></p>')])
+    assert b"T" in book and upkeep.mend_epub(b"x") is None
+    fixed = upkeep.mend_epub(book)
+    with containers.zipfile.ZipFile(containers.io.BytesIO(fixed)) as z:
+        assert b'src="nav.xhtml"' in z.read("c0.xhtml") and z.namelist()[0] == "mimetype"
+
+
+def test_layout(spark):
+    cells = [(0, 0, 10, "Name"), (100, 0, 10, "Long"), (100, 7, 17, "header"), (0, 40, 50, "a"), (100, 40, 50, "1"), (0, 60, 70, "b"), (101, 61, 71, "2")]
+    assert layout.grid(cells) == [["Name", "Long header"], ["a", "1"], ["b", "2"]]
+    assert layout.grid(cells[:3]) is None and layout.grid([(0, k * 20, k * 20 + 10, "x") for k in range(9)]) is None
+    assert layout.table_xhtml([["a<"], ["b"]], True) == "<table><tr><th>a&lt;</th></tr><tr><td>b</td></tr></table>"
+    assert layout.boxes([(0, 0, 10, 10), (20, 50, 40, 60), (500, 55, 520, 60)], [(100, 110)]) == [(0, 0, 40, 96), (500, 55, 520, 96)]
+    rows = spark.createDataFrame([("d", 0, k, t, float(x0), float(x1), float(y), float(y) + 8, s, 10.0, h) for k, (t, x0, x1, y, s, h) in enumerate([("A wide line of the body text of the page", 0, 300, 0, 10.0, False), ("Server", 10, 60, 20, 8.0, False), ("a@b.org", 10, 60, 30, 8.0, False), ("Ends here.", 10, 60, 40, 8.0, False), ("Heading", 10, 60, 50, 8.0, True), ("Table", 200, 260, 60, 8.0, False)])], "doc string, page int, line int, text string, x0 double, x1 double, y0 double, y1 double, size double, body_size double, heading boolean")
+    regions = spark.createDataFrame([("d", 0, 190.0, 55.0, 270.0, 75.0)], "doc string, page int, x0 double, y0 double, x1 double, y1 double")
+    assert [r.text for r in layout.figure_labels(rows, regions).filter("label").collect()] == ["Server"]
+    assert sorted(r.text for r in layout.title_block(rows).filter("front").collect()) == sorted(["A wide line of the body text of the page", "Server", "a@b.org", "Ends here."])
+    drawn = spark.createDataFrame([("d", 0, 0.0, 70.0, 100.0, 100.0), ("d", 0, 0.0, 400.0, 100.0, 500.0)], "doc string, page int, x0 double, y0 double, x1 double, y1 double")
+    caption = rows.withColumn("text", F.when(F.col("line") == 5, "Table 1 - x").otherwise(F.col("text")))
+    assert [tuple(r)[2:] for r in layout.table_regions(drawn, caption).collect()] == [(-6.0, 64.0, 106.0, 106.0)]
+
+
+def test_conversions(spark):
+    pages = spark.createDataFrame([(1, "<html><head><title>P</title></head><body><p>hello there</p></body></html>", "https://h.org/p"), (2, None, None)], "page_id int, html string, url string")
+    made = {r.page_id: r for r in convert.pages_to_epub(pages).collect()}
+    assert made[1].title == "P" and file_sources.read_epub(bytes(made[1].epub))["title"] == "P" and made[2].epub is not None
+    texts = spark.createDataFrame([(1, "T", "A", "pt", "CHAPTER ONE\n\nSome words here.\n\nCHAPTER TWO\n\nMore words.")], "id int, title string, author string, language string, text string")
+    assert file_sources.read_epub(bytes(convert.texts_to_epub(texts).first().epub))["spine"] >= 1
+    book = containers.write_fb2("B", "A C", "en", [("One", "<p>x</p>")])
+    fb = spark.createDataFrame([(1, book), (2, b"no")], "id int, content binary")
+    got = {r.id: r.epub for r in convert.fictionbooks_to_epub(fb).collect()}
+    assert file_sources.read_epub(bytes(got[1]))["title"] == "B" and got[2] is None
+
+
+def test_charset_and_categories(spark):
+    got = one(spark, runs.with_charset(L("<html><HEAD a><p>")).alias("a"), runs.with_charset(L("<p>x")).alias("b"), runs.with_charset(L('<meta charset="x">')).alias("c"), runs.feed_category(L("Name"), L(" /x/ ")).alias("d"), runs.feed_category(L("Name"), L("")).alias("e"), runs.default_target(L("text/html; x"), L("a")).alias("f"), runs.default_target(L("x/y"), L("a.bin")).alias("g"))
+    assert got == ('<html><HEAD a><meta charset="utf-8"><p>', '<meta charset="utf-8"><p>x', '<meta charset="x">', "rss/x", "rss/Name", "epub", "")
+    assert one(spark, runs.address(L("/opds/all"), {"q": L("a b&c"), "page": F.lit(2), "x": L("")}, "http://h/").alias("a")) == ("http://h/opds/all?q=a+b%26c&page=2",)
+
+
+def test_settings_and_profiles(spark):
+    s = upkeep.setting
+    got = one(spark, s(L("x"), "choice", choices=["a", "b"]).alias("a"), s(L("B"), "choice", choices=["a", "b"]).alias("b"), s(L("99"), "int", least=1, most=50).alias("c"), s(L("no"), "int", default=7).alias("d"), s(L("ON"), "bool").alias("e"), s(L(""), "float", least=0.5).alias("f"))
+    assert [tuple(x) for x in got] == [("a", True), ("b", False), ("50", False), ("7", True), ("true", False), ("0.5", False)]
+    p = one(spark, upkeep.profile(L('{"slug": "k", "screen_width": 600, "unknown": 1, "native_formats": ["EPUB"]}')).alias("p"))[0]
+    assert p.slug == "k" and p.screen_width == 600
+    assert one(spark, upkeep.can_open(F.array(L("EPUB")), L(".epub")).alias("a"), upkeep.screen_label(F.lit(600), F.lit(800), F.lit(212), F.lit(False)).alias("b"), upkeep.merged_options(L('{"a": 1, "b": 2}'), L('{"b": 3}')).alias("c")) == (True, "600×800 · 212 ppi", {"a": "1", "b": "3"})
+
+
+def test_catalog_documents(spark):
+    totals = catalogs.page_links(spark.range(1).select(F.lit(90).cast("long").alias("total"), F.lit(True).alias("has_prev"), F.lit(True).alias("has_next")), "/opds/all", 2, 40)
+    entries = spark.createDataFrame([(2, "<entry>b</entry>"), (1, "<entry>a</entry>")], "work_id int, xml string")
+    xml = catalogs.atom_feed(entries, totals, "A & B", "urn:x", "/opds/all?page=2", "2024-01-01T00:00:00Z", "Lib").first().xml
+    root = containers.ElementTree.fromstring(xml)
+    assert [c.text for c in root if c.tag.endswith("entry")] == ["a", "b"] and 'rel="next" href="/opds/all?page=3"' in xml and "A &amp; B" in xml
+    import json
+
+    doc = json.loads(catalogs.publications_feed(spark.createDataFrame([(1, '{"x": 1}')], "work_id int, json string"), totals, "T", "/v2").first().json)
+    assert doc["publications"] == [{"x": 1}] and [x["rel"] for x in doc["links"]] == ["self", "next", "previous"]
 
 
 def test_files(spark, tmp_path):
@@ -341,12 +458,22 @@ def test_epub_parts():
 
 
 def test_kindle_cover():
-    s = containers.struct
-    exth = b"EXTH" + s.pack(">II", 0, 2) + s.pack(">II", 100, 9) + b"x" + s.pack(">III", 201, 12, 0)
-    head = b"\0" * 16 + b"MOBI" + b"\0" * 20 + s.pack(">I", 96) + b"\0" * 56 + s.pack(">I", 0x40) + b"\0" * 12 + exth
-    base = 78 + 16
-    data = b"\0" * 60 + b"BOOKMOBI" + b"\0" * 8 + s.pack(">H", 2) + s.pack(">II", base, 0) + s.pack(">II", base + len(head), 0) + head + b"COVER"
-    assert containers.read_kindle_cover(data) == b"COVER" and containers.read_kindle_cover(b"x") is None
+    import struct
+
+    def book(place, first=2):
+        exth = b"EXTH" + struct.pack(">II", 0, 2) + struct.pack(">II", 100, 9) + b"x" + struct.pack(">III", 201, 12, place)
+        head = bytearray(16 + 232) + exth
+        head[16:24] = b"MOBI" + struct.pack(">I", 232)
+        head[108:112], head[128:132] = struct.pack(">I", first), struct.pack(">I", 0x40)
+        records = [bytes(head), b"TEXT", b"FIRST", b"SECOND"]
+        at, marks = 78 + 8 * len(records), b""
+        for r in records:
+            marks += struct.pack(">II", at, 0)
+            at += len(r)
+        return b"\0" * 60 + b"BOOKMOBI" + b"\0" * 8 + struct.pack(">H", len(records)) + marks + b"".join(records)
+
+    assert containers.read_kindle_cover(book(0)) == b"FIRST" and containers.read_kindle_cover(book(1)) == b"SECOND"
+    assert containers.read_kindle_cover(book(7)) is None and containers.read_kindle_cover(b"x") is None
 
 
 def test_deep_page():
