@@ -34,7 +34,7 @@ def human_size(c: Column | str) -> Column:
     size, out = col(c).cast("double"), None
     for power, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
         value = size / F.lit(float(1024**power))
-        shown = F.format_string("%d B", size.cast("long")) if unit == "B" else F.format_string(f"%.1f {unit}", value)
+        shown = F.format_string("%d B", size.cast("long")) if unit == "B" else F.format_string(f"%.1f {unit}", F.bround(value, 1))
         if unit == "TB":
             return out.otherwise(shown)
         test = size < float(1024 ** (power + 1))

@@ -195,17 +195,20 @@ def acquisition_links(spark, sf_dir):
     return catalog.acquisition_links(derived_books(spark, sf_dir)).select("work_id", "id", "format")
 
 
-@query()
+_LINKS = "l AS (SELECT *, coalesce(origin_book_id, id) AS work_id, row_number() OVER (PARTITION BY coalesce(origin_book_id, id), format, device_profile ORDER BY rank) AS n FROM ranked)"
+
+
+@query(f"""WITH {_BOOKS}, {_PLAIN_RANKED}, {_LINKS} SELECT work_id, to_json({{'metadata': {{'title': arg_min(title, rank), 'author': arg_min(coalesce(nullif(author, ''), '?'), rank)}}, 'links': list({{'rank': rank, 'href': '/opds/file/' || id, 'format': format, 'file_size': file_size}} ORDER BY rank)}})::VARCHAR AS json FROM l WHERE n = 1 GROUP BY work_id""")
 def opds_publications(spark, sf_dir):
     return catalogs.publications(catalog.acquisition_links(derived_books(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {_BOOKS}, {_PLAIN_RANKED}, {_LINKS} SELECT work_id, '<entry><title>' || replace(replace(replace(coalesce(arg_min(title, rank), ''), '&', '&amp;'), '<', '&lt;'), '"', '&quot;') || '</title>' || string_agg('<link rel="http://opds-spec.org/acquisition" type="' || format || '" href="/opds/file/' || id || '"/>', '' ORDER BY rank) || '</entry>' AS xml FROM l WHERE n = 1 GROUP BY work_id""")
 def opds_atom_entries(spark, sf_dir):
     return catalogs.atom_entries(catalog.acquisition_links(derived_books(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {_BOOKS} SELECT id, to_json({{'added_at': strftime(added_at, '%Y-%m-%dT%H:%M:%S.000Z'), 'author': author, 'category_id': category_id, 'content_type': content_type, 'description': description, 'device_profile': device_profile, 'file_size': file_size, 'format': format, 'id': id, 'is_original': is_original, 'language': language, 'series': series, 'series_index': series_index, 'title': title}})::VARCHAR AS json FROM books""")
 def book_json(spark, sf_dir):
     return catalogs.summary_json(books(spark, sf_dir))
 
@@ -449,7 +452,13 @@ def conversation_chapters(spark, sf_dir):
     return chapters.number_chapters(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "user").select("conv_id", "turn", "chapter")
 
 
-@query()
+_HEAD = rf"""(length(trim(line)) BETWEEN 1 AND 70 AND (regexp_matches(trim(line), '(?i)^(?:{chapters.HEADING_WORDS})([^\p{{L}}\p{{N}}_]|$)') OR (regexp_matches(trim(line), '^[\p{{Lu}}\p{{Nd}} .,:;!?''&-]{{4,}}$') AND regexp_matches(trim(line), '\p{{Lu}}{{2}}'))))"""
+
+
+@query(rf"""WITH t AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS x FROM documents), l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS n FROM t),
+  g AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY n) AS part FROM (SELECT *, {_HEAD} AS head FROM l)),
+  b AS (SELECT doc_id, part, coalesce(max(CASE WHEN head THEN trim(line) END), 'Início') AS title, string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT head) AS body FROM g GROUP BY doc_id, part)
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1)::INT AS chapter, title, regexp_replace(body, '^\n+|\n+$', '', 'g') AS body FROM b WHERE length(trim(body)) > 0""")
 def text_chapters(spark, sf_dir):
     return chapters.split_text(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -663,7 +672,12 @@ def key_figures(spark, sf_dir):
     return reports.key_figures(books(spark, sf_dir), table(spark, sf_dir, "region"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS job_id, ts AS t, event_id AS seq, (event_id % 101)::INT AS percent, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  f AS (SELECT *, percent >= 100 OR abs(percent + 1) >= 5 AS due FROM e WHERE n = 1),
+  r AS (SELECT job_id, t, seq, percent, n, due, CASE WHEN due THEN percent ELSE -1 END AS last_percent, CASE WHEN due THEN t END AS last_t FROM f
+    UNION ALL SELECT job_id, t, seq, percent, n, due, CASE WHEN due THEN percent ELSE last_percent END, CASE WHEN due THEN t ELSE last_t END
+    FROM (SELECT e.*, r.last_percent, r.last_t, e.percent >= 100 OR (abs(e.percent - r.last_percent) >= 5 AND (r.last_t IS NULL OR epoch_us(e.t) - epoch_us(r.last_t) >= 1000000)) AS due FROM r JOIN e ON e.job_id = r.job_id AND e.n = r.n + 1))
+  SELECT job_id, t AS "at", seq, percent FROM r WHERE due""")
 def progress_writes(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), (F.col("event_id") % 101).cast("int").alias("percent"))
     return desk.progress_writes(log)
@@ -759,3 +773,6 @@ def fictionbook_round_trip(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_page(spark, sf_dir)
+
+
+from quillspark import function_queries  # noqa: E402, F401  (registers more)
