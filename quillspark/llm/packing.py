@@ -1,6 +1,6 @@
 """Packing token pieces into sequences of fixed length.
 
-Pieces are dealt by hash to shards of about ``SHARD_BYTES`` of text, so that a
+Pieces are dealt by number (of their task and row, so that equal rows part) to shards of about ``SHARD_BYTES`` of text, so that a
 shard's packing fits in one task at any corpus size and the loss to packing
 shards apart is at most a few sequences a shard.  Full pieces are sequences of
 their own.
@@ -21,10 +21,10 @@ from heapq import heappop, heappush
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import id_text, session, stage
+from quillspark.llm.common import id_text, partitions, session, stage
 from quillspark.llm.tokens import PIECES_DDL, SEQUENCE, pieces
 
 #: Bytes of text whose pieces make a shard: with token ids, and with lengths only.
@@ -212,6 +212,14 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int = SEQUENCE)
     return full + [[i for of in b.values() for i in of] for b in held if b]
 
 
+def _dealt(n: int) -> Column:
+    """Shard of a piece: by its task and its place there, whatever its id and text.
+
+    The same task gives the same numbers when it runs again.
+    """
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))
+
+
 def shards(docs: DataFrame, shard_bytes: int) -> int:
     size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     return max(1, -(-size // shard_bytes))
@@ -247,7 +255,7 @@ def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, shard_bytes: in
     cut = stage(rows.mapInArrow(lambda it: pieces(it, tokenizer, False), PIECES_DDL).drop("ids"), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     full = cut.filter(F.col("length") == SEQUENCE).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    part = cut.filter(F.col("length") < SEQUENCE).select(*columns, F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(n)).alias("shard"))
+    part = cut.filter(F.col("length") < SEQUENCE).select(*columns, _dealt(n).alias("shard"))
     packed = part.groupBy("shard").applyInPandas(_pack_shard, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return full.unionByName(packed)
 
@@ -287,7 +295,7 @@ def pack_matrix(docs: DataFrame, tokenizer: str | None = None, shard_bytes: int
     rows = id_text(docs)
     n = shards(rows, shard_bytes)
     cut = rows.mapInArrow(lambda it: pieces(it, tokenizer, True), PIECES_DDL)
-    dealt = cut.select(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)).alias("shard"), "doc_id", "piece", "length", "ids")
+    dealt = cut.select(_dealt(n).alias("shard"), "doc_id", "piece", "length", "ids").repartition(max(n, partitions(docs.sparkSession)), "shard")
     return dealt.groupBy("shard").applyInArrow(lambda t: pa.Table.from_batches(list(_matrix(t)), schema=_MATRIX), MATRIX_DDL)
 
 

@@ -19,7 +19,7 @@ from quillspark.llm.decontaminate import decontaminate, drop_contaminated
 from quillspark.llm.exact_dedup import CuckooFilter, LiveIndex, drop_exact_copies, exact_dedup
 from quillspark.llm.language import identify, keep_identified
 from quillspark.llm.license import license_scan
-from quillspark.llm.packing import CapacityTree, best_fit_decreasing, best_fit_pack, improve, pack_matrix
+from quillspark.llm.packing import CapacityTree, best_fit_decreasing, best_fit_pack, improve, pack_matrix, write_matrix
 from quillspark.llm.quality import importance_resample
 from quillspark.llm.simhash import drop_near_copies, link_cell, manhattan, near_duplicates, popcount, segment_counts
 from quillspark.llm.substring_bytes import remove_repeated_bytes
@@ -127,7 +127,7 @@ def test_decontaminate_drops(spark):
 
 
 def test_repeated_words(spark, rows):
-    clean = [r for r in rows if r[0] != 3]
+    clean = rows
     same(remove_repeated_windows(frame(spark, clean)), ["doc_id", "n_words", "n_removed", "kept_sha256"], brute.repeated_words(clean))
 
 
@@ -141,7 +141,7 @@ def test_hot_minimisers(spark, monkeypatch, limit, sent, places):
     monkeypatch.setattr("quillspark.llm.superkmer.MAX_HOT_BROADCAST", sent)
     monkeypatch.setattr("quillspark.llm.superkmer.HOT_STRINGS", limit)
     monkeypatch.setattr("quillspark.llm.substring_bytes.HOT_STRINGS", limit)
-    clean = [r for r in awkward() if r[0] != 3]
+    clean = awkward()
     same(remove_repeated_windows(frame(spark, clean)), ["doc_id", "n_words", "n_removed", "kept_sha256"], brute.repeated_words(clean))
     same(remove_repeated_bytes(frame(spark, clean)), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.repeated_bytes(clean))
 
@@ -377,10 +377,12 @@ ODD = ["ΑΣ Σ İx <|endoftext|> <|ENDOFTEXT|>", "it's we'LL don't 12á éx",
 
 
 def test_packing(spark, rows, tokenizer):
-    rows = [r for r in rows if r[0] not in (None, 3, 20)] + ([(1000 + i, t) for i, t in enumerate(ODD)] if rows else [])
-    want = brute.pieces(tokenizer, rows)
+    rows = rows + ([(1000 + i, t) for i, t in enumerate(ODD)] + [(None, "no id at all")] * 40 + [(20, rows[-1][1])] if rows else [])
+    want = Counter()
+    for d, t in rows:
+        want.update((d, k, *v) for (_, k), v in brute.pieces(tokenizer, [(d, t)]).items())
     got = best_fit_pack(frame(spark, rows), shard_bytes=1 << 16).collect()
-    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
     sequences = defaultdict(list)
     for r in got:
         sequences[r.sequence_id].append((r.offset, r.length))
@@ -390,22 +392,25 @@ def test_packing(spark, rows, tokenizer):
             assert offset == at
             at += length
         assert at <= 2048
+    # as few sequences as a plain best fit over all, but for one a shard
+    whole = best_fit_decreasing([v[3] for v in want.elements()])
+    assert not rows or -(-sum(v[3] for v in want.elements()) // 2048) <= len(sequences) <= len(whole) + 1 + sum(len(t or "") + 1 for _, t in rows) // (1 << 16)
 
 
-def test_matrix_round_trip(spark, rows, tokenizer):
-    rows = [r for r in rows if r[0] not in (None, 3, 20)]
-    found = defaultdict(list)
-    for r in pack_matrix(frame(spark, rows)).collect():
+def test_matrix_round_trip(spark, rows, tokenizer, tmp_path):
+    found = Counter()
+    write_matrix(pack_matrix(frame(spark, rows)), f"file://{tmp_path}/matrix")
+    for r in spark.read.parquet(f"file://{tmp_path}/matrix").collect():
         ids, places = np.frombuffer(r.input_ids, "<u4"), np.frombuffer(r.position_ids, "<u4")
         assert len(ids) == len(places) == 2048 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens
         for doc, s, e in zip(r.doc_ids, r.cu_seqlens, r.cu_seqlens[1:]):
             assert places[s:e].tolist() == list(range(e - s))
-            found[doc].append(ids[s:e].tolist())
+            found[doc, tuple(ids[s:e].tolist())] += 1
+    want = Counter()
     for d, t in rows:
-        want = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
-        parts = found.pop(d)
-        assert sorted(map(tuple, parts)) == sorted(tuple(want[i : i + 2048]) for i in range(0, len(want), 2048))
-    assert not found
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+        want.update((d, tuple(ids[i : i + 2048])) for i in range(0, len(ids), 2048))
+    assert found == want
 
 
 def test_encoder_is_exact():
