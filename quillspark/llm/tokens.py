@@ -9,8 +9,8 @@ Texts that the short cut might not treat exactly are encoded whole.
 from __future__ import annotations
 
 import re
-import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,8 +19,8 @@ import regex
 
 #: Length of a sequence and the id that ends each document.
 SEQUENCE, END = 2048, 0
-#: Entries of a worker's memory of chunks and of words.
-MEMORY = 400_000
+#: Entries of a worker's memory of chunks, and as many of what stands beside words in them.
+MEMORY = 800_000
 
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Only characters below U+0250 with no white space or control among them: NFC leaves these as they are.
@@ -44,15 +44,18 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memory(dict):
-    """What ``find`` returned for a key, forgotten all at once when there are too many."""
+    """What ``find`` returned for a key; when there are too many, what was not asked for since the last time is forgotten."""
 
     def __init__(self, find: Callable[[str], bytes]):
         super().__init__()
-        self.find = find
+        self.find, self.old = find, {}
 
     def __missing__(self, key: str) -> bytes:
-        found = self.find(key)
-        if len(self) >= MEMORY:
+        found = self.old.get(key)
+        if found is None:
+            found = self.find(key)
+        if len(self) >= MEMORY // 2:
+            self.old = dict(self)
             self.clear()
         self[key] = found
         return found
@@ -66,23 +69,24 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary())
         self.words, self.chunks = _Memory(self._word), _Memory(self._chunk)
-        self.letters = _byte_letters()
+        self.letters, self.tokenize = _byte_letters(), self.tokenizer.model.tokenize
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
         mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii():  # most chunks are one word, or one with a mark
-            if chunk.isalpha():
-                return self.words[chunk]
+        if chunk.isascii() or _PLAIN.match(chunk):
+            if chunk.isalpha():  # most chunks are one word, or one with a mark
+                return self._word(chunk)
             if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
-                return self.words[chunk[:-1]] + self.words[chunk[-1]]
-        return b"".join(map(self.words.__getitem__, _WORD.findall(chunk))) if _PLAIN.match(chunk) else self.whole(chunk)
+                return self.chunks[chunk[:-1]] + self.words[chunk[-1]]
+            if _PLAIN.match(chunk):
+                return b"".join(map(self.words.__getitem__, _WORD.findall(chunk)))
+        return self.whole(chunk)
 
     def encode(self, text: str) -> bytes:
         if any(odd in text for odd in _ODD):
