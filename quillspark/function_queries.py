@@ -9,7 +9,7 @@ from quillspark.operators import catalog, lifecycle, links, runs, upkeep
 from quillspark.plans import convert, planner, targets
 from quillspark.queries import _BOOKS, _EVENTS, _FEEDS, _ITEMS, _JOBS, _RECORDS, NOW, _pick, books, derived_books, events, feed_table, items, jobs, query, records, table
 from quillspark.sources import books as containers
-from quillspark.sources import catalogs, feeds
+from quillspark.sources import catalogs, feeds, office
 from quillspark.sources import files as file_sources
 
 _NOW = "TIMESTAMP '2024-02-15 00:00:00'"
@@ -497,3 +497,38 @@ def page_fields(spark, sf_dir):
     )
     p = table(spark, sf_dir, "pages").select("page_id", html.page(page, F.lit("https://h.org/x")).alias("p"))
     return p.select("page_id", "p.title", "p.date", "p.author", "p.publisher", "p.description", "p.tags", "p.language", F.size("p.chapters").alias("n_chapters"), "p.images")
+
+
+@query("SELECT doc_id AS id, source AS title, 'A B' AS author, chapter, ['One', 'Two & last'][chapter + 1] AS chapter_title, CASE WHEN chapter = 0 THEN '<p>row ' || doc_id || '</p>' ELSE '<p>x &lt; y</p>' END AS body FROM documents, range(2) t(chapter)")
+def docx_round_trip(spark, sf_dir):
+    parts = F.array(F.struct(F.lit("One").alias("title"), F.concat(F.lit("<div><p>row <b>"), F.col("doc_id").cast("string"), F.lit("</b></p></div>")).alias("body")), F.struct(F.lit("Two & last").alias("title"), F.lit("<p>x &lt; y</p>").alias("body")))
+    d = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), office.docx(office.docx_file(F.col("source"), F.lit("A B"), parts)).alias("d"))
+    return d.select("id", F.col("d.title").alias("title"), F.col("d.author").alias("author"), F.posexplode("d.chapters").alias("chapter", "c")).select("id", "title", "author", F.col("chapter").cast("long").alias("chapter"), F.col("c.title").alias("chapter_title"), "c.body")
+
+
+@query("SELECT doc_id AS id, 'row ' || doc_id || chr(10) || 'é — {x} ' || chr(8364) AS text FROM documents")
+def rtf_texts(spark, sf_dir):
+    rtf = F.concat(F.lit("{\\rtf1\\ansi\\ansicpg1252{\\fonttbl{\\f0 Arial;}}{\\*\\generator x;}\\b row "), F.col("doc_id").cast("string"), F.lit("\\b0\\par\n\\'e9 \\emdash  \\{x\\} \\uc1\\u8364 ?}"))
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), office.rtf(F.encode(rtf, "ISO-8859-1")).alias("text"))
+
+
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new-books/' ELSE '' END || source || '.epub' AS t FROM documents), r AS (SELECT doc_id, t, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS n FROM d)
+  SELECT doc_id AS id, CASE WHEN n = 1 THEN t ELSE regexp_replace(t, '\\.epub$', '') || ' (' || n || ').epub' END AS file_path FROM r""")
+def files_moved(spark, sf_dir):
+    d = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat(F.lit("old/x/"), "source", F.lit(".epub")).alias("file_path"))
+    return links.moved(d, F.when(F.col("id") % 3 == 0, "New Books"))
+
+
+@query("""WITH d AS (SELECT doc_id, 'a/' || CASE WHEN doc_id % 2 = 0 THEN source || ' - 0' || (doc_id % 4) || ' - ' ELSE '' END || 'T' || (doc_id % 50) || '.epub' AS t FROM documents), r AS (SELECT doc_id, t, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS n FROM d)
+  SELECT doc_id AS id, CASE WHEN n = 1 THEN t ELSE regexp_replace(t, '\\.epub$', '') || ' (' || n || ').epub' END AS file_path FROM r""")
+def files_renamed(spark, sf_dir):
+    i = F.col("doc_id")
+    d = _docs(spark, sf_dir).select(i.alias("id"), F.lit("a/old.EPUB").alias("file_path"), F.concat(F.lit("T"), (i % 50).cast("string")).alias("title"), F.lit("").alias("author"), F.when(i % 2 == 0, F.col("source")).alias("series"), (i % 4).cast("double").alias("series_index"))
+    return links.renamed(d).select("id", "file_path")
+
+
+@query("SELECT 'Title ' || doc_id || '.txt' AS file_name, 'Title ' || doc_id AS title, encode(source) AS content FROM documents WHERE doc_id % 3 = 0")
+def pasted_texts(spark, sf_dir):
+    i = F.col("doc_id")
+    given = _docs(spark, sf_dir).select(F.when(i % 3 == 1, "  ").otherwise(F.concat(F.lit(" Title "), i.cast("string"))).alias("title"), F.when(i % 3 == 2, F.lit(None).cast("string")).otherwise(F.col("source")).alias("body"))
+    return links.pasted(given)[0]

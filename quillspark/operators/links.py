@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import given
+from quillspark.functions.files import metadata_name
+from quillspark.functions.text import given, safe_filename, slugify_path
 from quillspark.functions.urls import normal_form
 
 
@@ -108,3 +109,30 @@ def backfill_summary(posts: DataFrame, in_window: Column, known: DataFrame) -> D
     k = known.select(F.col("url").alias("__known")).distinct()
     flags = posts.join(k, normal_form(posts["url"]) == k["__known"], "left").select(in_window.alias("w"), F.col("__known").isNotNull().alias("k"))
     return flags.agg(F.count("*").alias("found"), F.count_if("w").alias("in_window"), F.count_if(F.expr("w AND k")).alias("skipped"), F.count_if(F.expr("w AND NOT k")).alias("new"))
+
+
+def moved(books: DataFrame, category: Column, path: str = "file_path", order: str = "id") -> DataFrame:
+    """Books with their file in the folder of another category; names that meet there are numbered.
+
+    A null or blank category is the library's root; a book without a file stays.
+    """
+    name = F.element_at(F.split(F.col(path), "/"), -1)
+    folder = slugify_path(F.coalesce(category, F.lit("")))
+    target = F.when(folder == "", name).otherwise(F.concat(folder, F.lit("/"), name))
+    placed = books.withColumn("__target", F.when(F.col(path).isNotNull(), target))
+    return unique_names(placed, "__target", order).withColumn(path, F.when(F.col(path).isNotNull(), F.col("unique_path"))).drop("__target", "unique_path")
+
+
+def renamed(books: DataFrame, path: str = "file_path", order: str = "id") -> DataFrame:
+    """Books with their file named after series, number, title and author, in the same folder; equal names are numbered."""
+    folder, ext = F.regexp_extract(path, r"^(.*/)?", 0), F.regexp_extract(path, r"(\.[^./]*)$", 1)
+    named = books.withColumn("__target", F.concat(folder, safe_filename(metadata_name("title", "author", "series", "series_index")), F.lower(ext)))
+    return unique_names(named, "__target", order).withColumn(path, F.coalesce("unique_path", path)).drop("__target", "unique_path")
+
+
+def pasted(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pasted texts (title, body) as files to import, and those that lack a title or a body."""
+    fine = given(F.trim("title")).isNotNull() & given(F.trim("body")).isNotNull()
+    whole = F.coalesce(fine, F.lit(False))
+    files = texts.filter(whole).select(F.concat(safe_filename(F.trim("title"), 170), F.lit(".txt")).alias("file_name"), F.trim("title").alias("title"), F.encode("body", "UTF-8").alias("content"))
+    return files, texts.filter(~whole)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import chapters, html
 from quillspark.functions.text import given
-from quillspark.sources import books, files
+from quillspark.sources import books, files, office
 
 
 def _made(title: Column, author: Column, language: Column, parts: Column) -> Column:
@@ -31,3 +31,20 @@ def fictionbooks_to_epub(content: DataFrame, key: str = "id") -> DataFrame:
     read = content.select(key, books.fictionbook(F.col("content")).alias("b"))
     whole = _made(F.coalesce(F.col("b.title"), F.lit("?")), F.col("b.author"), F.col("b.language"), F.col("b.chapters"))
     return read.select(key, F.col("b.title").alias("title"), F.col("b.author").alias("author"), F.when(F.col("b.chapters").isNotNull(), whole).alias("epub"))
+
+
+def docx_to_epub(content: DataFrame, key: str = "id") -> DataFrame:
+    """key, title, author and epub of DOCX files (content); null epub where the bytes are none."""
+    read = content.select(key, office.docx(F.col("content")).alias("d"))
+    whole = _made(F.coalesce(F.col("d.title"), F.lit("?")), F.col("d.author"), F.col("d.language"), F.col("d.chapters"))
+    return read.select(key, F.col("d.title").alias("title"), F.col("d.author").alias("author"), F.when(F.col("d.chapters").isNotNull(), whole).alias("epub"))
+
+
+def rtf_to_epub(content: DataFrame, key: str = "id") -> DataFrame:
+    """key, title and epub of RTF files (content, title, author, language): chapters by their headings."""
+    return texts_to_epub(content.withColumn("text", office.rtf(F.col("content"))), key)
+
+
+def chapters_to_docx(books_: DataFrame, key: str = "id") -> DataFrame:
+    """key and docx of books (title, author, chapters)."""
+    return books_.select(key, office.docx_file(F.col("title"), F.col("author"), F.col("chapters")).alias("docx"))
