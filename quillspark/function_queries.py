@@ -532,3 +532,21 @@ def pasted_texts(spark, sf_dir):
     i = F.col("doc_id")
     given = _docs(spark, sf_dir).select(F.when(i % 3 == 1, "  ").otherwise(F.concat(F.lit(" Title "), i.cast("string"))).alias("title"), F.when(i % 3 == 2, F.lit(None).cast("string")).otherwise(F.col("source")).alias("body"))
     return links.pasted(given)[0]
+
+
+@query(f"""WITH {_JOBS}, {_EVENTS}, {_BOOKS} SELECT 'temp_removed' AS rule, (SELECT count(*) FROM jobs WHERE created_at < {_NOW} - INTERVAL 3600 SECONDS) AS fixed
+  UNION ALL SELECT 'resumed', (SELECT count(*) FROM jobs WHERE status = 'running' AND (heartbeat_at IS NULL OR heartbeat_at < {_NOW} - INTERVAL 1800 SECONDS))
+  UNION ALL SELECT 'missing', (SELECT count(*) FROM books WHERE id % 4 = 0)
+  UNION ALL SELECT 'stuck_downloads', (SELECT count(*) FROM ev WHERE status = 'started' AND seen <= {_NOW} - INTERVAL 21600 SECONDS)""")
+def maintenance_pass(spark, sf_dir):
+    b = books(spark, sf_dir).withColumn("file_path", F.concat(F.lit("b/"), F.col("id").cast("string"))).withColumn("missing", F.lit(False))
+    made = {"jobs": jobs(spark, sf_dir), "events": events(spark, sf_dir), "books": b, "files": b.filter("id % 4 > 0").select(F.col("file_path").alias("path")), "temp": jobs(spark, sf_dir).select("id", F.col("created_at").alias("modified_at"))}
+    return upkeep.maintenance(made, NOW)["report"]
+
+
+@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'epub' WHEN 1 THEN 'comic' WHEN 2 THEN 'markup' WHEN 3 THEN 'native_convert' WHEN 4 THEN 'audio' END AS reader, doc_id % 5 < 3 AS comic, CASE WHEN doc_id % 5 < 3 THEN 3 ELSE 1 END AS images FROM documents")
+def readers_of_files(spark, sf_dir):
+    i = F.col("doc_id")
+    names = F.when(i % 5 < 3, F.array(*map(F.lit, ["a/", "a/1.JPG", "a/2.png", "b.gif", "info.xml"]))).otherwise(F.array(*map(F.lit, ["1.jpg", "a.txt", "b.txt"])))
+    found = files.zip_is_comic(names)
+    return _docs(spark, sf_dir).select("doc_id", upkeep.reader_of(_pick([".EPUB", "7z", "xhtml", "azw3", "m4b", "exe"], i % 6)).alias("reader"), found["comic"].alias("comic"), found["images"].alias("images"))

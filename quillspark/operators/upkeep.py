@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from quillspark.functions.files import media_type
 from quillspark.functions.text import col, given, slugify
 from quillspark.functions.udf import vectorised
+from quillspark.functions.urls import AUDIO, IMAGES, WEB
+from quillspark.operators import lifecycle
 from quillspark.operators.lifecycle import at
 
 
@@ -195,3 +197,49 @@ def screen_label(width: Column, height: Column, ppi: Column, whole: Column) -> C
     size = F.concat(width.cast("string"), F.lit("×"), height.cast("string"))
     none = F.coalesce(whole, F.lit(False)) | (F.coalesce(width, F.lit(0)) == 0) | (F.coalesce(height, F.lit(0)) == 0)
     return F.when(none, "qualquer tela").when(F.coalesce(ppi, F.lit(0)) == 0, size).otherwise(F.concat(size, F.lit(" · "), ppi.cast("string"), F.lit(" ppi")))
+
+
+def maintenance(tables: dict[str, DataFrame], now: datetime, cleanup_days: int | None = None) -> dict[str, DataFrame]:
+    """One pass of upkeep over the tables: what each step leaves, and a report (rule, fixed).
+
+    tables: jobs, events, books, files (path), temp (modified_at), and for
+    retention feeds, feed_items and records.  Steps are those of the periodic
+    run: jobs whose heart stopped are pending again, attempts that hang are
+    interrupted, missing files are marked, old temporary files and idle
+    downloads are named.
+    """
+    stale = tables["jobs"].filter("status = 'running'").join(lifecycle.requeue_stale(tables["jobs"], now, 1800).filter("status = 'running'").select("id"), "id", "left_anti")
+    marked = lifecycle.mark_missing(tables["books"], tables["files"])
+    recovered = lifecycle.recover(tables["events"], now, 21_600)
+    stuck = tables["events"].filter("status = 'started'").join(recovered.filter("status = 'started'").select("event_id"), "event_id", "left_anti")
+    temp = expired(tables["temp"], now)
+    out = {"jobs": lifecycle.requeue_stale(tables["jobs"], now, 1800), "books": marked.drop("flipped"), "events": recovered, "temp": temp}
+    changed = {"temp_removed": temp, "resumed": stale.select("id"), "missing": marked.filter("missing").select("id"), "stuck_downloads": stuck.select("event_id")}
+    if "feeds" in tables:
+        out["retention"] = changed["feed_retention"] = lifecycle.feed_retention(tables["feeds"], tables["feed_items"], tables["books"], tables["records"], tables["jobs"], now)
+    if cleanup_days is not None:
+        out["cleanup"] = changed["downloads_cleaned"] = lifecycle.cleanup_candidates(tables["records"], tables["books"], now, cleanup_days)
+    out["report"] = repair_report(**{name: frame.select(F.lit(1)) for name, frame in changed.items()})
+    return out
+
+
+#: Who reads a format, the first that names it.
+READERS = [
+    ("epub", ["epub", "kepub"]),
+    ("pdf", ["pdf"]),
+    ("comic", ["cbz", "cbt", "cbr", "cb7", "zip", "rar", "7z"]),
+    ("image", IMAGES),
+    ("text", ["txt"]),
+    ("fb2", ["fb2"]),
+    ("markup", WEB),
+    ("native_convert", ["mobi", "azw", "azw3", "pdb", "prc", "docx", "rtf"]),
+    ("calibre", ["lit"]),
+    ("audio", AUDIO),
+    ("document", ["djvu", "djv"]),
+]
+
+
+def reader_of(fmt: Column | str) -> Column:
+    """The reader that opens a format; null if none does."""
+    plain = F.regexp_replace(F.lower(F.coalesce(col(fmt), F.lit(""))), r"^\.+", "")
+    return F.coalesce(*[F.when(plain.isin(*formats), name) for name, formats in READERS])
