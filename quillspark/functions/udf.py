@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,3 +18,9 @@ def vectorised(ddl: str) -> Callable[[Callable], Callable[..., Column]]:
         return call
 
     return wrap
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """The frame with a task for each core where it has fewer, as a small file does; a large input stays as it is."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame._jdf.queryExecution().toRdd().getNumPartitions() < cores else frame

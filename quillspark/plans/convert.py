@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import chapters, html
 from quillspark.functions.text import given
+from quillspark.functions.udf import spread
 from quillspark.sources import books, files, office
 
 
@@ -16,7 +17,7 @@ def _made(title: Column, author: Column, language: Column, parts: Column) -> Col
 
 def pages_to_epub(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """key, title, author, tags, images and epub of web pages (html, url): cleaned, split and written."""
-    read = pages.select(key, html.page(F.col("html"), F.col("url")).alias("p"))
+    read = spread(pages).select(key, html.page(F.col("html"), F.col("url")).alias("p"))
     return read.select(key, F.col("p.title").alias("title"), F.col("p.author").alias("author"), F.col("p.tags").alias("tags"), F.col("p.images").alias("images"), _made(F.col("p.title"), F.col("p.author"), F.col("p.language"), F.col("p.chapters")).alias("epub"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import chapters, files, html, lines, text, urls
+from quillspark.functions.udf import spread
 from quillspark.operators import catalog, lifecycle, links, reports
 from quillspark.operators import records as desk
 from quillspark.plans import planner
@@ -470,7 +471,7 @@ def page_metadata(spark, sf_dir):
 
 @query()
 def page_chapters(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", html.page(F.col("html"), F.col("url")).alias("p"))
+    p = spread(table(spark, sf_dir, "pages")).select("page_id", html.page(F.col("html"), F.col("url")).alias("p"))
     return p.select("page_id", "p.title", "p.author", "p.language", "p.tags", F.posexplode("p.chapters").alias("chapter", "c")).select("page_id", "title", "author", "language", "tags", "chapter", F.col("c.title").alias("chapter_title"), F.length("c.body").alias("body_length"))
 
 
