@@ -458,7 +458,7 @@ class Level:
         for places in substrings():
             if not len(places):
                 continue
-            index = np.searchsorted(lms, places)
+            index = np.searchsorted(lms, places.astype(lms.dtype))  # of its own kind: it would be copied whole otherwise
             size = np.minimum(self._after(lms, index) + 1 - places, self.limit)
             a = np.concatenate([[places[0] if before is None else before[0]], places[:-1]])
             a_size = np.concatenate([[-1 if before is None else before[1]], size[:-1]])
