@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quillspark.functions import chapters, files, html, layout, lines, sanitize, text, urls
@@ -550,3 +552,45 @@ def readers_of_files(spark, sf_dir):
     names = F.when(i % 5 < 3, F.array(*map(F.lit, ["a/", "a/1.JPG", "a/2.png", "b.gif", "info.xml"]))).otherwise(F.array(*map(F.lit, ["1.jpg", "a.txt", "b.txt"])))
     found = files.zip_is_comic(names)
     return _docs(spark, sf_dir).select("doc_id", upkeep.reader_of(_pick([".EPUB", "7z", "xhtml", "azw3", "m4b", "exe"], i % 6)).alias("reader"), found["comic"].alias("comic"), found["images"].alias("images"))
+
+
+_ORDERS = {"added_desc": "added_at DESC", "added_asc": "added_at ASC NULLS FIRST", "title_asc": "lower(title) ASC NULLS FIRST", "title_desc": "lower(title) DESC NULLS LAST", "author_asc": "lower(author) ASC NULLS FIRST, series_index ASC NULLS FIRST", "size_desc": "file_size DESC NULLS LAST"}
+
+
+@query(f"WITH {_BOOKS} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{name}' AS sort, id FROM books ORDER BY {order}, id LIMIT 30)" for name, order in _ORDERS.items()))
+def search_sorts(spark, sf_dir):
+    b = books(spark, sf_dir)
+    pages = [catalog.page(b, catalog.BookQuery(sort=name, per_page=30))[0].select(F.lit(name).alias("sort"), "id") for name in _ORDERS]
+    return reduce(lambda x, y: x.unionByName(y), pages)
+
+
+@query(f"WITH {_BOOKS} SELECT id, title FROM books ORDER BY added_at DESC, id LIMIT 12")
+def recent_books(spark, sf_dir):
+    return catalog.recent(books(spark, sf_dir), 12).select("id", "title")
+
+
+@query(f"WITH {_JOBS} SELECT id, status FROM jobs WHERE status <> 'done'")
+def jobs_cleared(spark, sf_dir):
+    return lifecycle.clear(jobs(spark, sf_dir)).select("id", "status")
+
+
+@query(f"WITH {_RECORDS} SELECT file_id, active_downloads + CASE WHEN file_id % 3 = 0 THEN 2 ELSE 0 END AS active_downloads FROM records")
+def attempts_opened(spark, sf_dir):
+    d = _docs(spark, sf_dir).filter("doc_id % 3 = 0").select(F.col("doc_id").alias("file_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("event_id"))
+    starts = d.select("event_id", "file_id", F.lit("KOReader").alias("user_agent"), F.lit(None).cast("string").alias("range"), F.lit(None).cast("timestamp").alias("at"))
+    return lifecycle.open_attempts(records(spark, sf_dir), starts)[0].select("file_id", "active_downloads")
+
+
+@query(f"WITH {_EVENTS} SELECT event_id, CASE WHEN status = 'started' AND event_id % 2 = 0 THEN 'completed' ELSE status END AS status, CASE WHEN status = 'started' AND event_id % 2 = 0 THEN greatest(0, event_id % 100 - 50) END AS bytes_sent FROM ev")
+def attempts_closed(spark, sf_dir):
+    e = events(spark, sf_dir)
+    times = F.explode(F.array(F.lit(0), F.lit(1)))
+    closes = e.filter("event_id % 2 = 0").select("event_id", "at", times.alias("k")).select("event_id", (F.col("at") + F.make_dt_interval(secs=F.col("k"))).alias("at"), F.when(F.col("k") == 0, "completed").otherwise("error").alias("status"), (F.col("event_id") % 100 - 50).alias("bytes_sent"), F.lit(None).cast("string").alias("error"))
+    return lifecycle.close_attempts(e, closes).select("event_id", "status", "bytes_sent")
+
+
+@query(f"""WITH {_RECORDS}, {_BOOKS}, top AS (SELECT *, coalesce(last_download_at, updated_at) AS used FROM records WHERE state IN ('downloaded', 'blocked') AND active_downloads = 0 AND coalesce(last_download_at, updated_at) <= {_NOW} - INTERVAL 3 DAY ORDER BY used, file_id LIMIT 100),
+  j AS (SELECT top.*, b.id AS there, b.is_original, b.file_size FROM top LEFT JOIN books b ON b.id = top.book_id AND b.id % 7 > 0)
+  SELECT count(*) FILTER (WHERE there IS NOT NULL AND NOT is_original) AS removed, count(*) FILTER (WHERE there IS NOT NULL AND is_original) AS skipped, count(*) FILTER (WHERE there IS NULL) AS orphans, coalesce(sum(coalesce(nullif(size_bytes, 0), nullif(file_size, 0), 0)) FILTER (WHERE there IS NOT NULL AND NOT is_original), 0)::BIGINT AS freed_bytes FROM j""")
+def cleanup_report(spark, sf_dir):
+    return lifecycle.cleanup_report(records(spark, sf_dir), books(spark, sf_dir).filter("id % 7 > 0"), NOW, 3, 100)

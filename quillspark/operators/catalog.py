@@ -18,8 +18,10 @@ _SORTS: dict[str, list[tuple[str, bool]]] = {
     "added_desc": [("added_at", False)],
     "added_asc": [("added_at", True)],
     "title": [("lower(title)", True)],
+    "title_asc": [("lower(title)", True)],
     "title_desc": [("lower(title)", False)],
     "author": [("lower(author)", True), ("series_index", True)],
+    "author_asc": [("lower(author)", True), ("series_index", True)],
     "size_desc": [("file_size", False)],
 }
 
@@ -90,6 +92,11 @@ def search(books: DataFrame, query: BookQuery, records: DataFrame | None = None,
     return out
 
 
+def recent(books: DataFrame, n: int) -> DataFrame:
+    """The n books that came last."""
+    return books.orderBy(*order_of("added_desc")).limit(n)
+
+
 def page(found: DataFrame, query: BookQuery) -> tuple[DataFrame, DataFrame]:
     """The page's rows, and one row of total, pages, has_prev and has_next."""
     query = query.normalized()

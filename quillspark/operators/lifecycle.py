@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.files import client, range_flags
 from quillspark.functions.text import nonzero
 
 STATES = ["available", "downloaded", "blocked", "deleted"]
@@ -112,6 +113,42 @@ def transition(jobs: DataFrame, actions: DataFrame, limit: int = 4000) -> DataFr
     return j.withColumn("error", F.when((a == "fail") & (s == "running"), F.substring("__message", 1, limit)).otherwise(F.col("error"))).withColumn("status", new).drop("action", "__message")
 
 
+def clear(jobs: DataFrame, statuses: tuple[str, ...] = ()) -> DataFrame:
+    """Jobs without those that ended (done, failed, cancelled, or the given states)."""
+    return jobs.filter(~F.col("status").isin(*(statuses or ("done", "failed", "cancelled"))))
+
+
+def open_attempts(records: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records with their open attempts counted, and the started events of ``starts`` (event_id, file_id, user_agent, range, at)."""
+    counts = starts.groupBy(F.col("file_id").alias("__file")).agg(F.count("*").alias("__n"))
+    opened = records.join(counts, records["file_id"] == counts["__file"], "left").withColumn("active_downloads", F.coalesce("active_downloads", F.lit(0)) + F.coalesce("__n", F.lit(0))).drop("__file", "__n")
+    who, part = client("user_agent"), range_flags("range")
+    events = starts.select("event_id", "file_id", F.lit("started").alias("status"), who["client"].alias("client"), who["client_key"].alias("client_key"), part["range_request"].alias("range_request"), part["resume"].alias("resume"), part["countable"].alias("countable"), "at")
+    return opened, events
+
+
+def close_attempts(events: DataFrame, closes: DataFrame, limit: int = 300) -> DataFrame:
+    """Events after ``closes`` (event_id, at, status, bytes_sent, error): only a started one closes, and once.
+
+    Of several closes of one attempt the first holds; those of attempts that
+    are closed or not there change nothing.
+    """
+    first = closes.groupBy(F.col("event_id").alias("__id")).agg(F.min(F.struct("at", "status", F.greatest(F.lit(0), F.col("bytes_sent")).alias("sent"), F.substring("error", 1, limit).alias("error"))).alias("__c"))
+    joined = events.join(first, events["event_id"] == first["__id"], "left").withColumn("__hit", F.col("__id").isNotNull() & (F.col("status") == "started"))
+    take = lambda new, old: F.when(F.col("__hit"), F.col(f"__c.{new}")).otherwise(old)
+    had = lambda c, kind: F.col(c) if c in events.columns else F.lit(None).cast(kind)
+    return joined.withColumn("bytes_sent", take("sent", had("bytes_sent", "long"))).withColumn("finished_at", take("at", had("finished_at", "timestamp"))).withColumn("error", take("error", had("error", "string"))).withColumn("status", take("status", F.col("status"))).drop("__id", "__c", "__hit")
+
+
+def cleanup_report(records: DataFrame, books: DataFrame, now: datetime, days: int, limit: int = 200, originals: bool = False) -> DataFrame:
+    """One row: removed, skipped, orphans and freed_bytes of a clean-up run."""
+    found = cleanup_candidates(records, books.withColumn("__there", F.lit(True)), now, days, limit, True)
+    there = found.join(books.select(F.col("id").alias("book_id"), F.lit(True).alias("there")), "book_id", "left")
+    gone, kept = F.col("there").isNull(), F.coalesce("is_original", F.lit(False)) & F.lit(not originals)
+    goes = ~gone & ~kept
+    return there.agg(F.count_if(goes).alias("removed"), F.count_if(~gone & kept).alias("skipped"), F.count_if(gone).alias("orphans"), F.coalesce(F.sum(F.when(goes, freed(F.col("size_bytes"), F.col("file_size")))), F.lit(0)).alias("freed_bytes"))
+
+
 def throttle(attempts: DataFrame, window_seconds: int = 900, failures: int = 5, lock_seconds: int = 300) -> DataFrame:
     """Failures of each key within the window up to each failure, and when a lock ends.
 

@@ -526,7 +526,7 @@ def sniff_magic(spark, sf_dir):
 @query("SELECT o_orderkey AS id, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, day(o_orderdate)::INT AS day, 'order ' || o_orderkey || ' x' AS title, o_orderdate::DATE AS date FROM orders WHERE o_orderdate >= DATE '1998-06-01' - INTERVAL 30 DAY")
 def sitemap_posts(spark, sf_dir):
     loc = F.concat(F.lit("<url><loc> https://www.h.org/"), F.date_format("o_orderdate", "yyyy/MM/dd"), F.lit("/order-"), F.col("o_orderkey").cast("string"), F.lit("_x/ </loc></url><url><loc>https://h.org/2024/01/02/page</loc></url>"))
-    xml = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 16).alias("url")).agg(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list(loc), ""), F.lit("</urlset>")).alias("xml"))
+    xml = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("url")).agg(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list(loc), ""), F.lit("</urlset>")).alias("xml"))
     found = feeds.within_days(feeds.posts(feeds.sitemap_rows(xml)), 30, "1998-06-01")
     return found.select(F.regexp_extract("url", r"order-(\d+)_", 1).cast("long").alias("id"), "year", "month", "day", "title", "date")
 

@@ -39,23 +39,20 @@ def posts(rows: DataFrame) -> DataFrame:
 def walk(sitemaps: DataFrame, roots: DataFrame, budget: int = 20) -> DataFrame:
     """Sitemaps reached from the roots breadth first, at most so many that exist; each once.
 
-    One join a level; what is missing is passed over and costs no budget.
+    One join a level; what is missing is passed over and costs no budget.  Only
+    the addresses of those reached, ``budget`` at most, come to the driver, so
+    the plan doesn't grow with the levels.
     """
-    table = sitemaps.select(F.col("url"), F.col("xml"))
-    level = roots.select("url").distinct()
-    reached, left = None, budget
-    while left > 0:
-        found = table.join(level, "url", "left_semi")
-        if reached is not None:
-            found = found.join(reached.select("url"), "url", "left_anti")
-        found = found.orderBy("url").limit(left)
-        n = found.count()
-        if not n:
+    table = sitemaps.select("url", "xml")
+    level, reached = roots.select("url"), []
+    while len(reached) < budget:
+        there = table.select("url").join(level, "url", "left_semi").filter(~F.col("url").isin(reached)).distinct()
+        found = [r["url"] for r in there.orderBy("url").limit(budget - len(reached)).collect()]
+        if not found:
             break
-        left -= n
-        reached = found if reached is None else reached.unionByName(found)
-        level = sitemap_rows(found).filter("child").select(F.col("loc").alias("url")).distinct()
-    return reached if reached is not None else table.limit(0)
+        reached += found
+        level = sitemap_rows(table.filter(F.col("url").isin(found))).filter("child").select(F.col("loc").alias("url"))
+    return table.filter(F.col("url").isin(reached))
 
 
 def within_days(posts: DataFrame, days: int, today: str) -> DataFrame:
