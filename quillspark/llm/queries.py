@@ -9,6 +9,7 @@ from quillspark.llm.decontaminate import decontaminate
 from quillspark.llm.exact_dedup import exact_dedup
 from quillspark.llm.language import identify
 from quillspark.llm.license import BASE, TEMPLATES, THRESHOLD, license_scan
+from quillspark.llm.line_dedup import MIN_DOCS, dedup_lines
 from quillspark.llm.packing import best_fit_pack, matrix_digests, pack_matrix
 from quillspark.llm.quality import importance_resample
 from quillspark.llm.simhash import near_duplicates
@@ -60,6 +61,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir)).drop("keep", "kept")
+
+
 QUERIES = {
     "op1_importance_resampling": op1,
     "op2_license_scan": op2,
@@ -71,6 +76,7 @@ QUERIES = {
     "op8_exact_dedup": op8,
     "op9_suffix_array_dedup": op9,
     "op10_simhash": op10,
+    "op13_line_dedup": op13,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -147,4 +153,15 @@ SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGIN
 FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
 """
 
-SQL = {"op9_suffix_array_dedup": _OP9, "op2_license_scan": _OP2, "op6_decontamination": _OP6, "op7_substring_words": _OP7, "op8_exact_dedup": _OP8}
+_OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
+keys AS (SELECT r, doc_id, i, line, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+repeated AS (SELECT key FROM keys WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+marked AS (SELECT keys.*, repeated.key IS NOT NULL AS gone FROM keys LEFT JOIN repeated USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r
+"""
+
+SQL = {"op13_line_dedup": _OP13, "op9_suffix_array_dedup": _OP9, "op2_license_scan": _OP2, "op6_decontamination": _OP6, "op7_substring_words": _OP7, "op8_exact_dedup": _OP8}
