@@ -13,6 +13,7 @@ from quillspark.llm.line_dedup import MIN_DOCS, dedup_lines
 from quillspark.llm.packing import best_fit_pack, matrix_digests, pack_matrix
 from quillspark.llm.quality import importance_resample
 from quillspark.llm.simhash import near_duplicates
+from quillspark.llm.spelling import spelling_variants
 from quillspark.llm.substring_bytes import remove_repeated_bytes
 from quillspark.llm.substring_words import remove_repeated_windows
 
@@ -61,6 +62,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir)).drop("keep", "kept")
 
@@ -76,6 +81,7 @@ QUERIES = {
     "op8_exact_dedup": op8,
     "op9_suffix_array_dedup": op9,
     "op10_simhash": op10,
+    "op11_spelling_variants": op11,
     "op13_line_dedup": op13,
 }
 
