@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.llm.align import align_tokens
 from quillspark.llm.common import documents
 from quillspark.llm.decontaminate import decontaminate
 from quillspark.llm.exact_dedup import exact_dedup
@@ -66,6 +67,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(documents(spark, sf_dir))
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(documents(spark, sf_dir), with_groups=False)
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir)).drop("keep", "kept")
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op9_suffix_array_dedup": op9,
     "op10_simhash": op10,
     "op11_spelling_variants": op11,
+    "op12_tokenizer_alignment": op12,
     "op13_line_dedup": op13,
 }
 
