@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -124,3 +125,90 @@ def pieces(tokenizer, docs, size=2048):
             part = ids[at : at + size]
             out[doc, k] = (at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
     return out
+
+
+def one_edit(a, b):
+    """Whether b, as long as a or one longer, is a with one letter changed or added."""
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return a[i:] == b[i + 1 :] or a[i + 1 :] == b[i + 1 :]
+
+
+def spelling_variants(docs, slip=31, min_letters=7, min_count=2, ratio=10):
+    counts = Counter()
+    for doc, text in docs:
+        for run in re.findall(r"[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(UPPER)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % slip == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= min_letters and n >= min_count}
+    letters = sorted({c for w in words for c in w})
+    near = {}
+    for w in words:
+        if len(w) > 100:
+            near[w] = [x for x in words if x != w and abs(len(x) - len(w)) <= 1 and one_edit(*sorted((x, w), key=len))]
+            continue
+        edits = {w[:i] + w[i + 1 :] for i in range(len(w))}
+        edits |= {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters} | {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in letters}
+        near[w] = [e for e in edits - {w} if e in words]
+    form = {}
+    for w in words:
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best and words[best] >= ratio * words[w] else None
+    out = []
+    for w, n in words.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n, len(near[w]), words.get(form[w])))
+    return out
+
+
+def align(docs, a, b):
+    """docs' counts and groups, by comparing offsets; a and b are the two tokenizers."""
+    letters = {**{chr(x): x for x in [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]}}
+    letters |= {chr(256 + i): x for i, x in enumerate(x for x in range(256) if chr(x) not in letters)}
+    parts, holds = [], Counter()
+    for doc, text in docs:
+        raw = f" {text}".encode()
+        x = a.encode(f" {text}", add_special_tokens=False).ids if text else []
+        y = b.encode(text) if text else []
+        xb = [bytes(letters[c] for c in a.id_to_token(i)) for i in x]
+        yb = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x..>", p) else p.replace("▁", " ").encode() for p in map(b.id_to_piece, y)]
+        if b"".join(xb) != raw or b"".join(yb) != raw:
+            parts.append((doc, [], [], []))
+            continue
+        xe, ye = [list(np.cumsum([len(t) for t in ts])) for ts in (xb, yb)]
+        groups, i, j = [], 0, 0
+        for cut in sorted(set(xe) & set(ye)):
+            k, m = xe.index(cut, i) + 1, ye.index(cut, j) + 1
+            groups.append((x[i:k], y[j:m]))
+            i, j = k, m
+        holds.update({(p, q) for g in groups for p in g[0] for q in g[1]})
+        parts.append((doc, x, y, groups))
+    top = defaultdict(int)
+    for (p, _), n in holds.items():
+        top[p] = max(top[p], n)
+    out = []
+    for doc, x, y, groups in parts:
+        links = [(p, q) for g in groups for p in g[0] for q in g[1]]
+        text = ";".join(f"{','.join(map(str, g[0]))}|{','.join(map(str, g[1]))}" for g in groups)
+        out.append((doc, len(x), len(y), len(groups), len(links), sum(holds[z] == top[z[0]] for z in links), sum(holds[z] for z in links), sha(text.encode()) if groups else ""))
+    return out
+
+
+def line_dedup(docs, min_docs=10):
+    def key(line):
+        return line.strip(" \t\n\x0b\x0c\r").translate(UPPER)
+
+    holds = defaultdict(set)
+    for doc, text in docs:
+        for line in (text or "").split("\n"):
+            holds[key(line)].add(("text", text or "") if doc is None else doc)
+    out = []
+    for doc, text in docs:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if not key(x) or len(holds[key(x)]) < min_docs]
+        out.append((doc, len(lines), len(lines) - len(kept), sha("\n".join(kept).encode())))
+    return out
