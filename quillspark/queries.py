@@ -776,4 +776,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_page(spark, sf_dir)
 
 
-from quillspark import function_queries  # noqa: E402, F401  (registers more)
+from quillspark import function_queries, page_queries  # noqa: E402, F401  (they register more)
