@@ -90,3 +90,40 @@ def kind(mime: Column | str, extensions: Column | str) -> Column:
     for parts, name in KINDS:
         out = out.when(starts(parts), name)
     return out.when((m != "") & ~starts(["text/html", "application/xhtml"]), "file").otherwise("article")
+
+
+def without_fragment(url: Column | str) -> Column:
+    return F.substring_index(col(url), "#", 1)
+
+
+def _undotted(path: Column, joined: bool) -> Column:
+    """A path from the root without . and ..; of joined paths the empty parts go too, but the last."""
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    last = F.element_at(parts, -1)
+    pop = lambda kept: F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+
+    def step(kept: Column, part: Column) -> Column:
+        skipped = part.isin(".", "") if joined else part == "."
+        return F.when(part == "..", pop(kept)).when(skipped, kept).otherwise(F.concat(kept, F.array(part)))
+
+    before = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), F.array().cast("array<string>"), step)
+    whole = F.when(last == "..", F.concat(pop(before), F.array(F.lit("")))).when(last == ".", F.concat(before, F.array(F.lit("")))).otherwise(F.concat(before, F.array(last)))
+    return F.concat(F.lit("/"), F.array_join(whole, "/"))
+
+
+def resolve(base: Column | str, href: Column | str) -> Column:
+    """The address that ``href`` names on the page at ``base``, an http address."""
+    base, href = col(base), F.coalesce(col(href), F.lit(""))
+    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    place = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    ours, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    folder = F.regexp_replace(place, r"[^/]*$", "")
+    return (
+        F.when(href == "", base)
+        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(base, r"^([^:]*:)", 1), href))
+        .when(F.startswith(href, F.lit("#")), F.concat(without_fragment(base), href))
+        .when(F.startswith(href, F.lit("?")), F.concat(root, place, href))
+        .when(F.startswith(href, F.lit("/")), F.concat(root, _undotted(ours, False), rest))
+        .otherwise(F.concat(root, _undotted(F.concat(F.when(folder == "", "/").otherwise(folder), ours), True), rest))
+    )
