@@ -311,7 +311,8 @@ def gather(rows: DataFrame, shape: Shape, across: bool, bucket: Callable[[Iterat
     hits = _salted(places, stage(runs, "runs"))
     if across:
         hits = hits.filter("owner > least")
-    return hits.withColumn("who", _who("owner")).groupBy("row", "who").agg(F.collect_list(F.struct("starts", "offset", "length")).alias("runs"))
+    # rows that repeat id and text bring the same places: a set holds them once, and is combined before it moves
+    return hits.withColumn("who", _who("owner")).groupBy("row", "who").agg(F.collect_set(F.struct("starts", "offset", "length")).alias("runs"))
 
 
 def covered(runs: list[dict] | None, size: int, width: int) -> np.ndarray:
