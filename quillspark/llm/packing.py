@@ -9,7 +9,8 @@ their own.
 is the local search: it exchanges one piece for one, two for one, or moves a
 piece between underfull bins whenever that raises the sum of squared fills,
 and so drains the emptiest bins until they are gone.  It ends where no such
-step is left between any two underfull bins of the shard.
+step is left between any two underfull bins of the shard, whichever of them is
+the fuller, or where the shard has as few sequences as its lengths allow.
 """
 
 from __future__ import annotations
@@ -120,13 +121,51 @@ class RoomIndex:
         return self.heaps[k][0][1]
 
 
+class RoomTable:
+    """How many open bins hold items of a length (or two of a sum) with less than a given room.
+
+    A bin that gives ``s`` gains by getting ``k`` from any bin, fuller or
+    emptier, whose room is at least ``s - k`` and less than that and its own.
+    """
+
+    def __init__(self, capacity: int):
+        self.below = np.zeros((capacity + 1, capacity + 2), np.int32)
+        self.bins: dict[tuple[int, int], set[int]] = {}
+
+    def add(self, b: int, room: int, keys: set[int]) -> None:
+        for k in keys:
+            self.below[k, room + 1 :] += 1
+            self.bins.setdefault((k, room), set()).add(b)
+
+    def remove(self, b: int, room: int, keys: set[int]) -> None:
+        for k in keys:
+            self.below[k, room + 1 :] -= 1
+            self.bins[k, room].discard(b)
+
+    def find(self, s: int, least: int, most: int, room: int) -> tuple[int, int] | None:
+        """The least k of least..s-1 for which some bin's room fits, of a shift above ``most``; and such a bin."""
+        top = self.below.shape[1] - 1
+        ks = np.arange(max(least, s - top + 1), s - most)
+        if not len(ks):
+            return None
+        shift = s - ks
+        fits = self.below[ks, np.minimum(shift + room, top)] > self.below[ks, shift]
+        if not fits.any():
+            return None
+        k = int(ks[fits.argmax()])
+        row = self.below[k, s - k : min(s - k + room, top) + 1]
+        at = s - k + int((row > row[0]).argmax()) - 1
+        return k, min(self.bins[k, at])
+
+
 def improve(bins: list[list[int]], lengths: list[int], capacity: int = SEQUENCE) -> list[list[int]]:
     """Local search by moves and exchanges between underfull bins; never more bins than before.
 
     A pass goes through all underfull bins, the emptiest of those left first,
     and shifts length from each to fuller bins until no move or exchange does
-    so; the bins left are all as full, so every pair is tried.  Passes end when
-    one gains nothing, or when there are as few bins as the lengths allow.
+    so.  When such a pass gains nothing, the bins are tried in pairs of either
+    order, as a fuller bin may give to an emptier one.  The search ends where
+    no pair gains, or with as few bins as the lengths allow.
     """
     full, held = [], []  # item numbers of each underfull bin by length
     for b in bins:
@@ -154,6 +193,56 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int = SEQUENCE)
                 del held[a][n]
         fill[a], fill[b] = fill[a] - sum(sizes), fill[b] + sum(sizes)
 
+    def anywhere() -> bool:
+        """Exchanges between any two bins until none gains; whether one did."""
+        nonlocal live
+        ones, twos = RoomTable(capacity), RoomTable(capacity)
+
+        def enter(b: int) -> None:
+            if 0 < fill[b] < capacity:
+                ones.add(b, capacity - fill[b], {0, *held[b]})
+                twos.add(b, capacity - fill[b], sums(b))
+
+        def leave(b: int) -> None:
+            if 0 < fill[b] < capacity:
+                ones.remove(b, capacity - fill[b], {0, *held[b]})
+                twos.remove(b, capacity - fill[b], sums(b))
+
+        def step(b: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
+            most, found, room = 0, None, capacity - fill[b]
+            for s in sorted(held[b], reverse=True):
+                for index in (ones, twos):  # move, one for one, one for two
+                    if (hit := index.find(s, 0, most, room)) is not None:
+                        most, found = s - hit[0], ((s,), hit[1], halves(hit[1], hit[0]) if index is twos else (hit[0],) if hit[0] else ())
+            for s in sums(b):  # two for one
+                if s <= capacity and (hit := ones.find(s, 1, most, room)) is not None:
+                    most, found = s - hit[0], (halves(b, s), hit[1], (hit[0],))
+            return None if found is None else (found[1], found[0], found[2])
+
+        for b in range(len(held)):
+            enter(b)
+        any_gain, again = False, True
+        while again:
+            again = False
+            for b in range(len(held)):
+                while 0 < fill[b] < capacity:
+                    leave(b)
+                    found = step(b)
+                    if found is None:
+                        enter(b)
+                        break
+                    t, mine, theirs = found
+                    leave(t)
+                    shift(b, t, mine)
+                    shift(t, b, theirs)
+                    enter(b)
+                    enter(t)
+                    any_gain = again = True
+                    live -= not fill[b]
+                    if live == fewest:
+                        return True
+        return any_gain
+
     gained = True
     while gained and live > fewest:
         gained = False
@@ -209,6 +298,8 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int = SEQUENCE)
                 live -= 1
                 if live == fewest:
                     break
+        if not gained and live > fewest:
+            gained = anywhere()
     return full + [[i for of in b.values() for i in of] for b in held if b]
 
 
