@@ -7,9 +7,9 @@ a language is the number of its n-grams with that bit, less what the filter
 would say by chance at that language's measured load; the largest share decides.
 
 N-grams are counted exactly, by 64-bit hashes, and the filter has eight slots
-for each, as narrow as the number of languages allows.  The fit is bounded: by
-documents, by languages (those of most documents) and by n-grams (the most
-frequent).
+for each, as narrow as the number of languages allows.  The fit is bounded by
+the number of labelled documents, of which each language gets an equal share
+first; the filter learns every language and n-gram of these.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import bytekit as bk
@@ -30,8 +30,6 @@ from quillspark.llm.common import batches, session, stage, unstage
 GRAM, HASHES = 5, 3
 #: Largest number of labelled documents that the filter is fitted on, whole texts.
 MAX_TRAIN_DOCS = 20_000
-#: Languages and n-grams that it learns at most.
-MAX_LANGUAGES, MAX_GRAMS = 256, 2_000_000
 #: N-grams that a training task holds before it passes their counts on.
 _HELD = 1 << 21
 #: An n-gram belongs to a language if its frequency there is at least this share of its largest.
@@ -102,9 +100,10 @@ class LanguageFilter:
     bits: int  # of a slot's number
     slots: np.ndarray  # words of a slot: (words, 1 << bits)
     false_positive: np.ndarray  # by language
+    usual: int = 0  # place of the language of most labelled documents
 
     @classmethod
-    def build(cls, languages: list[str], grams: np.ndarray, members: np.ndarray) -> LanguageFilter:
+    def build(cls, languages: list[str], grams: np.ndarray, members: np.ndarray, usual: int = 0) -> LanguageFilter:
         """grams: hash of each n-gram, members: place of a language that has it; an n-gram of several languages repeats."""
         kind = next((k for k in (np.uint8, np.uint16, np.uint32) if len(languages) <= 8 * np.dtype(k).itemsize), np.uint64)
         width = 8 * np.dtype(kind).itemsize
@@ -115,7 +114,7 @@ class LanguageFilter:
             for at in cls.places(grams[members == i], bits):
                 slots[i // width, at] |= kind(1 << (i % width))
             load[i] = ((slots[i // width] >> kind(i % width)) & kind(1)).mean()
-        return cls(list(languages), bits, slots, load**HASHES)
+        return cls(list(languages), bits, slots, load**HASHES, usual)
 
     @staticmethod
     def places(grams: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -148,29 +147,64 @@ class LanguageFilter:
         return out / np.maximum(total, 1)[:, None]
 
 
+def quotas(counts: dict[str, int], most: int) -> dict[str, int]:
+    """Documents of each language: equal shares, what small ones leave goes to the larger ones; no more than ``most``."""
+    out, left = {}, most
+    for i, (n, lang) in enumerate(sorted((n, lang) for lang, n in counts.items())):
+        out[lang] = min(n, left // (len(counts) - i))
+        left -= out[lang]
+    return out
+
+
+def _sample(docs: DataFrame, max_docs: int) -> tuple[DataFrame, list[str]]:
+    """At most ``max_docs`` labelled rows that are not held out, and their languages, that of most rows first.
+
+    Of each language those of least hashed id and text.  Where more languages
+    than ``max_docs`` are labelled, those of fewest rows have none.
+    """
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    # as many rows as languages
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy(F.col("lang").cast("string").alias("lang")).count().collect()}
+    share = {lang: n for lang, n in quotas(counts, max_docs).items() if n}
+    languages = sorted(share, key=lambda x: (-counts[x], x))
+    # a text's first and last word have a mark beside them, like any other
+    padded = F.concat(F.lit(" "), F.col("text").cast("string"), F.lit(" "))
+    rows = labelled.select(F.col("lang").cast("string").alias("lang"), padded.alias("text"), F.xxhash64("doc_id", "text").alias("h"), F.col("doc_id").cast("long").alias("doc_id"))
+    if not share:
+        return rows.select("lang", "text").limit(0), []
+    # hashes are even: a little more than the share of each language lies below its bound
+    bound = {lang: 1.0 if n == counts[lang] else min(1.0, (1.2 * n + 50) / counts[lang]) for lang, n in share.items()}
+    of = spark_map({lang: (float(n), bound[lang]) for lang, n in share.items()})
+    near = rows.withColumn("of", F.try_element_at(of, F.col("lang"))).filter((F.col("h").cast("double") / 2.0**64 + 0.5) <= F.col("of")[1])
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
+    # the constant bound lets each task drop what can't be among the first
+    return ranked.filter(F.col("rank") <= max(share.values())).filter(F.col("rank") <= F.col("of")[0]).select("lang", "text"), languages
+
+
+def spark_map(values: dict[str, tuple[float, ...]]) -> Column:
+    return F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*[F.array(*map(F.lit, v)) for v in values.values()]))
+
+
 def fit(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> LanguageFilter:
-    """Fit on at most ``max_docs`` labelled documents (those of least hashed id) that are not held out.
+    """Fit on at most ``max_docs`` labelled rows that are not held out, each language's equal share first.
 
     Without labelled documents the filter knows no language.
     """
     session(docs)
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    ids = labelled.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    sample = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
-    languages = sorted(r["lang"] for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    sample, languages = _sample(docs, max_docs)
     if not languages:
         return LanguageFilter.build([], np.empty(0, np.uint64), np.empty(0, np.int64))
-    counted = sample.filter(F.col("lang").isin(languages)).mapInArrow(lambda it: _count(it, languages), "at int, gram long, n long")
+    order = sorted(languages)
+    counted = sample.mapInArrow(lambda it: _count(it, order), "at int, gram long, n long")
     cells = stage(counted.groupBy("at", "gram").agg(F.sum("n").alias("n")), "grams")
     # as many rows as languages
     totals = {r["at"]: r["n"] for r in cells.groupBy("at").agg(F.sum("n").alias("n")).collect()}
     share = F.element_at(F.create_map(*[F.lit(x) for at, n in totals.items() for x in (at, 1.0 / n)]), F.col("at")) if totals else F.lit(0.0)
-    by_gram = cells.groupBy("gram").agg(F.sum("n").alias("n"), F.collect_list(F.struct("at", (F.col("n") * share).alias("rate"))).alias("c"))
-    if by_gram.count() > MAX_GRAMS:
-        by_gram = by_gram.orderBy(F.desc("n"), "gram").limit(MAX_GRAMS)
+    by_gram = cells.groupBy("gram").agg(F.collect_list(F.struct("at", (F.col("n") * share).alias("rate"))).alias("c"))
+    # n-grams of the sample, whose size is bounded
     has = by_gram.select("gram", F.explode(F.filter("c", lambda x: x["rate"] >= SHARE * F.array_max("c.rate"))["at"]).alias("at")).toArrow()
     unstage(cells)
-    return LanguageFilter.build(languages, has.column("gram").to_numpy().view(np.uint64), has.column("at").to_numpy())
+    return LanguageFilter.build(order, has.column("gram").to_numpy().view(np.uint64), has.column("at").to_numpy(), order.index(languages[0]))
 
 
 def _predict(rows: Iterator[pa.RecordBatch], model: LanguageFilter) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
@@ -185,10 +219,15 @@ def _predict(rows: Iterator[pa.RecordBatch], model: LanguageFilter) -> Iterator[
                     preds.append("und")
                     scores.append(0.0)
                     continue
-                total = float(share[i].sum())
-                best = int(share[i].argmax())
+                found = share[i]
+                if not found.any() and offsets[i + 1] - offsets[i] < 4 * GRAM:
+                    # a short text may have no n-gram but with what is around a word
+                    alone = np.concatenate([[0x20], data[offsets[i] : offsets[i + 1]], [0x20]]).astype(np.uint8)
+                    found = model.evidence(alone, np.array([0, len(alone)]))[0]
+                total = float(found.sum())
+                best = int(found.argmax()) if total > 0 else model.usual
                 preds.append(model.languages[best])
-                scores.append(float(share[i][best]) / total if total > 0 else 0.0)
+                scores.append(float(found[best]) / total if total > 0 else 0.0)
         yield batch, preds, scores
 
 
@@ -202,8 +241,9 @@ def identify(docs: DataFrame, model: LanguageFilter | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document, from its text alone.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing
-    was learned.  Score 0 with a language: no evidence for any.  Ties go to the
-    language that sorts first.  held_out is false for a null doc_id.
+    was learned.  Score 0 with a language: no evidence for any, and the language
+    is that of most labelled documents.  Ties go to the language that sorts
+    first.  held_out is false for a null doc_id.
     """
     spark = session(docs)
     held = spark.sparkContext.broadcast(pickle.dumps(model or fit(docs)))
