@@ -84,7 +84,8 @@ def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     key = ["__none", "__id", "__text"]
     dropped = stage(dropped.select(*key, "one"), "dropped")
     n, ones = dropped.agg(F.count("*"), F.count(F.when(F.col("one"), 1))).first()
-    keyed = docs.select("*", *row_key())
+    # one column for all of the caller's, whatever their names
+    keyed = docs.select(F.struct("*").alias("row"), *row_key())
     if not n:
         return docs
     sent = F.broadcast if n <= MAX_BROADCAST_ROWS else lambda df: df
@@ -92,7 +93,7 @@ def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     if ones:
         again = keyed.join(sent(dropped.filter("one").select(*key)), key, "left_semi")
         kept = kept.unionByName(again.dropDuplicates(key))
-    return kept.select(*docs.columns)
+    return kept.select("row.*")
 
 
 def partitions(spark: SparkSession) -> int:
