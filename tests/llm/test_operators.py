@@ -4,20 +4,23 @@ import random
 import subprocess
 import sys
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tests.llm import brute
 
 from quillspark.llm import bytekit as bk
 from quillspark.llm import queries
 from quillspark.llm.decontaminate import decontaminate, drop_contaminated
 from quillspark.llm.exact_dedup import CuckooFilter, LiveIndex, drop_exact_copies, exact_dedup
-from quillspark.llm.language import identify, keep_identified
+from quillspark.llm.language import _sample, fit, identify, keep_identified, quotas
 from quillspark.llm.license import license_scan
 from quillspark.llm.packing import CapacityTree, best_fit_decreasing, best_fit_pack, improve, pack_matrix, write_matrix
 from quillspark.llm.quality import importance_resample
@@ -450,6 +453,65 @@ def test_bins_beside_a_stuck_one():
     assert len(bins) == 310 and len(better) <= 300
 
 
+def exchange(bins, lengths, capacity):
+    """Any move, one for one, two for one or one for two between two underfull bins that raises the squared fill."""
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    for a, ours in enumerate(bins):
+        for b, theirs in enumerate(bins):
+            if a == b or capacity in (fill[a], fill[b]):
+                continue
+            mine, other = [lengths[i] for i in ours], [lengths[i] for i in theirs]
+            for give in [(x,) for x in mine] + list(combinations(mine, 2)):
+                for get in [(x,) for x in other] + (list(combinations(other, 2)) + [()] if len(give) == 1 else []):
+                    more = sum(give) - sum(get)
+                    if more > 0 and fill[b] + more <= capacity and more > fill[a] - fill[b]:
+                        return a, b, give, get
+    return None
+
+
+def test_local_search_ends_where_no_pair_gains():
+    rng = random.Random(12)
+    for trial in range(300):
+        capacity = rng.choice([20, 50, 100])
+        lengths = [rng.randrange(1, capacity) for _ in range(rng.randrange(2, 25))]
+        bins = best_fit_decreasing(lengths, capacity) if trial % 2 else [[i] for i in range(len(lengths))]
+        better = improve(bins, lengths, capacity)
+        assert sorted(i for b in better for i in b) == list(range(len(lengths))) and len(better) <= len(bins)
+        assert len(better) == -(-sum(lengths) // capacity) or exchange(better, lengths, capacity) is None
+    # a fuller bin gives to an emptier one
+    lengths = [380] * 55 + [120, 610, 610, 610] * 11
+    bins = [list(range(5 * i, 5 * i + 5)) for i in range(11)] + [list(range(55 + 4 * i, 59 + 4 * i)) for i in range(11)]
+    assert exchange(bins, lengths, 2048) and exchange(improve(bins, lengths), lengths, 2048) is None
+
+
+@pytest.mark.parametrize("ids", ["none", "one", "own"])
+def test_repeated_rows(spark, ids):
+    """Ten thousand equal rows cost what as many different ones do."""
+    rng = random.Random(4)
+    text = " ".join(f"w{rng.randrange(400)}" for _ in range(400))
+    rows = [({"none": None, "one": 7, "own": i}[ids], text) for i in range(10_000)] + [(20_000, "other " + text), (20_001, text[:150])]
+    began = time.monotonic()
+    got = Counter((r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeated_bytes(frame(spark, rows)).select("n_bytes", "n_removed", "n_spans").collect())
+    n = len(text)
+    assert got == {(n, n, 1): 10_000, (n + 6, n, 1): 1, (150, 0, 0): 1}
+    got = Counter((r.n_words, r.n_removed) for r in remove_repeated_windows(frame(spark, rows)).select("n_words", "n_removed").collect())
+    short = len(text[:150].split())
+    assert got == {"none": {(400, 0): 10_000, (401, 0): 1, (short, 0): 1}, "one": {(400, 0): 10_000, (401, 400): 1, (short, 0): 1}, "own": {(400, 0): 1, (400, 400): 9_999, (401, 400): 1, (short, 0): 1}}[ids]
+    assert time.monotonic() - began < 60
+
+
+def test_clashing_names(spark):
+    """Columns of the caller's that are called like the operators' own."""
+    own = ["__none", "__id", "__text", "row", "k", "best", "root", "digest", "one", "pos", "size"]
+    rows = awkward()
+    docs = frame(spark, rows).select("doc_id", "text", *[F.lit(i).alias(c) for i, c in enumerate(own)])
+    bench = spark.createDataFrame([(99, awkward()[9][1])], "item_id long, text string")
+    for out in (drop_exact_copies(docs), drop_near_copies(docs), drop_contaminated(docs, bench), drop_contaminated(docs, bench, broadcast_bytes=0)):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert 0 < len(got) < len(rows) and all(tuple(r)[2:] == tuple(range(len(own))) for r in got)
+
+
 def test_language(spark, rows):
     got = identify(frame(spark, rows)).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((d is None, d or 0) for d, _ in rows)
@@ -499,6 +561,31 @@ def test_language_plain(spark):
     assert clear > 150
 
 
+def test_language_sample(spark):
+    """Every language has its share of the labelled rows, however rare; repeated ids and rows don't exceed the bound."""
+    rows = [(i, f"the cat and the dog number {i}", "en") for i in range(6000)] + [(10_000 + i, "le chat et le chien disent oui", "fr") for i in range(4)] + [(5, "the same again", "en")] * 3000
+    docs = spark.createDataFrame([*rows, (20_000, "Oui", None), (20_001, "chien", None), (20_002, "ß", None)], "doc_id long, text string, lang string")
+    for bound, few in ((20, 4), (3, 1)):
+        sample, languages = _sample(docs, bound)
+        n = Counter(r.lang for r in sample.collect())
+        free = sum(zlib.crc32(str(10_000 + i).encode()) % 5 > 0 for i in range(4))
+        assert languages == ["en", "fr"] and sum(n.values()) <= bound and n["fr"] == min(few, free) and n["en"] > 0
+    got = {r.doc_id: r.lang_pred for r in identify(docs, fit(docs, 20)).filter("doc_id >= 20000").collect()}
+    assert got == {20_000: "fr", 20_001: "fr", 20_002: "en"}
+    assert quotas({"a": 5, "b": 1000, "c": 3}, 20) == {"c": 3, "a": 5, "b": 12} and quotas({}, 5) == {}
+
+
+def test_many_languages(spark):
+    """More languages than a word has bits, and more than any bound of old."""
+    rows = [(10 * i + k, " ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}{x}" for x in ("alpha", "beta", "gamma")), f"l{i:03}") for i in range(300) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(docs)
+    assert len(model.languages) > 256
+    known = set(model.languages)
+    got = identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in got if r.lang in known) / sum(r.lang in known for r in got) > 0.95
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = importance_resample(docs, labels, share=0.5).collect()
