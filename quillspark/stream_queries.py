@@ -12,7 +12,8 @@ from quillspark.queries import query, table
 from quillspark.shared import shared_dir
 from quillspark.streaming.attempts import attempt_outcomes
 from quillspark.streaming.backfill import backfill
-from quillspark.streaming.runs import drain
+from quillspark.streaming.runs import drain, drain_batches
+from quillspark.streaming.seen import SeenKeys, on_each_batch
 
 SLICES = 3
 
@@ -71,3 +72,22 @@ def backfill_runs(spark, sf_dir):
     feed = F.col("o_custkey") % 40
     rows = table(spark, sf_dir, "orders").select(i.alias("post"), feed.alias("feed_id"), F.concat(F.lit("https://f"), feed.cast("string"), F.lit(".org/"), i.cast("string")).alias("url"), day.alias("day"), at.alias("at"))
     return _in_slices(rows, "post", lambda s: backfill(s, 9, 30, "9 days"))
+
+
+@query("""WITH e AS (SELECT event_type AS kind, user_id % 3 AS feed_id, 'u' || user_id || '/' || event_type AS guid, event_id FROM events), b AS (SELECT min(event_id) AS low, (max(event_id) - min(event_id)) / 3.0 AS step FROM e)
+  SELECT feed_id, guid, min(least(2, floor((event_id - low) / step)))::INT AS batch_id FROM e, b GROUP BY feed_id, guid""")
+def new_by_batch(spark, sf_dir):
+    """Events are feed entries, told again and again; each stands in the batch that brought it first."""
+    i = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(i, (F.col("user_id") % 3).alias("feed_id"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("guid"))
+    span = rows.agg(F.min(i).alias("low"), ((F.max(i) - F.min(i)) / 3.0).alias("step"))
+    # one row of bounds
+    cut = rows.join(F.broadcast(span), F.lit(True)).withColumn("slice", F.least(F.lit(2), F.floor((i - F.col("low")) / F.col("step"))))
+    at = f"{shared_dir(spark)}/seen-{uuid4().hex}"
+    entries = cut.select("slice", "feed_id", "guid")
+    entries.write.partitionBy("slice").parquet(f"{at}/all")
+    run = on_each_batch(SeenKeys(spark, f"{at}/index", 16), f"{at}/new", merged=2)
+    for k in range(SLICES):
+        spark.read.parquet(f"{at}/all/slice={k}").write.mode("append").parquet(f"{at}/in")
+        drain_batches(spark.readStream.schema("feed_id long, guid string").parquet(f"{at}/in"), run, f"{at}/checkpoint")
+    return spark.read.schema("feed_id long, guid string, batch_id int").parquet(f"{at}/new")
