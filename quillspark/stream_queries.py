@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.queries import query, table
 from quillspark.shared import shared_dir
+from quillspark.sources import feed_source
 from quillspark.streaming.attempts import attempt_outcomes
 from quillspark.streaming.backfill import backfill
 from quillspark.streaming.runs import drain, drain_batches
@@ -91,3 +92,27 @@ def new_by_batch(spark, sf_dir):
         spark.read.parquet(f"{at}/all/slice={k}").write.mode("append").parquet(f"{at}/in")
         drain_batches(spark.readStream.schema("feed_id long, guid string").parquet(f"{at}/in"), run, f"{at}/checkpoint")
     return spark.read.schema("feed_id long, guid string, batch_id int").parquet(f"{at}/new")
+
+
+#: Ten pages are a feed, each shown by one of two polls; what is after the title tag's text is its article.
+_SHOWN = """s AS (SELECT page_id, page_id // 10 AS feed_id, (page_id % 2)::INT AS poll, url, trim(regexp_extract(html, '<title>([^<]*)', 1)) AS title, html FROM pages)"""
+
+
+@query(f"""WITH {_SHOWN} SELECT poll, feed_id, (row_number() OVER (PARTITION BY poll, feed_id ORDER BY page_id) - 1)::INT AS position, url AS guid, CASE WHEN title <> '' THEN title END AS title, url, sha256(trim(html)) AS html_sha256 FROM s""")
+def feeds_streamed(spark, sf_dir):
+    """Pages go out as feed documents and come back through the data source, a poll at a time."""
+    escaped = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    i = F.col("page_id")
+    title = F.regexp_extract("html", "<title>([^<]*)", 1)
+    pages = table(spark, sf_dir, "pages").select(i, "url", "html", title.alias("title"))
+    item = F.concat(F.lit("<item><guid>"), escaped("url"), F.lit("</guid><link>"), escaped("url"), F.lit("</link><title>"), escaped("title"), F.lit("</title><description>"), escaped("html"), F.lit("</description></item>"))
+    # ten pages a document
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_id", item.alias("item")))), lambda x: x["item"])
+    documents = pages.groupBy(F.floor(i / 10).alias("feed_id"), (i % 2).cast("int").alias("poll")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(ordered, ""), F.lit("</channel></rss>")).alias("xml"))
+    at = f"{shared_dir(spark)}/feeds-{uuid4().hex}"
+    feed_source.register(spark)
+    for poll in range(2):
+        documents.filter(F.col("poll") == poll).select("feed_id", F.col("xml").alias("value")).write.partitionBy("feed_id").text(f"{at}/polls/poll={poll}")
+        stream = spark.readStream.format("feeds").load(f"{at}/polls").filter("error IS NULL")
+        out = drain(stream.select("poll", "feed_id", "position", "guid", "title", "url", F.sha2("inline_html", 256).alias("html_sha256")), f"{at}/out", f"{at}/checkpoint")
+    return out
