@@ -167,18 +167,19 @@ def _sample(docs: DataFrame, max_docs: int) -> tuple[DataFrame, list[str]]:
     counts = {r["lang"]: r["count"] for r in labelled.groupBy(F.col("lang").cast("string").alias("lang")).count().collect()}
     share = {lang: n for lang, n in quotas(counts, max_docs).items() if n}
     languages = sorted(share, key=lambda x: (-counts[x], x))
+    key = [F.xxhash64("doc_id", "text").alias("h"), F.col("doc_id").cast("long").alias("doc_id")]
     # a text's first and last word have a mark beside them, like any other
-    padded = F.concat(F.lit(" "), F.col("text").cast("string"), F.lit(" "))
-    rows = labelled.select(F.col("lang").cast("string").alias("lang"), padded.alias("text"), F.xxhash64("doc_id", "text").alias("h"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.concat(F.lit(" "), F.col("text").cast("string"), F.lit(" ")).alias("text"), *key)
     if not share:
         return rows.select("lang", "text").limit(0), []
     # hashes are even: a little more than the share of each language lies below its bound
     bound = {lang: 1.0 if n == counts[lang] else min(1.0, (1.2 * n + 50) / counts[lang]) for lang, n in share.items()}
     of = spark_map({lang: (float(n), bound[lang]) for lang, n in share.items()})
-    near = rows.withColumn("of", F.try_element_at(of, F.col("lang"))).filter((F.col("h").cast("double") / 2.0**64 + 0.5) <= F.col("of")[1])
+    near = rows.drop("text").withColumn("of", F.try_element_at(of, F.col("lang"))).filter((F.col("h").cast("double") / 2.0**64 + 0.5) <= F.col("of")[1]).distinct()
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-    # the constant bound lets each task drop what can't be among the first
-    return ranked.filter(F.col("rank") <= max(share.values())).filter(F.col("rank") <= F.col("of")[0]).select("lang", "text"), languages
+    chosen = ranked.filter(F.col("rank") <= F.col("of")[0]).select("lang", "h", "doc_id")
+    # at most ``max_docs`` keys; of rows that repeat id, text and language one is taken
+    return rows.join(F.broadcast(chosen), ["lang", "h", "doc_id"], "left_semi").dropDuplicates(["lang", "h", "doc_id"]).select("lang", "text"), languages
 
 
 def spark_map(values: dict[str, tuple[float, ...]]) -> Column:
