@@ -284,10 +284,14 @@ def feed_reset(spark, sf_dir):
     return count("items", out["feed_items"]).unionByName(count("unchecked", out["feeds"].filter("last_checked_at IS NULL"))).unionByName(count("books", out["books"]))
 
 
-@query(f"SELECT i AS id, CASE WHEN i % 2 = 0 THEN {_NOW} END AS backfill_done_at FROM range(5) t(i)")
+@query(f"""WITH s AS (SELECT s_suppkey AS id, CASE WHEN s_acctbal < 0 THEN TIMESTAMP '2024-01-01 00:00:00' END AS done FROM supplier), l AS (SELECT l_suppkey AS feed_id, count(*) FILTER (WHERE l_returnflag = 'R' AND l_quantity > 45) AS n FROM lineitem GROUP BY l_suppkey)
+  SELECT id, CASE WHEN n = 0 THEN {_NOW} ELSE done END AS backfill_done_at FROM s LEFT JOIN l ON id = feed_id""")
 def windows_caught_up(spark, sf_dir):
-    left = feed_table(spark).select(F.col("id").alias("feed_id"), (F.col("id") % 2).alias("n"))
-    return runs.caught_up(feed_table(spark).withColumn("backfill_done_at", F.lit(None).cast("timestamp")), left, NOW).select("id", "backfill_done_at")
+    """Suppliers are feeds; what was returned in large lots is left to fetch."""
+    c = F.col
+    suppliers = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("id"), F.when(c("s_acctbal") < 0, F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("backfill_done_at"))
+    left = table(spark, sf_dir, "lineitem").groupBy(c("l_suppkey").alias("feed_id")).agg(F.count_if((c("l_returnflag") == "R") & (c("l_quantity") > 45)).alias("n"))
+    return runs.caught_up(suppliers, left, NOW).select("id", "backfill_done_at")
 
 
 _POSTS = "p AS (SELECT 'https://h.org/' || o_orderkey AS url, o_orderdate::DATE AS date, year(o_orderdate)::INT AS year, CASE WHEN o_orderkey % 2 = 0 THEN 'Post ' || o_orderkey END AS title FROM orders)"
@@ -366,13 +370,17 @@ def broken_feeds(spark, sf_dir):
     return feeds.feed_failures(table(spark, sf_dir, "pages").select(i.alias("feed_id"), xml.alias("xml"))).select(F.col("feed_id").alias("page_id"))
 
 
-@query("SELECT 'https://h.org/s' || i || '.xml' AS url FROM range(12) t(i)")
+@query("""WITH RECURSIVE m AS (SELECT s_suppkey AS id, s_nationkey FROM supplier), r AS (SELECT 0 AS id, 0 AS level UNION SELECT m.id, level + 1 FROM r JOIN m ON m.id IN (2 * r.id + 1, 2 * r.id + 2) WHERE m.s_nationkey <> 3), k AS (SELECT id, row_number() OVER (ORDER BY level, 'https://h.org/s' || id || '.xml') AS place FROM r)
+  SELECT 'https://h.org/s' || id || '.xml' AS url FROM k WHERE place <= 40""")
 def sitemap_tree(spark, sf_dir):
-    i = F.col("id")
+    """Suppliers are sitemaps, each with two below it; those of one nation are listed by none."""
+    i = F.col("s_suppkey")
     name = lambda c: F.concat(F.lit("https://h.org/s"), c.cast("string"), F.lit(".xml"))
-    child = lambda k: F.concat(F.lit("<loc>"), name(2 * i + k), F.lit("</loc>"))
-    maps = spark.range(12).select(name(i).alias("url"), F.concat(F.lit("<urlset><sitemap>"), child(1), F.lit("</sitemap><sitemap>"), child(2), F.lit("</sitemap></urlset>")).alias("xml"))
-    return feeds.walk(maps, maps.filter("url LIKE '%s0.xml'").select("url")).select("url")
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    below = suppliers.filter((i > 0) & (F.col("s_nationkey") != 3)).select(F.floor((i - 1) / 2).alias("above"), F.concat(F.lit("<sitemap><loc>"), name(i), F.lit("</loc></sitemap>")).alias("loc"))
+    listed = below.groupBy("above").agg(F.array_join(F.collect_list("loc"), "").alias("locs"))
+    maps = suppliers.join(listed, i == F.col("above"), "left").select(name(i).alias("url"), F.concat(F.lit("<urlset>"), F.coalesce("locs", F.lit("")), F.lit("</urlset>")).alias("xml"))
+    return feeds.walk(maps, maps.filter("url LIKE '%/s0.xml'").select("url"), 40).select("url")
 
 
 @query("SELECT doc_id, '/opds/all?q=' || replace(replace(source, ' ', '+'), '&', '%26') || '&page=' || (doc_id % 9) AS href FROM documents")
@@ -384,7 +392,7 @@ def catalog_addresses(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT p_partkey, p_size * 20 AS w, 900 + p_size AS h FROM part), f AS (SELECT *, least(least(600.0::DOUBLE / w, 800.0::DOUBLE / h), 1.0) AS s FROM p)
-  SELECT p_partkey, greatest(1, round_even(w * s, 0))::INT AS width, greatest(1, round_even(h * s, 0))::INT AS height, CASE WHEN w / h >= 1.8 THEN 'split' WHEN w / h >= 1.16 THEN 'rotate' ELSE 'keep' END AS spread, (round_even(round_even((p_partkey % 256) / 17.0, 0) * 17.0, 0))::INT AS grey FROM f""")
+  SELECT p_partkey, greatest(1, round_even(w * s, 0))::INT AS width, greatest(1, round_even(h * s, 0))::INT AS height, CASE WHEN w / h <= 1.16 THEN 'keep' WHEN w / h >= 1.8 THEN 'rotate' ELSE 'split' END AS spread, (round_even(round_even((p_partkey % 256) / 17.0, 0) * 17.0, 0))::INT AS grey FROM f""")
 def page_geometry(spark, sf_dir):
     w, h = F.col("p_size") * 20, F.col("p_size") + 900
     size = planner.fit(w, h, 600, 800)

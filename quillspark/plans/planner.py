@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import given
@@ -70,7 +70,40 @@ def grey_levels(value: Column, levels: int) -> Column:
     return F.bround(F.bround(value / step) * step).cast("int")
 
 
-def spread(width: Column, height: Column, wide: float = 1.16, double: float = 1.8) -> Column:
-    """What to do with a wide page: split a double one, rotate a wide one, keep the rest."""
+#: From more than this a page is a spread, and from this on turning it is better than cutting it.
+SPREAD, LONG_SPREAD = 1.16, 1.8
+
+
+def spread(width: Column, height: Column, wide: float = SPREAD, double: float = LONG_SPREAD) -> Column:
+    """What becomes of a wide page on an upright screen: split a spread, rotate a very wide one, keep the rest."""
     ratio = width / height
-    return F.when(ratio >= double, "split").when(ratio >= wide, "rotate").otherwise("keep")
+    return F.when((height <= 0) | (width <= 0) | (ratio <= wide), "keep").when(ratio >= double, "rotate").otherwise("split")
+
+
+def expand_spreads(pages: DataFrame, target_width: int, target_height: int, mode: str = "auto", rotate_right: bool = False) -> DataFrame:
+    """Pages (doc, page, width, height, right_to_left) as the pages that they become, numbered anew in each document.
+
+    kind is whole, left, right or rotated; x0 and x1 are what of the width is
+    cut out, angle the turn to the left, width and height the size afterwards.
+    ``mode`` is none, auto, split, rotate or both; only pages that lie across
+    the screen's own way are touched.  Read from right to left, the right half
+    comes first.
+    """
+    if mode not in ("none", "auto", "split", "rotate", "both"):
+        mode = "none"
+    w, h = F.col("width"), F.col("height")
+    across = (w > 0) & (h > 0) & ((w > h) != F.lit(target_width > target_height)) & (w / h > SPREAD)
+    long = w / h >= LONG_SPREAD
+    cut = across & {"auto": ~long, "split": ~long, "both": F.lit(True)}.get(mode, F.lit(False))
+    turned = across & {"auto": long, "rotate": F.lit(True), "both": F.lit(True)}.get(mode, F.lit(False))
+    half = F.floor(w / 2).cast("int")
+    part = lambda kind, x0, x1, angle, width, height: F.struct(F.lit(kind).alias("kind"), x0.cast("int").alias("x0"), x1.cast("int").alias("x1"), F.lit(angle).alias("angle"), width.cast("int").alias("width"), height.cast("int").alias("height"))
+    zero = F.lit(0)
+    left, right = part("left", zero, half, 0, half, h), part("right", half, w, 0, w - half, h)
+    halves = F.when(F.coalesce(F.col("right_to_left"), F.lit(False)), F.array(right, left)).otherwise(F.array(left, right))
+    none = F.slice(F.array(left), 1, 0)
+    parts = F.concat(F.when(cut, halves).otherwise(none), F.when(turned, F.array(part("rotated", zero, w, -90 if rotate_right else 90, h, w))).otherwise(none))
+    parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(part("whole", zero, w, 0, w, h)))
+    rows = pages.select("doc", "page", F.posexplode(parts).alias("part", "p")).select("doc", "page", "part", "p.*")
+    # a document's pages in order
+    return rows.withColumn("number", F.row_number().over(Window.partitionBy("doc").orderBy("page", "part")) - 1)

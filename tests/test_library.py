@@ -351,7 +351,7 @@ def test_files(spark, tmp_path):
 
 def test_geometry(spark):
     assert tuple(one(spark, planner.fit(F.lit(2000), F.lit(1000), 800, 480).alias("f"))[0]) == (800, 400)
-    assert one(spark, planner.grey_levels(F.lit(100), 16).alias("g"), planner.spread(F.lit(200), F.lit(100)).alias("s"), planner.text_mode(L(" TRUE ")).alias("t")) == (102, "split", "experimental")
+    assert one(spark, planner.grey_levels(F.lit(100), 16).alias("g"), planner.spread(F.lit(200), F.lit(100)).alias("s"), planner.text_mode(L(" TRUE ")).alias("t")) == (102, "rotate", "experimental")
     assert one(spark, catalogs.published_date(L("1999")).alias("a"), catalogs.display_title(L("T"), L("S"), F.lit(3.0)).alias("b")) == ("1999-01-01T00:00:00Z", "S #3 — T")
     assert one(spark, catalog.has_room(F.lit(5), F.lit(6), F.lit(10)).alias("a"), catalog.has_room(F.lit(5), F.lit(6), F.lit(0)).alias("b")) == (False, True)
     assert pd.notna(one(spark, files.fingerprint(F.lit(b"abc")).alias("x"))[0])
