@@ -785,4 +785,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_page(spark, sf_dir)
 
 
-from quillspark import function_queries, page_queries, stream_queries  # noqa: E402, F401  (they register more)
+from quillspark import catalog_queries, function_queries, page_queries, stream_queries  # noqa: E402, F401  (they register more)
