@@ -112,7 +112,9 @@ class Aligner:
         a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw or not raw:
             return None
-        if len(raw) <= SHORT:
+        if len(a) == 1 or len(b) == 1:  # no cut but the end
+            a_ranks, b_ranks = [len(a)], [len(b)]
+        elif len(raw) <= SHORT:
             a_ends, b_ends, at = [], [], 0
             for t in a_bytes:
                 a_ends.append(at := at + len(t))
