@@ -8,6 +8,9 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes a core below which an input is small: what Spark takes for the cost of opening a file.
+SMALL = 4 << 20
+
 
 def vectorised(ddl: str) -> Callable[[Callable], Callable[..., Column]]:
     def wrap(function: Callable) -> Callable[..., Column]:
@@ -21,6 +24,11 @@ def vectorised(ddl: str) -> Callable[[Callable], Callable[..., Column]]:
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """The frame with a task for each core where it has fewer, as a small file does; a large input stays as it is."""
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame._jdf.queryExecution().toRdd().getNumPartitions() < cores else frame
+    """The frame with a task for each core where its files are too few and small to give as many; a large input stays as it is."""
+    spark = frame.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, frame.inputFiles()
+    if not files or len(files) >= cores:
+        return frame
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in map(path, files))
+    return frame.repartition(cores) if size < cores * SMALL else frame
