@@ -69,8 +69,10 @@ def near_words(words: DataFrame) -> DataFrame:
     keyed = keys.select("word", "n", "letter", lessened.alias("key"), F.explode(ends).alias("end")).select("word", "n", "letter", "key", "end.head", "end.part")
     a, b = keyed.alias("a"), keyed.alias("b")
     at = (F.col("a.key") == F.col("b.key")) & (F.col("a.head") == F.col("b.head")) & (F.col("a.part") == F.col("b.part"))
-    added = (F.col("a.letter") == "") & (F.col("b.letter") != "")
-    exchanged = (F.col("a.letter") != "") & (F.col("b.letter") != "") & (F.col("a.letter") != F.col("b.letter")) & (F.col("a.word") < F.col("b.word"))
+    # both sides together decide, so neither is filtered apart and one exchange serves both
+    less = [(F.col(f"{side}.letter") != "").cast("int") for side in "ab"]
+    added = less[1] - less[0] == 1
+    exchanged = (less[0] + less[1] == 2) & (F.col("a.letter") != F.col("b.letter")) & (F.col("a.word") < F.col("b.word"))
     # words with the same head were joined by it
     once = F.col("a.head") | (F.left("a.word", F.lit(_END)) != F.left("b.word", F.lit(_END)))
     pairs = a.join(b, at & (added | exchanged) & once & (F.levenshtein("a.word", "b.word", 1) == 1))
