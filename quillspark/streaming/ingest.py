@@ -25,7 +25,8 @@ def ingest(batch: DataFrame, path: str, cap: int | None = None, batch_id: int |
 
     The table is its own seen set, with one folder a batch: items and their keys
     are kept by the same write.  A batch that comes again replaces its folder
-    and sees what it saw before; without an id, running twice adds nothing.
+    and sees what it saw before; without an id, running twice adds nothing.  Each
+    batch reads all keys; for a long history ``seen`` reads those it needs.
     """
     spark = batch.sparkSession
     mine = f"{path}/batch_id={uuid4().hex if batch_id is None else batch_id}"
@@ -67,7 +68,9 @@ def _fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Itera
 def lifecycle(events: DataFrame) -> DataFrame:
     """The download fold as a stream: each batch returns the new totals of the files it touches.
 
-    The state is one row a file, whatever the number of events; after any batch
+    Each event must come once: rows carry no attempt here.  Where they may
+    repeat or come late, ``attempts`` tells attempts apart by their number.  The
+    state is one row a file, whatever the number of events; after any batch
     the last row of a file equals the batch fold over all its events so far.
     """
     state = "count long, first timestamp, last timestamp, opened long"
