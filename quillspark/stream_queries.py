@@ -8,11 +8,12 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.queries import query, table
+from quillspark.queries import events, query, table
 from quillspark.shared import shared_dir
 from quillspark.sources import feed_source
 from quillspark.streaming.attempts import attempt_outcomes
 from quillspark.streaming.backfill import backfill
+from quillspark.streaming.ingest import downloads_per_hour
 from quillspark.streaming.runs import drain, drain_batches
 from quillspark.streaming.seen import SeenKeys, on_each_batch
 
@@ -116,3 +117,12 @@ def feeds_streamed(spark, sf_dir):
         stream = spark.readStream.format("feeds").load(f"{at}/polls").filter("error IS NULL")
         out = drain(stream.select("poll", "feed_id", "position", "guid", "title", "url", F.sha2("inline_html", 256).alias("html_sha256")), f"{at}/out", f"{at}/checkpoint")
     return out
+
+
+@query("""WITH d AS (SELECT ts FROM events WHERE event_type = 'purchase' AND event_id % 10 <> 7), mark AS (SELECT max(ts) - INTERVAL 12 DAY AS upto FROM d)
+  SELECT date_trunc('hour', ts) AS hour, count(*) AS downloads FROM d, mark WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= date_trunc('milliseconds', upto) GROUP BY 1""")
+def downloads_by_hour(spark, sf_dir):
+    """Hours that no late row can change any more; each event comes once here, some of them late."""
+    rows = events(spark, sf_dir).filter(F.col("event_id") % 10 != 7)
+    out = _in_slices(rows, "event_id", lambda s: downloads_per_hour(s, "12 days").select(F.col("window.start").alias("hour"), "downloads"))
+    return out.select("hour", "downloads")
