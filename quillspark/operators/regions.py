@@ -5,9 +5,11 @@ Boxes are (x0, y0, x1, y1) in whole pixels, the right and lower edge outside.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.udf import vectorised
 from quillspark.operators.components import components
 from quillspark.shared import drop, settle
 
@@ -108,11 +110,11 @@ def free_space(texts: DataFrame, obstacles: DataFrame, band: int = 64, least_wid
 
     texts (page, region, rx0, ry0, rx1, ry1, tx0, ty0, tx1, ty1), obstacles
     (page, x0, y0, x1, y1).  Region and obstacle meet once for each band of
-    rows; a row keeps only the nearest ink on either side of the centre.  Rows
-    are then taken in pairs around the centre while the least room of all of
-    them shrinks, and the first of the largest areas wins.  The text itself,
-    with a margin, and noise don't bound it.  Regions below 8 pixels or without
-    room stay as they are.
+    rows, and a region holds its own ink as an array.  Rows are then taken in
+    pairs around the centre, those with the same ink at once, while the least
+    room of all of them shrinks, and the first of the largest areas wins.  The
+    text itself, with a margin, and noise don't bound it.  Regions below 8
+    pixels or without room stay as they are.
     """
     c = F.col
     inside = lambda value, size: F.least(F.greatest(value, F.lit(0)), size - 1)
@@ -123,35 +125,49 @@ def free_space(texts: DataFrame, obstacles: DataFrame, band: int = 64, least_wid
         *[inside(F.floor((c(f"t{a}0") + c(f"t{a}1")) / 2).cast("int") - c(f"r{a}0"), c(s)).alias(f"c{a}") for a, s in (("x", "w"), ("y", "h"))],
     )
     bands = lambda low, high: F.explode(F.sequence(F.floor(low / band), F.floor((high - 1) / band)))
-    ours = large.withColumn("band", bands(c("ry0"), c("ry0") + c("h")))
-    ink = obstacles.filter((c("x1") - c("x0")) * (c("y1") - c("y0")) >= NOISE).select("page", *BOX).withColumn("band", bands(c("y0"), c("y1")))
+    ours = large.withColumn("band", bands(c("ry0"), c("ry0") + c("h"))).alias("t")
+    ink = obstacles.filter((c("x1") - c("x0")) * (c("y1") - c("y0")) >= NOISE).select("page", *BOX).withColumn("band", bands(c("y0"), c("y1"))).alias("i")
+    meet = (c("x0") < c("rx0") + c("w")) & (c("x1") > c("rx0")) & (c("y0") < c("ry0") + c("h")) & (c("y1") > c("ry0"))
+    met = ours.join(ink, (c("t.page") == c("i.page")) & (c("t.band") == c("i.band")) & meet, "left")
     # the part of the ink that is in the region, in this band and in the region's own pixels
-    met = ours.join(ink, ["page", "band"]).filter((c("x0") < c("rx0") + c("w")) & (c("x1") > c("rx0")) & (c("y0") < c("ry0") + c("h")) & (c("y1") > c("ry0")))
-    top = F.greatest(c("y0"), c("ry0"), (c("band") * band).cast("int")) - c("ry0")
-    end = F.least(c("y1"), c("ry0") + c("h"), (c("band") * band + band).cast("int")) - c("ry0")
+    low = (c("t.band") * band).cast("int")
+    # null where a region meets no ink in the band
+    top, end = F.when(c("y0").isNotNull(), F.greatest(c("y0"), c("ry0"), low) - c("ry0")), F.least(c("y1"), c("ry0") + c("h"), low + band) - c("ry0")
     left, right = F.greatest(c("x0") - c("rx0"), F.lit(0)), F.least(c("x1") - c("rx0"), c("w"))
-    rows = met.select("region", "cx", "mx0", "mx1", "my0", "my1", left.alias("a"), right.alias("b"), F.when(end > top, F.sequence(top, end - 1)).alias("ys")).select("*", F.explode("ys").alias("y"))
-    masked = (c("y") >= c("my0")) & (c("y") < c("my1"))
-    pieces = F.when(masked, F.array(F.struct(c("a"), F.least("b", "mx0").alias("b")), F.struct(F.greatest("a", "mx1").alias("a"), c("b")))).otherwise(F.array(F.struct("a", "b")))
-    piece = rows.select("region", "y", "cx", F.explode(pieces).alias("p")).filter("p.a < p.b")
+    shown = ["region", "rx0", "ry0", "w", "h", "cx", "cy"]
+    clipped = met.select(*shown, "mx0", "mx1", "my0", "my1", top.alias("top"), end.alias("end"), left.alias("a"), right.alias("b"))
+    piece = lambda top, end, a, b: F.struct(top.alias("top"), end.alias("end"), a.alias("a"), b.alias("b"))
+    inner, whole = (F.greatest("top", "my0"), F.least("end", "my1")), piece(c("top"), c("end"), c("a"), c("b"))
+    round_text = F.array(piece(c("top"), F.least("end", "my0"), c("a"), c("b")), piece(F.greatest("top", "my1"), c("end"), c("a"), c("b")), piece(*inner, c("a"), F.least("b", "mx0")), piece(*inner, F.greatest("a", "mx1"), c("b")))
+    beside = (c("end") <= c("my0")) | (c("top") >= c("my1")) | c("top").isNull()
+    cut = clipped.select(*shown, F.explode(F.when(beside, F.array(whole)).otherwise(round_text)).alias("p"))
     over = (c("p.a") <= c("cx")) & (c("cx") < c("p.b"))
-    nearest = piece.groupBy("region", "y").agg(
-        F.max(F.when(over, c("cx")).when(c("p.b") <= c("cx"), c("p.b") - 1)).alias("left"), F.min(F.when(over, c("cx")).when(c("p.a") > c("cx"), c("p.a"))).alias("right"),
-    )
-    # only the rows that a box round the centre can have
+    nearest = F.struct("p.top", "p.end", F.when(over, c("cx")).when(c("p.b") <= c("cx"), c("p.b") - 1).otherwise(-1).alias("left"), F.when(over, c("cx")).when(c("p.a") > c("cx"), c("p.a")).otherwise(c("w")).alias("right"))
+    solid = (c("p.top") < c("p.end")) & (c("p.a") < c("p.b"))
+    # a region's ink, an entry for each obstacle and band
+    held = cut.groupBy("region").agg(*[F.first(x).alias(x) for x in shown[1:]], F.collect_list(F.when(solid, nearest)).alias("ink"))
     reach = F.least("cy", c("h") - 1 - c("cy"))
-    halves = large.select("region", "cx", "cy", "w", F.explode(F.sequence(F.lit(0), reach)).alias("half"))
-    pairs = halves.select("*", F.explode(F.array_distinct(F.array(c("cy") - c("half"), c("cy") + c("half")))).alias("y")).join(nearest, ["region", "y"], "left")
-    room = (c("cx") - F.coalesce("left", F.lit(-1)) - 1) + (F.coalesce("right", "w") - c("cx") - 1)
-    least = pairs.groupBy("region", "half").agg(F.min(room).alias("room"))
-    # a region's rows: as many as it is high
-    so_far = least.withColumn("width", F.min("room").over(Window.partitionBy("region").orderBy("half"))).withColumn("area", c("width") * (2 * c("half") + 1))
-    best = so_far.filter((c("width") >= least_width) & (c("area") > 0)).groupBy("region").agg(F.max_by(F.struct("width", "half"), F.struct("area", -c("half"))).alias("best"))
-    joined = sized.join(large.select("region", "cx", "cy"), "region", "left").join(best, "region", "left")
+    # how far from the centre the ink of a pair of rows changes: between two of these all pairs have the same room
+    turns = F.flatten(F.transform("ink", lambda p: F.array(p["top"] - c("cy"), p["end"] - c("cy"), c("cy") - p["end"] + 1, c("cy") - p["top"] + 1)))
+    held = held.withColumn("reach", reach).withColumn("turns", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.filter(turns, lambda d: (d > 0) & (d <= reach))))))
+    start = F.struct(F.lit(-1).alias("left"), c("w").alias("right"))
+    room = lambda y: F.aggregate("ink", start, lambda s, p: F.when((p["top"] <= y) & (y < p["end"]), F.struct(F.greatest(s["left"], p["left"]).alias("left"), F.least(s["right"], p["right"]).alias("right"))).otherwise(s), lambda s: s["right"] - s["left"] - 2)
+    pairs = F.transform("turns", lambda d, i: F.struct(F.coalesce(F.get("turns", i + 1) - 1, c("reach")).alias("half"), F.least(room(c("cy") + d), room(c("cy") - d)).alias("room")))
+    first = F.struct(c("w").alias("room"), F.lit(0).alias("area"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("half"))
+
+    def widen(best: Column, pair: Column) -> Column:
+        width = F.least(best["room"], pair["room"])
+        area = width * (2 * pair["half"] + 1)
+        larger = (width >= least_width) & (area > best["area"])
+        return F.struct(width.alias("room"), *[F.when(larger, new).otherwise(best[n]).alias(n) for n, new in (("area", area), ("width", width), ("half", pair["half"]))])
+
+    best = held.withColumn("best", F.aggregate(pairs, first, widen))
     x, y = F.greatest(F.lit(0), c("cx") - F.floor(c("best.width") / 2).cast("int")), F.greatest(F.lit(0), c("cy") - c("best.half"))
     found = [c("rx0") + x, c("ry0") + y, c("rx0") + F.least("w", x + c("best.width")), c("ry0") + F.least("h", y + 2 * c("best.half") + 1)]
-    whole = [c("rx0"), c("ry0"), c("rx1"), c("ry1")]
-    return joined.select("region", *[F.when(c("best").isNull(), w).otherwise(f).cast("int").alias(b) for b, w, f in zip(BOX, whole, found, strict=True)])
+    unbound = [c("rx0"), c("ry0"), c("rx0") + c("w"), c("ry0") + c("h")]
+    boxed = best.select("region", *[F.when(c("best.width").isNull(), w).otherwise(f).cast("int").alias(b) for b, w, f in zip(BOX, unbound, found, strict=True)])
+    small = sized.filter("NOT coalesce(w >= 8 AND h >= 8, false)").select("region", *[c(f"r{b}").cast("int").alias(b) for b in BOX])
+    return boxed.unionByName(small)
 
 
 # ---------------------------------------------------------------- words and lines
@@ -234,58 +250,67 @@ def reading_rows(lines: DataFrame, least: float = BESIDE) -> DataFrame:
 # ------------------------------------------------------------------- fitted text
 
 
-def _wrapped(widths: Column, capacity: Column, space: Column) -> Column:
+def _wrapped(widths: list[float], capacity: float, space: float) -> list[int]:
     """Words of each line of a greedy break at ``capacity``."""
-    start = F.struct(F.array().cast("array<int>").alias("lines"), F.lit(0.0).alias("width"))
-
-    def step(state: Column, width: Column) -> Column:
-        n = F.size(state["lines"])
-        extra = width + F.when(n > 0, space).otherwise(F.lit(0))
-        breaks = (n == 0) | (state["width"] + extra > capacity)
-        more = F.concat(F.slice(state["lines"], 1, F.greatest(n - 1, F.lit(0))), F.array(F.coalesce(F.get(state["lines"], n - 1), F.lit(0)) + 1))
-        lines = F.when(breaks, F.concat(state["lines"], F.array(F.lit(1)))).otherwise(more)
-        return F.struct(lines.alias("lines"), F.when(breaks, width.cast("double")).otherwise(state["width"] + extra).alias("width"))
-
-    return F.aggregate(widths, start, step, lambda s: s["lines"])
-
-
-def _line_count(widths: Column, capacity: Column, space: Column) -> Column:
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("width"))
-
-    def step(state: Column, width: Column) -> Column:
-        extra = width + F.when(state["n"] > 0, space).otherwise(F.lit(0))
-        breaks = (state["n"] == 0) | (state["width"] + extra > capacity)
-        return F.struct(F.when(breaks, state["n"] + 1).otherwise(state["n"]).alias("n"), F.when(breaks, width.cast("double")).otherwise(state["width"] + extra).alias("width"))
-
-    return F.aggregate(widths, start, step, lambda s: s["n"])
+    lines, n, width = [], 0, 0.0
+    for w in widths:
+        if n and width + (w + space) <= capacity:
+            n, width = n + 1, width + (w + space)
+        else:
+            lines.append(n)
+            n, width = 1, w
+    return [*lines[1:], n]
+
+
+def _line_count(widths: list[float], spaced: list[float], capacity: float) -> int:
+    """How many lines ``_wrapped`` makes; spaced: widths with the space before them."""
+    n, width = 1, widths[0]
+    for k in range(1, len(widths)):
+        width += spaced[k]
+        if width > capacity:
+            n += 1
+            width = widths[k]
+    return n
+
+
+@vectorised("scale double, lines array<int>")
+def _fitted(widths: pd.Series, low: pd.Series, high: pd.Series, line: pd.Series, space: pd.Series, gap: pd.Series, w: pd.Series, h: pd.Series) -> pd.DataFrame:
+    """The largest scale that fits, by halving, and its lines; nulls without widths."""
+
+    def one(words, lowest, highest, line, space, gap, w, h):
+        if words is None:
+            return None, None
+        words, best = words.tolist(), None
+        spaced = [x + space for x in words]
+        for _ in range(STEPS):
+            middle = (lowest + highest) / 2
+            n = _line_count(words, spaced, w / middle)
+            if n * line * middle + (n - 1) * gap * middle <= h + 0.5:
+                lowest = best = middle
+            else:
+                highest = middle
+        return best, None if best is None else _wrapped(words, w / best, space)
+
+    return pd.DataFrame([one(*row) for row in zip(widths, low, high, line, space, gap, w, h, strict=True)], columns=["scale", "lines"]).astype({"scale": "float64"})
 
 
 def fit_words(blocks: DataFrame, max_scale: float = MAX_SCALE, min_scale: float = MIN_SCALE) -> DataFrame:
     """blocks with scale, lines (words of each), gap and height: the largest scale at which the words, broken anew, fit their box.
 
     A block has widths (of its words, in the order of reading), line_height,
-    word_gap, box_w and box_h.  Twenty halvings of the scale, each a fold over
-    the words, all in one expression.  Fewer than two words, or no scale of use:
-    nulls.  Room that is left widens the gaps by half a line at most.
+    word_gap, box_w and box_h.  Twenty halvings of the scale, each a walk over
+    the words.  Fewer than two words, or no scale of use: nulls.  Room that is left widens the gaps by half a line at most.
     """
     c = F.col
     pad = F.greatest(F.lit(2), F.floor(F.least("box_w", "box_h") * PADDING).cast("int"))
     sized = blocks.withColumn("__w", F.greatest(F.lit(1), c("box_w") - 2 * pad)).withColumn("__h", F.greatest(F.lit(1), c("box_h") - 2 * pad))
     sized = sized.withColumn("__gap", F.greatest(F.lit(1), F.bround(F.lit(LINE_GAP) * c("line_height")).cast("int"))).withColumn("__cap", F.least(F.lit(max_scale), c("__w") / F.array_max("widths")))
-    height = lambda n, scale, gap: n * c("line_height") * scale + F.greatest(F.lit(0), n - 1) * gap * scale
-    start = F.struct(F.lit(min_scale).alias("low"), c("__cap").alias("high"), F.lit(None).cast("double").alias("best"))
-
-    def halve(state: Column, _: Column) -> Column:
-        middle = (state["low"] + state["high"]) / 2
-        # a single-valued list binds the middle once for the fold below
-        tried = F.transform(F.array(middle), lambda m: F.struct(m.alias("m"), (height(_line_count(c("widths"), c("__w") / m, c("word_gap")), m, c("__gap")) <= c("__h") + 0.5).alias("fits")))
-        return F.get(F.transform(tried, lambda t: F.struct(F.when(t["fits"], t["m"]).otherwise(state["low"]).alias("low"), F.when(t["fits"], state["high"]).otherwise(t["m"]).alias("high"), F.when(t["fits"], t["m"]).otherwise(state["best"]).alias("best"))), F.lit(0))
-
     able = (F.size("widths") >= 2) & (c("__cap") >= min_scale)
-    found = sized.withColumn("scale", F.when(able, F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve, lambda s: s["best"])))
-    found = found.withColumn("lines", F.when(c("scale").isNotNull(), _wrapped(c("widths"), c("__w") / c("scale"), c("word_gap"))))
+    words = F.when(able, c("widths").cast("array<double>"))
+    fitted = _fitted(words, F.lit(float(min_scale)), *[c(x).cast("double") for x in ("__cap", "line_height", "word_gap", "__gap", "__w", "__h")])
+    found = sized.withColumn("__fitted", fitted).withColumn("scale", c("__fitted.scale")).withColumn("lines", c("__fitted.lines"))
     n, line = F.size("lines"), c("line_height") * c("scale")
     left = c("__h") - (n * line + F.greatest(F.lit(0), n - 1) * (c("__gap") * c("scale")))
     gap = c("__gap") * c("scale") + F.when((n > 1) & (left > 0), F.least(left / (n - 1), 0.5 * line)).otherwise(0.0)
     found = found.withColumn("gap", F.when(c("scale").isNotNull(), gap))
-    return found.withColumn("height", F.when(c("scale").isNotNull(), n * line + F.greatest(F.lit(0), n - 1) * c("gap"))).drop("__w", "__h", "__gap", "__cap")
+    return found.withColumn("height", F.when(c("scale").isNotNull(), n * line + F.greatest(F.lit(0), n - 1) * c("gap"))).drop("__w", "__h", "__gap", "__cap", "__fitted")

@@ -126,6 +126,15 @@ def test_free_space(spark, band):
     assert got == {t[1]: roomy(t[2:], [i[1:] for i in ink if i[0] == t[0]]) for t in texts}
 
 
+def test_free_space_has_no_row_for_a_pixel_row(spark):
+    texts = spark.createDataFrame([(1, 1, 0, 0, 100, 100, 40, 40, 60, 60), (1, 2, 0, 0, 5, 5, 1, 1, 2, 2), (2, 3, None, 0, 90, 90, 1, 1, 2, 2)], "page int, region long, rx0 int, ry0 int, rx1 int, ry1 int, tx0 int, ty0 int, tx1 int, ty1 int")
+    ink = spark.createDataFrame([(1, 10, 20, 30, 40), (1, 80, 45, 90, 50)], "page int, x0 int, y0 int, x1 int, y1 int")
+    found = regions.free_space(texts, ink)
+    # region and ink meet, and that is all
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert {r.region: tuple(r)[1:] for r in found.collect()} == {1: roomy((0, 0, 100, 100, 40, 40, 60, 60), [(10, 20, 30, 40), (80, 45, 90, 50)]), 2: (0, 0, 5, 5), 3: (None, 0, 90, 90)}
+
+
 def runs(flags, gap):
     out, start, last = [], None, None
     for i, flag in enumerate(flags):
@@ -226,3 +235,12 @@ def test_fitted_words(spark):
             assert got[i].lines == lines and sum(lines) == len(widths)
             assert got[i].height <= h + 0.5 + 1e-9 and got[i].gap >= gap * best
     assert 20 < fitted < 70
+
+
+def test_long_text_is_fitted_in_arrow_batches(spark):
+    rows = [(1, [float(3 + k % 17) for k in range(40_000)], 10, 3, 500, 20_000), (2, None, 10, 3, 500, 100), (3, [5.0], 10, 3, 500, 100)]
+    fitted = regions.fit_words(spark.createDataFrame(rows, "id int, widths array<double>, line_height int, word_gap int, box_w int, box_h int"))
+    # a fold of the JVM takes each word and halving through an interpreted lambda
+    assert "aggregate(" not in fitted._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: r for r in fitted.collect()}
+    assert sum(got[1].lines) == 40_000 and got[1].lines == wrapped(rows[0][1], 440 / got[1].scale, 3) and got[2].scale is got[3].scale is None
