@@ -1,7 +1,6 @@
 """Laid-out pages: figure labels, title blocks, table grids, and the boxes of figures.
 
-Clusters depend on the order of the lines of one page or table, which is small;
-each is one group of ``applyInPandas``.
+Clusters depend on the order of the lines of one page or table, which is small.
 """
 
 from __future__ import annotations
@@ -13,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.udf import vectorised
+
 #: What a label is not, how a sentence ends, and a table's caption.
 META, TERMINAL, CAPTION = r"[@:/\\]|^\[\d", r"[.!?;:»\"')\]…]$", r"(?i)^\s*(tabela|table)\s*\d"
 #: Columns of a table, least distance of two, and shares of a line's height that keep cells and rows together.
@@ -101,16 +102,20 @@ def table_xhtml(rows: list[list[str]], header: bool) -> str:
     return "<table>" + "".join("<tr>" + "".join(cell("th" if header and not k else "td", t) for t in row) + "</tr>" for k, row in enumerate(rows)) + "</table>"
 
 
-def _table(part: pd.DataFrame) -> pd.DataFrame:
-    found = grid(list(zip(part["x0"], part["y0"], part["y1"], part["text"], strict=True)))
-    key = {c: part[c].iloc[0] for c in ("doc", "page", "table")}
-    return pd.DataFrame([{**key, "n_rows": len(found), "n_columns": len(found[0]), "xhtml": table_xhtml(found, True)}] if found else [], columns=["doc", "page", "table", "n_rows", "n_columns", "xhtml"])
+@vectorised("n_rows int, n_columns int, xhtml string")
+def _grids(x0: pd.Series, y0: pd.Series, y1: pd.Series, text: pd.Series) -> pd.DataFrame:
+    found = (grid(list(zip(*(c.tolist() for c in line), strict=True))) for line in zip(x0, y0, y1, text, strict=True))
+    return pd.DataFrame([(len(g), len(g[0]), table_xhtml(g, True)) if g else (None, None, None) for g in found], columns=["n_rows", "n_columns", "xhtml"]).astype({"n_rows": "Int32", "n_columns": "Int32"})
 
 
 def tables(lines: DataFrame) -> DataFrame:
-    """doc, page, table, n_rows, n_columns, xhtml of the lines (doc, page, table, x0, y0, y1, text) that make a grid."""
-    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
-    return lines.groupBy("doc", "page", "table").applyInPandas(_table, f"doc {kinds['doc']}, page {kinds['page']}, table {kinds['table']}, n_rows int, n_columns int, xhtml string")
+    """doc, page, table, n_rows, n_columns, xhtml of the lines (doc, page, table, x0, y0, y1, text) that make a grid.
+
+    A table is a row of arrays, so that many small tables share a batch.
+    """
+    held = lines.groupBy("doc", "page", "table").agg(F.collect_list(F.struct("x0", "y0", "y1", "text")).alias("l"))
+    made = held.select("doc", "page", "table", _grids(*[F.col(f"l.{c}") for c in ("x0", "y0", "y1", "text")]).alias("g"))
+    return made.select("doc", "page", "table", "g.n_rows", "g.n_columns", "g.xhtml").filter("n_rows IS NOT NULL")
 
 
 def boxes(labels: list[tuple[float, float, float, float]], captions: list[tuple[float, float]]) -> list[tuple[float, float, float, float]]:

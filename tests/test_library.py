@@ -296,6 +296,15 @@ def test_layout(spark):
     assert [tuple(r)[2:] for r in layout.table_regions(drawn, caption).collect()] == [(-6.0, 64.0, 106.0, 106.0)]
 
 
+def test_tables_share_a_batch(spark):
+    cells = [(0, 0, 10, "Name"), (100, 0, 10, "Long"), (100, 7, 17, "header"), (0, 40, 50, "a"), (100, 40, 50, None), (100, 40, 50, "1")]
+    rows = [(doc, 0, 0, float(x), float(y0), float(y1), t) for doc in ("a", None) for x, y0, y1, t in cells] + [("b", 0, 0, 0.0, 0.0, 9.0, "x")]
+    made = layout.tables(spark.createDataFrame(rows, "doc string, page int, table int, x0 double, y0 double, y1 double, text string"))
+    # a group of pandas for each table took a second for a thousand
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc or "", r.n_rows, r.n_columns) for r in made.collect()) == [("", 2, 2), ("a", 2, 2)] and made.first().xhtml.startswith("<table><tr><th>Name</th><th>Long header</th></tr><tr><td>a</td><td>1</td>")
+
+
 def test_conversions(spark):
     pages = spark.createDataFrame([(1, "<html><head><title>P</title></head><body><p>hello there</p></body></html>", "https://h.org/p"), (2, None, None)], "page_id int, html string, url string")
     made = {r.page_id: r for r in convert.pages_to_epub(pages).collect()}
