@@ -29,14 +29,14 @@ def size_mb(c: Column | str) -> Column:
     return F.bround(col(c) / F.lit(1048576.0), 2)
 
 
-def human_size(c: Column | str) -> Column:
-    """Bytes as B to TB with one decimal above B."""
+def human_size(c: Column | str, largest: str = "TB") -> Column:
+    """Bytes as B to ``largest``, TB at most, with one decimal above B."""
     size, out = col(c).cast("double"), None
     for power, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
         value = size / F.lit(float(1024**power))
         shown = F.format_string("%d B", size.cast("long")) if unit == "B" else F.format_string(f"%.1f {unit}", F.bround(value, 1))
-        if unit == "TB":
-            return out.otherwise(shown)
+        if unit == largest:
+            return shown if out is None else out.otherwise(shown)
         test = size < float(1024 ** (power + 1))
         out = F.when(test, shown) if out is None else out.when(test, shown)
     raise AssertionError
@@ -146,18 +146,25 @@ def language_votes(c: Column | str, sample: int = 20_000) -> Column:
     """Stop-word votes by language over the first characters, as a map."""
     words = F.split(F.lower(F.substring(col(c), 1, sample)), r"[^\p{L}]+")
 
-    def votes(stops: list[str]) -> Column:
+    def votes(words: Column, stops: list[str]) -> Column:
         return F.size(F.filter(words, lambda w: w.isin(*stops)))
 
-    return F.create_map(*[x for lang, stops in STOP_WORDS.items() for x in (F.lit(lang), votes(stops))])
+    # a single-valued list binds the words once for all languages
+    counted = F.transform(F.array(words), lambda ws: F.create_map(*[x for lang, stops in STOP_WORDS.items() for x in (F.lit(lang), votes(ws, stops))]))
+    return F.get(counted, F.lit(0))
 
 
 def guess_language(c: Column | str, declared: Column | str | None = None, order: tuple[str, ...] = ("pt", "en", "es", "fr", "de")) -> Column:
     """The declared language, else the one of most votes (a tie goes to the first in order), else ''."""
-    votes = language_votes(c)
-    best = F.array_max(F.map_values(votes))
-    winner = F.element_at(F.filter(F.array(*map(F.lit, order)), lambda lang: F.element_at(votes, lang) == best), 1)
-    guess = F.when(best > 0, winner).otherwise("")
+
+    def winner(votes: Column, best: Column) -> Column:
+        # the first of equal ones has the larger number
+        first = F.array_max(F.array(*[F.when(F.element_at(votes, lang) == best, len(order) - k) for k, lang in enumerate(order)]))
+        return F.when(best > 0, F.element_at(F.array(*map(F.lit, order)), (len(order) + 1 - first).cast("int"))).otherwise("")
+
+    # votes and their maximum are bound once: else each use would cut the text again
+    told = F.transform(F.array(language_votes(c)), lambda v: F.struct(v.alias("v"), F.array_max(F.map_values(v)).alias("best")))
+    guess = F.get(F.transform(told, lambda t: winner(t["v"], t["best"])), F.lit(0))
     return guess if declared is None else F.coalesce(given(declared), guess)
 
 

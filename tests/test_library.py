@@ -296,6 +296,35 @@ def test_layout(spark):
     assert [tuple(r)[2:] for r in layout.table_regions(drawn, caption).collect()] == [(-6.0, 64.0, 106.0, 106.0)]
 
 
+def _equals_sql(spark, folder, name, **frames):
+    db = duckdb.connect()
+    for k, frame in frames.items():
+        frame.write.parquet(f"{folder}/{k}.parquet")
+        db.execute(f"CREATE VIEW {k} AS SELECT * FROM '{folder}/{k}.parquet/*.parquet'")
+    got = queries.QUERIES[name](spark, str(folder))
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.SQL[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    return want
+
+
+def test_sizes_of_a_terabyte(spark, tmp_path):
+    parts = spark.createDataFrame([(i, 1, n) for i, n in enumerate((1, 100, 20_000, 120_000, 1_199_999))], "l_orderkey long, l_linenumber int, l_partkey long")
+    assert max(float(shown.split()[0]) for _, _, shown, _ in _equals_sql(spark, tmp_path, "sizes_shown", lineitem=parts) if shown.endswith("GB")) > 100_000
+
+
+def test_titles_with_other_entities(spark, tmp_path):
+    titles = ["a &quot;b&quot; &amp;quot; &lt;c&gt;", "cut &amp", "R&D &copy; x", "plain"]
+    pages = spark.createDataFrame([(i, f"https://h.org/{i}", f'<html lang="De"><head><TITLE>{t}</title></head><body><p>x &quot;y&quot;</p></body></html>'.replace("TITLE", "title" if i else "TITLE")) for i, t in enumerate(titles)], "page_id long, url string, html string")
+    assert len(_equals_sql(spark, tmp_path, "pages_as_epub", pages=pages)) == 4
+
+
+def test_language_cuts_a_text_once(spark):
+    texts = spark.createDataFrame([("the and of que",), ("de que",), ("que el",), (None,), ("xyz",), ("der die und",), ("",)], "text string")
+    guessed = texts.select("text", text.guess_language("text").alias("g"), text.guess_language("text", F.lit("xx")).alias("d"))
+    assert texts.select(text.guess_language("text").alias("g"))._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [tuple(r) for r in guessed.collect()] == [("the and of que", "en", "xx"), ("de que", "pt", "xx"), ("que el", "es", "xx"), (None, "", "xx"), ("xyz", "", "xx"), ("der die und", "de", "xx"), ("", "", "xx")]
+
+
 def test_tables_share_a_batch(spark):
     cells = [(0, 0, 10, "Name"), (100, 0, 10, "Long"), (100, 7, 17, "header"), (0, 40, 50, "a"), (100, 40, 50, None), (100, 40, 50, "1")]
     rows = [(doc, 0, 0, float(x), float(y0), float(y1), t) for doc in ("a", None) for x, y0, y1, t in cells] + [("b", 0, 0, 0.0, 0.0, 9.0, "x")]
