@@ -1,7 +1,8 @@
 """Stored feed documents as a Spark data source: ``spark.read.format("feeds")`` and ``spark.readStream``.
 
 Documents lie at ``<path>/poll=<n>/feed_id=<m>/<file>``, one feed as it was at
-one poll.  Each document is a partition of its own.  A filter on ``feed_id`` or
+one poll.  Few documents are a partition each; of many, as many are one as
+make a share of their bytes.  A filter on ``feed_id`` or
 ``poll`` is applied to the names before anything is opened.  A stream's offset is
 the last poll that it has read: polls are numbered upwards, and one is read
 when the next number's folder, or the poll's own ``_SUCCESS``, is there.
@@ -24,11 +25,37 @@ SCHEMA = "poll int, feed_id long, position int, guid string, title string, url s
 _NAME = re.compile(r"poll=(\d+)/feed_id=(\d+)/[^/_.][^/]*$")
 
 
+#: Documents up to which each is a partition, and bytes of one; opening a document counts as so many.
+SINGLE, SHARE, OPENING = 96, 16 << 20, 16 << 10
+
+
 @dataclass
-class Document(InputPartition):
+class Document:
     path: str
     poll: int
     feed_id: int
+    size: int
+
+
+@dataclass
+class Documents(InputPartition):
+    held: list[Document]
+
+
+def shares(documents: list[Document]) -> list[Documents]:
+    """Documents in order, dealt into partitions: one each, or ``SINGLE`` and more of up to ``SHARE`` bytes."""
+    if len(documents) <= SINGLE:
+        return [Documents([d]) for d in documents]
+    costs = [d.size + OPENING for d in documents]
+    most = min(SHARE, sum(costs) // SINGLE)
+    out, held, cost = [], [], 0
+    for d, c in zip(documents, costs, strict=True):
+        if held and cost + c > most:
+            out.append(Documents(held))
+            held, cost = [], 0
+        held.append(d)
+        cost += c
+    return [*out, Documents(held)]
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -43,10 +70,14 @@ class _Documents:
     def listed(self) -> list[Document]:
         system, root = _opened(self.path)
         found = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
-        out = [Document(f.path, int(m[1]), int(m[2])) for f in found if f.is_file and (m := _NAME.search(f.path))]
+        out = [Document(f.path, int(m[1]), int(m[2]), f.size or 0) for f in found if f.is_file and (m := _NAME.search(f.path))]
         fine = lambda d: all(getattr(d, name) in values for name, values in self.wanted.items())
         return sorted(filter(fine, out), key=lambda d: (d.poll, d.feed_id, d.path))
 
+    def read(self, partition: Documents | None) -> Iterator[tuple]:
+        for document in partition.held if partition is not None else []:
+            yield from self.rows(document)
+
     def rows(self, document: Document) -> Iterator[tuple]:
         """Entries by position; a document that can't be read is one row with its error."""
         system, _ = _opened(self.path)
@@ -73,11 +104,11 @@ class FeedReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Document]:
-        return self.documents.listed()
+    def partitions(self) -> list[Documents]:
+        return shares(self.documents.listed())
 
-    def read(self, partition: Document | None) -> Iterator[tuple]:
-        return self.documents.rows(partition) if partition is not None else iter(())
+    def read(self, partition: Documents | None) -> Iterator[tuple]:
+        return self.documents.read(partition)
 
 
 class FeedStreamReader(DataSourceStreamReader):
@@ -95,11 +126,11 @@ class FeedStreamReader(DataSourceStreamReader):
             polls.pop()
         return {"poll": polls[-1] if polls else -1}
 
-    def partitions(self, start: dict, end: dict) -> list[Document]:
-        return [d for d in self.documents.listed() if start["poll"] < d.poll <= end["poll"]]
+    def partitions(self, start: dict, end: dict) -> list[Documents]:
+        return shares([d for d in self.documents.listed() if start["poll"] < d.poll <= end["poll"]])
 
-    def read(self, partition: Document | None) -> Iterator[tuple]:
-        return self.documents.rows(partition) if partition is not None else iter(())
+    def read(self, partition: Documents | None) -> Iterator[tuple]:
+        return self.documents.read(partition)
 
     def commit(self, end: dict) -> None:
         pass

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillspark.sources.feed_source import FeedSource, register
+from quillspark.sources.feed_source import Document, FeedSource, register, shares
 from quillspark.streaming.runs import drain
 
 RSS = "<rss><channel>{}</channel></rss>"
@@ -62,3 +62,13 @@ def test_polls_are_read_once(spark, tmp_path):
 def test_nothing_there(spark, tmp_path):
     assert load(spark, tmp_path / "none").count() == 0 and FeedSource({"path": "x"}).schema().startswith("poll int")
     assert load(spark, tmp_path / "none").select(F.col("feed_id")).dtypes == [("feed_id", "bigint")]
+
+
+def test_many_documents_share_partitions(spark, tmp_path):
+    store(tmp_path, 0, {k: feed(f"a{k}") for k in range(300)})
+    rows = load(spark, tmp_path)
+    assert 90 <= rows.rdd.getNumPartitions() <= 100
+    assert sorted(r.guid for r in rows.collect()) == sorted(f"a{k}" for k in range(300))
+    large = [Document(str(k), 0, k, 40 << 20 if k == 7 else 1 << 20) for k in range(2000)]
+    dealt = [p.held for p in shares(large)]
+    assert [d for held in dealt for d in held] == large and [len(h) for h in dealt if large[7] in h] == [1] and max(map(len, dealt)) == 15
