@@ -46,10 +46,15 @@ def is_audio(mime: Column | str, extensions: Column | str) -> Column:
 def post_parts(url: Column | str) -> Column:
     """Year, month, day and slug of /YYYY/MM/DD/slug; null for anything else, page, index and digits included."""
     path = F.regexp_replace(F.coalesce(F.try_parse_url(col(url), F.lit("PATH")), F.lit("")), "/+$", "")
-    part = lambda k: F.regexp_extract(path, r"/(\d{4})/(\d{1,2})/(\d{1,2})/([^/]+)$", k)
-    slug = part(4)
-    fine = (slug != "") & ~slug.isin("page", "index") & ~slug.rlike(r"^\d+$")
-    return F.when(fine, F.struct(part(1).try_cast("int").alias("year"), part(2).try_cast("int").alias("month"), part(3).try_cast("int").alias("day"), slug.alias("slug")))
+    # single-valued lists bind the path and its parts once: each use would parse the address again
+    parts = F.transform(F.array(path), lambda p: F.array(*[F.regexp_extract(p, r"/(\d{4})/(\d{1,2})/(\d{1,2})/([^/]+)$", k) for k in (1, 2, 3, 4)]))
+
+    def post(p: Column) -> Column:
+        slug = F.get(p, F.lit(3))
+        fine = (slug != "") & ~slug.isin("page", "index") & ~slug.rlike(r"^\d+$")
+        return F.when(fine, F.struct(*[F.get(p, F.lit(k)).try_cast("int").alias(n) for k, n in enumerate(("year", "month", "day"))], slug.alias("slug")))
+
+    return F.get(F.transform(parts, post), F.lit(0))
 
 
 def slug_title(slug: Column | str, limit: int = 120) -> Column:

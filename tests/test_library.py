@@ -325,6 +325,13 @@ def test_language_cuts_a_text_once(spark):
     assert [tuple(r) for r in guessed.collect()] == [("the and of que", "en", "xx"), ("de que", "pt", "xx"), ("que el", "es", "xx"), (None, "", "xx"), ("xyz", "", "xx"), ("der die und", "de", "xx"), ("", "", "xx")]
 
 
+def test_an_address_is_parsed_once(spark):
+    rows = spark.createDataFrame([("https://h.org/2024/01/02/a-b/",), ("https://h.org/2024/01/02/page",), ("https://h.org/2024/01/02/12",), (None,), ("no",), ("/2024/1/2/x",)], "url string")
+    made = rows.select(urls.post_parts("url").alias("p"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_url") <= 1
+    assert [r.p and tuple(r.p) for r in made.collect()] == [(2024, 1, 2, "a-b"), None, None, None, None, (2024, 1, 2, "x")]
+
+
 def test_tables_share_a_batch(spark):
     cells = [(0, 0, 10, "Name"), (100, 0, 10, "Long"), (100, 7, 17, "header"), (0, 40, 50, "a"), (100, 40, 50, None), (100, 40, 50, "1")]
     rows = [(doc, 0, 0, float(x), float(y0), float(y1), t) for doc in ("a", None) for x, y0, y1, t in cells] + [("b", 0, 0, 0.0, 0.0, 9.0, "x")]
