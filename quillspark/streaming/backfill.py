@@ -9,8 +9,10 @@ the rows are cut into batches and wherever the stream stops and goes on.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
+from heapq import heappop, heappush
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
@@ -37,57 +39,83 @@ class Backfill(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "url string", "day int, us long")
-        self.taken = handle.getMapState("taken", "url string", "day int, us long")
-        self.progress = handle.getValueState("progress", "last long, runs int, imported long")
-
-    def _next(self, held: dict[str, tuple[int, int]], last: int | None) -> int | None:
-        """When there is something to take, and not before the last run's hour is over."""
-        soonest = min((us for _, us in held.values()), default=None)
-        return soonest if soonest is None or last is None else max(soonest, last + self.apart)
-
-    def _arm(self, run: int | None) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if run is not None:
-            self.handle.registerTimer(run // 1000 + 1)
+        # lists are read and written whole: an entry of a map would be a message of its own
+        self.pending = handle.getListState("pending", "url string, day int, us long")
+        self.taken = handle.getListState("taken", "url string, day int")
+        self.progress = handle.getValueState("progress", "last long, runs int, imported long, soonest long, timer long")
+
+    def _progress(self) -> tuple:
+        return self.progress.get() or (None, 0, 0, None, None)
+
+    def _put(self, last: int | None, runs: int, imported: int, soonest: int | None, timer: int | None) -> None:
+        """A run is due when there is something to take, and not before the last run's hour is over."""
+        run = soonest if soonest is None or last is None else max(soonest, last + self.apart)
+        due = None if run is None else run // 1000 + 1
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.progress.update((last, runs, imported, soonest, due))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held = {u[0]: tuple(v) for u, v in self.pending.iterator()}
+        last, runs, imported, soonest, timer = self._progress()
+        taken = {url for url, _ in self.taken.get()}
+        new: dict[str, tuple[int, int]] = {}
         for row in rows:
-            if not self.taken.containsKey((row.url,)):
-                day, us = held.get(row.url, (row.day, row.us))
-                if row.url not in held or row.us < us:
-                    held[row.url] = (day, min(us, row.us))
-                    self.pending.updateValue((row.url,), held[row.url])
-        self._arm(self._next(held, self.progress.get()[0] if self.progress.exists() else None))
+            if row.url not in taken:
+                day, us = new.get(row.url, (row.day, row.us))
+                new[row.url] = (day, min(us, row.us))
+        if new:
+            # one shown before stands twice until the next run; the earliest counts
+            self.pending.appendList([(url, day, us) for url, (day, us) in new.items()])
+            soonest = min([us for _, us in new.values()] + ([] if soonest is None else [soonest]))
+        self._put(last, runs, imported, soonest, timer)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        last, runs, imported = self.progress.get() if self.progress.exists() else (None, 0, 0)
-        held = {u[0]: tuple(v) for u, v in self.pending.iterator()}
-        oldest = None
+        last, runs, imported, soonest, _ = self._progress()
+        held: dict[str, tuple[int, int]] = {}
+        for url, day, us in self.pending.get():
+            first, earliest = held.get(url, (day, us))
+            held[url] = (first, min(earliest, us))
+        coming = sorted(((us, day, url) for url, (day, us) in held.items()), reverse=True)
+        # what has come, the newest day first, and how many of each day that is in the window
+        known: list[tuple[int, str]] = []
+        days: Counter[int] = Counter()
+        taken, oldest, size = [], None, 0
         # the watermark may have passed several runs at once
-        while (run := self._next(held, last)) is not None and run // 1000 + 1 <= timerValues.getCurrentWatermarkInMs():
+        while soonest is not None:
+            run = soonest if last is None else max(soonest, last + self.apart)
+            if run // 1000 + 1 > timerValues.getCurrentWatermarkInMs():
+                break
             oldest = first_day(run, self.days)
-            known = [(day, url) for url, (day, us) in held.items() if us <= run]
-            todo = sorted((x for x in known if x[0] >= oldest), key=lambda x: (-x[0], x[1]))
-            batch = todo[: self.budget]
+            while coming and coming[-1][0] <= run:
+                _, day, url = coming.pop()
+                heappush(known, (-day, url))
+                days[day] += 1
             # what is out of the window doesn't come back into it
-            for day, url in [x for x in known if x[0] < oldest] + batch:
-                self.pending.removeKey((url,))
-                value = held.pop(url)
-                if day >= oldest:
-                    self.taken.updateValue((url,), value)
-            total, imported = imported + len(todo), imported + len(batch)
+            for day in [d for d in days if d < oldest]:
+                del days[day]
+            todo = days.total()
+            batch = [heappop(known) for _ in range(min(self.budget, todo))]
+            for day, url in batch:
+                days[-day] -= 1
+                taken.append((url, -day))
+            size = todo - len(batch)
+            if not size:
+                known = []
+            total, imported = imported + todo, imported + len(batch)
             for place, (_, url) in enumerate(batch):
-                yield Row(feed_id=key[0], url=url, run_us=run, run=runs, place=place, imported=imported, total=total, done=len(todo) <= len(batch))
+                yield Row(feed_id=key[0], url=url, run_us=run, run=runs, place=place, imported=imported, total=total, done=not size)
             last, runs = run, runs + 1
-        self.progress.update((last, runs, imported))
-        for url, value in list(self.taken.iterator()):
-            if oldest is not None and value[0] < oldest:
-                self.taken.removeKey(url)
-        self._arm(self._next(held, last))
+            soonest = last if size else coming[-1][0] if coming else None
+        if oldest is not None:
+            rest = [(url, -day, held[url][1]) for day, url in known if -day >= oldest] + [(url, day, us) for us, day, url in coming]
+            kept = [(url, day) for url, day in [*self.taken.get(), *taken] if day >= oldest]
+            for state, values in ((self.pending, rest), (self.taken, kept)):
+                state.put(values) if values else state.clear()
+        self._put(last, runs, imported, soonest, None)
 
     def close(self) -> None:
         pass

@@ -4,10 +4,11 @@ import random
 from collections import defaultdict
 from datetime import UTC, date, datetime, timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillspark.streaming.attempts import attempt_outcomes
-from quillspark.streaming.backfill import backfill
+from quillspark.streaming.backfill import Backfill, backfill
 from quillspark.streaming.runs import drain
 
 START = datetime(2024, 1, 1)
@@ -99,3 +100,51 @@ def test_backfill(spark, tmp_path):
         mark = max(p["at"] for p in posts) - late
         want = [r for r in runs_of(posts, budget, days) if r[2] < mark]
         assert sorted(map(tuple, got)) == sorted(want) and len(want) > 50 and any(not r[7] for r in want)
+
+
+class Told:
+    """State and timers of one key that count the messages to them."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = 0, {}, set()
+
+    def _counted(self, name):
+        def call(*args):
+            self.calls += 1
+            return getattr(self, f"_{name}")(*args)
+
+        return call
+
+    def state(self, name):
+        out = type("State", (), {})()
+        for call in ("get", "update", "appendList", "put", "clear"):
+            setattr(out, call, lambda *a, call=call: self._counted(call)(name, *a))
+        return out
+
+    getListState = getValueState = getMapState = lambda self, name, ddl: self.state(name)
+    registerTimer = lambda self, at: self.timers.add(at)
+    deleteTimer = lambda self, at: self.timers.remove(at)
+
+    def _get(self, name):
+        return self.held.get(name) or (None if name == "progress" else [])
+
+    def _update(self, name, value):
+        self.held[name] = value
+
+    _put = _update
+
+    def _appendList(self, name, values):
+        self.held[name] = [*self._get(name), *values]
+
+    def _clear(self, name):
+        self.held.pop(name, None)
+
+
+def test_backfill_messages_do_not_grow_with_the_rows():
+    told, late = Told(), type("Mark", (), {"getCurrentWatermarkInMs": lambda self: 10**9})()
+    machine = Backfill(9, -1)
+    machine.init(told)
+    rows = [Row(url=f"u{i}", day=i % 30, us=i * 1000) for i in range(1000)]
+    assert list(machine.handleInputRows((1,), iter(rows), late)) == [] and told.calls <= 5 and len(told.timers) == 1
+    out = list(machine.handleExpiredTimer((1,), late, None))
+    assert len({r.url for r in out}) == len(out) > 900 and told.calls <= 12
