@@ -181,11 +181,6 @@ def _bands(boxes: DataFrame, keys: list[str], low: str, high: str, gap: Column |
     return boxes.withColumn("__opens", opens.cast("int")).withColumn(name, F.sum("__opens").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).drop("__opens")
 
 
-def _middle(values: Column) -> Column:
-    """The upper middle of the sorted values; zero of none."""
-    return F.coalesce(F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int")), F.lit(0))
-
-
 def segment_words(ink: DataFrame, right_to_left: Column | None = None) -> DataFrame:
     """Words of ink (page, x0, y0, x1, y1): page, line, word, x0, y0, x1, y1, line_height, line_gap, word_gap.
 
@@ -194,28 +189,34 @@ def segment_words(ink: DataFrame, right_to_left: Column | None = None) -> DataFr
     in the order of reading.  Pages below 512 pixels are looked at twice as
     large, as small gaps are told better so.
     """
+    c = F.col
     rtl = F.lit(False) if right_to_left is None else right_to_left
+    page = Window.partitionBy("page")
     marks = ink.filter("x1 > x0 AND y1 > y0").select("page", *BOX, rtl.alias("rtl"))
-    sizes = marks.groupBy("page").agg((F.max("x1") - F.min("x0")).alias("w"), (F.max("y1") - F.min("y0")).alias("h"))
-    zoom = F.when(F.greatest("w", "h") < 512, 2).otherwise(1)
-    # many boxes share their rows: bands are told from distinct ones
-    rows = _bands(marks.select("page", "y0", "y1").distinct(), ["page"], "y0", "y1", 1, "band")
-    spans = rows.groupBy("page", "band").agg(F.min("y0").alias("top"), F.max("y1").alias("bottom")).join(sizes.select("page", zoom.alias("zoom")), "page")
-    lined = marks.join(rows, ["page", "y0", "y1"]).join(spans, ["page", "band"])
-    tolerance = F.greatest(F.lit(2), F.bround(F.lit(WORD_GAP) * F.col("zoom") * (F.col("bottom") - F.col("top"))).cast("int"))
-    apart = _bands(lined.withColumn("limit", F.floor(tolerance / F.col("zoom"))), ["page", "band"], "x0", "x1", F.col("limit"), "island")
+    # windows of a page only: its ink is dealt once, and a window's order serves the next ones
+    rows = _bands(marks, ["page"], "y0", "y1", 1, "band")
+    extent = F.greatest(F.max("x1").over(page) - F.min("x0").over(page), F.max("y1").over(page) - F.min("y0").over(page))
+    zoomed = rows.withColumn("zoom", F.when(extent < 512, 2).otherwise(1))
+    across = Window.partitionBy("page", "band").orderBy("x0", "x1")
+    band = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lined = zoomed.withColumn("top", F.min("y0").over(band)).withColumn("bottom", F.max("y1").over(band))
+    tolerance = F.greatest(F.lit(2), F.bround(F.lit(WORD_GAP) * c("zoom") * (c("bottom") - c("top"))).cast("int"))
+    apart = _bands(lined.withColumn("limit", F.floor(tolerance / c("zoom"))), ["page", "band"], "x0", "x1", c("limit"), "island")
     words = apart.groupBy("page", "band", "island").agg(F.min("x0").alias("x0"), F.first("top").alias("y0"), F.max("x1").alias("x1"), F.first("bottom").alias("y1"), F.first("rtl").alias("rtl"))
-    across = Window.partitionBy("page", "band").orderBy("x0")
-    space = F.lead("x0").over(across) - F.col("x1")
-    reading = F.when(F.col("rtl"), -F.col("x0")).otherwise(F.col("x0"))
-    words = words.withColumn("space", space).withColumn("word", F.row_number().over(Window.partitionBy("page", "band").orderBy(reading)) - 1).withColumn("line", (F.col("band") - 1).cast("int"))
-    lines = words.groupBy("page", "line").agg(F.first("y0").alias("top"), F.first("y1").alias("bottom"), F.collect_list("space").alias("spaces"))
-    between = lines.withColumn("gap", F.greatest(F.lit(0), F.lead("top").over(Window.partitionBy("page").orderBy("line")) - F.col("bottom")))
-    rhythm = between.groupBy("page").agg(F.collect_list(F.col("bottom") - F.col("top")).alias("heights"), F.collect_list("gap").alias("gaps"), F.flatten(F.collect_list("spaces")).alias("spaces"))
-    height = F.greatest(F.lit(1), _middle(F.col("heights")))
-    least_gap = F.greatest(F.lit(1), F.bround(F.lit(LINE_GAP) * height).cast("int"))
-    rhythm = rhythm.select("page", height.alias("line_height"), F.greatest(least_gap, _middle(F.col("gaps"))).alias("line_gap"), F.greatest(F.lit(2), _middle(F.filter("spaces", lambda s: s > 0))).alias("word_gap"))
-    return words.join(rhythm, "page").select("page", "line", "word", *BOX, "line_height", "line_gap", "word_gap")
+    # islands are numbered from the left; bands from the top
+    line, left = Window.partitionBy("page", "band"), Window.partitionBy("page", "band").orderBy("island")
+    down = Window.partitionBy("page").orderBy("band", "island")
+    told = words.withColumn("next_top", F.lead("y0").over(down)).withColumn("space", F.lead("x0").over(left) - c("x1")).withColumn("n", F.count(F.lit(1)).over(line))
+    # below the lowest line there is no gap: zero
+    last = c("island") == c("n")
+    height, gap = F.when(last, c("y1") - c("y0")), F.when(last, F.greatest(F.lit(0), c("next_top") - c("y1")))
+    # of the sorted values the upper middle: from the largest, the first that half of them reach
+    middle = lambda v: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {v} DESC)").over(page).cast("int")
+    rhythm = told.withColumn("__h", height).withColumn("__g", gap).withColumn("__s", F.when(c("space") > 0, c("space")))
+    sized = rhythm.withColumn("line_height", F.greatest(F.lit(1), middle("__h"))).withColumn("__gap", F.coalesce(middle("__g"), F.lit(0))).withColumn("word_gap", F.greatest(F.lit(2), F.coalesce(middle("__s"), F.lit(0))))
+    least_gap = F.greatest(F.lit(1), F.bround(F.lit(LINE_GAP) * c("line_height")).cast("int"))
+    word = F.when(c("rtl"), c("n") - c("island")).otherwise(c("island") - 1).cast("int")
+    return sized.select("page", (c("band") - 1).cast("int").alias("line"), word.alias("word"), *BOX, "line_height", F.greatest(least_gap, "__gap").alias("line_gap"), "word_gap")
 
 
 def reading_rows(lines: DataFrame, least: float = BESIDE) -> DataFrame:

@@ -244,3 +244,11 @@ def test_long_text_is_fitted_in_arrow_batches(spark):
     assert "aggregate(" not in fitted._jdf.queryExecution().optimizedPlan().toString()
     got = {r.id: r for r in fitted.collect()}
     assert sum(got[1].lines) == 40_000 and got[1].lines == wrapped(rows[0][1], 440 / got[1].scale, 3) and got[2].scale is got[3].scale is None
+
+
+def test_words_of_dealt_pages_stay(spark):
+    """A page's steps follow each other without an exchange, and no step is done twice."""
+    ink = spark.createDataFrame([(1, 0, 0, 4, 8), (1, 20, 0, 24, 8), (1, 0, 30, 4, 38)], "page int, x0 int, y0 int, x1 int, y1 int").repartition(3, "page")
+    words = regions.segment_words(ink)
+    assert words._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert [(r.line, r.word, r.line_height, r.line_gap, r.word_gap) for r in words.orderBy("line", "word").collect()] == [(0, 0, 8, 22, 16), (0, 1, 8, 22, 16), (1, 0, 8, 22, 16)]
