@@ -5,7 +5,11 @@ Boxes are (x0, y0, x1, y1) in whole pixels, the right and lower edge outside.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +26,8 @@ WORD_GAP, LINE_GAP, BESIDE = 0.35, 0.2, 0.5
 PADDING, MIN_SCALE, MAX_SCALE, STEPS = 0.06, 1.06, 2.0, 20
 #: Pixels of a grid cell; boxes beyond which a cell is divided, and into how many a side.
 CELL, CROWDED, PARTS = 256, 200, 8
+#: Boxes of a page up to which its merging is one task's; and pairs of boxes that are looked at together.
+ONE_TASK, TOGETHER = 512, 1 << 18
 
 
 def _area(x0, y0, x1, y1) -> Column:
@@ -73,15 +79,99 @@ def _united(boxes: DataFrame, *keys: str) -> DataFrame:
     return out.select("page", "region", *BOX, "largest.area", "largest.kind", "members")
 
 
-def merge_regions(regions: DataFrame, share: float = SHARE, cell: int = CELL, crowded: int = CROWDED) -> DataFrame:
+def _linked(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The least number that links (i, j) lead to, for each of n."""
+    low = np.arange(n)
+    while True:
+        before = low.copy()
+        least = np.minimum(low[i], low[j])
+        np.minimum.at(low, i, least)
+        np.minimum.at(low, j, least)
+        low = low[low]
+        if np.array_equal(low, before):
+            return low
+
+
+def _merged(page: np.ndarray, box: dict[str, np.ndarray], share: float) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Boxes of many pages, a page's together, merged until none of a page overlap; ``kind`` is the number of the box that has it."""
+    done = []
+    while len(page):
+        opens = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
+        ends = np.repeat(np.r_[opens[1:], len(page)], np.diff(np.r_[opens, len(page)]))
+        # each box with those after it on its page
+        partners = ends - np.arange(len(page)) - 1
+        i = np.repeat(np.arange(len(page)), partners)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(partners) - partners, partners)
+        wide, high = (np.minimum(box[f"{a}1"][i], box[f"{a}1"][j]) - np.maximum(box[f"{a}0"][i], box[f"{a}0"][j]) for a in "xy")
+        meet = (wide > 0) & (high > 0)
+        i, j, both = i[meet], j[meet], (wide * high)[meet]
+        size = (box["x1"] - box["x0"]) * (box["y1"] - box["y0"])
+        one = both / np.maximum(1, np.minimum(size[i], size[j])) >= share
+        i, j = i[one], j[one]
+        again = np.isin(page, page[i])
+        done.append((page[~again], {c: v[~again] for c, v in box.items()}))
+        if not len(i):
+            break
+        root = _linked(i, j, len(page))
+        # a group's largest box first, of equal ones the least
+        order = np.lexsort((box["region"], -box["area"], root))
+        order = order[again[order]]
+        starts = np.flatnonzero(np.r_[True, root[order][1:] != root[order][:-1]])
+        how = {"region": np.minimum, "x0": np.minimum, "y0": np.minimum, "x1": np.maximum, "y1": np.maximum, "members": np.add}
+        page, box = page[order][starts], {c: how[c].reduceat(v[order], starts) if c in how else v[order][starts] for c, v in box.items()}
+    return np.concatenate([p for p, _ in done]), {c: np.concatenate([b[c] for _, b in done]) for c in done[0][1]}
+
+
+def _merge_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema, share: float) -> Iterator[pa.RecordBatch]:
+    """Pages (page, boxes: list of structs) to their merged boxes, as many pages at once as have ``TOGETHER`` pairs."""
+    for batch in batches:
+        pages, lists = batch.column("page"), batch.column("boxes")
+        sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+        of = np.repeat(np.arange(len(pages)), sizes)
+        box = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("region", *BOX, "area", "members")}
+        box |= {c: box[c].astype("int64") for c in BOX} | {"kind": np.arange(len(of))}
+        part = np.cumsum(sizes.astype("int64") * (sizes - 1) // 2) // TOGETHER
+        for k in np.unique(part):
+            mine = part[of] == k
+            page, out = _merged(of[mine], {c: v[mine] for c, v in box.items()}, share)
+            columns = {c: pa.array(v) for c, v in out.items()} | {"page": pages.take(pa.array(page)), "kind": flat.field("kind").take(pa.array(out["kind"]))}
+            yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
+
+
+def merge_regions(regions: DataFrame, share: float = SHARE, cell: int = CELL, crowded: int = CROWDED, one_task: int = ONE_TASK) -> DataFrame:
     """Regions (page, region, x0, y0, x1, y1, area, kind), region being their own number in the table, as merged ones with members.
 
     Regions that overlap in ``share`` of the smaller one are one, with all that
     links lead to; merged boxes that overlap again merge again, until none do.
     Which region comes first doesn't matter.  Equal boxes of a page are one
-    beforehand; a page without links is left alone from then on.
+    beforehand; a page without links is left alone from then on.  Pages of at
+    most ``one_task`` boxes are merged where they are put together; boxes of
+    fuller pages meet in cells, round after round.
     """
-    now = settle(_united(regions.withColumn("members", F.lit(1).cast("long")).withColumns({f"__{c}": F.col(c) for c in BOX}), "page", *[f"__{c}" for c in BOX]), "regions")
+    first = settle(_united(regions.withColumn("members", F.lit(1).cast("long")).withColumns({f"__{c}": F.col(c) for c in BOX}), "page", *[f"__{c}" for c in BOX]), "regions")
+    fields = {f.name: f for f in first.schema}
+    whole = all(fields[c].dataType.typeName() in ("long", "integer", "short", "byte") for c in ("region", *BOX))
+    unknown = F.lit(False)
+    for c in ("page", "region", *BOX, "area"):
+        unknown = unknown | F.col(c).isNull()
+    full = settle(first.groupBy("page").agg(F.count("*").alias("n"), F.max(unknown).alias("unknown")).filter(F.lit(not whole) | (F.col("n") > one_task) | F.col("unknown")).select("page"), "pages")
+    if full.isEmpty():
+        return _merge_small(first, share)
+    same = F.col("page").eqNullSafe(F.col("__page"))
+    full = full.withColumnRenamed("page", "__page")
+    return _merge_small(first.join(full, same, "left_anti"), share).unionByName(_merge_large(first.join(full, same, "left_semi"), share, cell, crowded))
+
+
+def _merge_small(boxes: DataFrame, share: float) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(boxes.schema)
+    pages = boxes.groupBy("page").agg(F.collect_list(F.struct(*[c for c in boxes.columns if c != "page"])).alias("boxes"))
+    return pages.mapInArrow(lambda batches: _merge_batches(batches, schema, share), boxes.schema)
+
+
+def _merge_large(boxes: DataFrame, share: float, cell: int, crowded: int) -> DataFrame:
+    now = settle(boxes, "regions")
     done: list[DataFrame] = []
     while True:
         links = settle(overlapping(now, share, cell, crowded), "overlaps")

@@ -252,3 +252,18 @@ def test_words_of_dealt_pages_stay(spark):
     words = regions.segment_words(ink)
     assert words._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert [(r.line, r.word, r.line_height, r.line_gap, r.word_gap) for r in words.orderBy("line", "word").collect()] == [(0, 0, 8, 22, 16), (0, 1, 8, 22, 16), (1, 0, 8, 22, 16)]
+
+
+@pytest.mark.parametrize("one_task, cell, crowded", [(0, 64, 5), (40, 256, 200), (512, 256, 200)])
+def test_merged_on_one_task_or_in_cells(spark, one_task, cell, crowded):
+    """Pages below the bound and above it, ties in area over several rounds, and a page whose area isn't known."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(200):
+        page = rng.choice([1, 1, 1, 2, 3, 4])
+        x, y = rng.randrange(-100, 400), rng.randrange(400)
+        rows.append((page, i, x, y, x + rng.randrange(-2, 90), y + rng.randrange(-2, 90), rng.randrange(3), rng.choice("abc")))
+    frame = spark.createDataFrame([*rows, (9, 900, 0, 0, 5, 5, None, "a"), (9, 901, 0, 0, 6, 5, None, "a")], BOXES)
+    got = [(r.page, r.region, r.x0, r.y0, r.x1, r.y1, r.area, r.kind, r.members) for r in regions.merge_regions(frame, cell=cell, crowded=crowded, one_task=one_task).collect()]
+    assert sorted(r for r in got if r[0] != 9) == merged(rows)
+    assert [r for r in got if r[0] == 9] == [(9, 900, 0, 0, 6, 5, None, "a", 2)]
