@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import chapters, files, html, lines, text, urls
-from quillspark.functions.udf import spread
+from quillspark.functions.udf import dealt, spread
 from quillspark.operators import catalog, lifecycle, links, reports
 from quillspark.operators import records as desk
 from quillspark.plans import planner
@@ -738,7 +738,8 @@ b AS (SELECT *, (SELECT count(*) FROM w v WHERE v.doc = w.doc AND v.wide AND v.y
 SELECT doc, line, band, side, row_number() OVER (PARTITION BY doc ORDER BY band, NOT wide, side, y0, x0, line) AS place FROM b""")
 def reading_order(spark, sf_dir):
     k, top = F.col("l_partkey") % 300, F.col("l_suppkey") * 7 % 700
-    boxes = table(spark, sf_dir, "lineitem").select(
+    items = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_linenumber"), "l_orderkey")
+    boxes = items.select(
         F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), k.cast("double").alias("x0"), (k + F.col("l_quantity") * 6).cast("double").alias("x1"), top.cast("double").alias("y0"), (top + 10).cast("double").alias("y1"),
         F.col("l_linenumber").alias("line"), F.when(F.col("l_orderkey") % 4 > 0, F.lit(300.0)).alias("gutter"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from quillspark import queries
 from quillspark.functions import chapters, files, html, layout, lines, sanitize, text, urls
+from quillspark.functions.udf import dealt
 from quillspark.operators import catalog, lifecycle, links, runs, upkeep
 from quillspark.operators import records as desk
 from quillspark.plans import convert, planner
@@ -559,3 +560,16 @@ def test_sanitiser():
     assert out.startswith('<html lang="pt"><head><style id="reader-base">') and "old" not in out and "bad()" not in out and "onload" not in out and "onclick" not in out
     assert 'href="/as/text/ch/s.css"' in out and "i.ico" not in out and 'href="/ch/text/ch/c2.xhtml"' in out and "javascript" not in out and 'href="mailto:a@b"' in out
     assert 'src="/as/text/img/a%20b.png"' in out and 'srcset="/as/text/ch/y.png 2x"' in out and "https://h" not in out and "tail" in out and "etc" not in out
+
+
+def test_dealt_by_size(spark, tmp_path):
+    """A task's part is bounded by bytes, and a key's rows are together."""
+    at = str(tmp_path / "rows")
+    spark.range(200_000).selectExpr("id % 1000 AS doc", "id").write.parquet(at)
+    size = sum(p.stat().st_size for p in (tmp_path / "rows").glob("*.parquet"))
+    few, many = (dealt(spark.read.parquet(at), "doc", share=share) for share in (size, size // 40))
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and many.rdd.getNumPartitions() >= 40
+    placed = many.select("doc", F.spark_partition_id().alias("p")).distinct()
+    assert placed.count() == 1000
+    shown = lines.reading_order(many.selectExpr("doc", "1 AS page", "0D AS x0", "9D AS x1", "id * 1D AS y0", "id + 1D AS y1", "id AS line", "CAST(NULL AS double) AS gutter"))
+    assert shown._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
