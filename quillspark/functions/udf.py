@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Bytes a core below which an input is small: what Spark takes for the cost of opening a file.
 SMALL = 4 << 20
+#: Rows of an Arrow batch of pages: a worker holds a batch, as strings and as results, several times.
+BATCH_ROWS = 200
 
 
 def vectorised(ddl: str) -> Callable[[Callable], Callable[..., Column]]:
@@ -30,8 +32,14 @@ def _bytes(frame: DataFrame, files: list[str]) -> int:
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """The frame with a task for each core where its files are too few and small to give as many; a large input stays as it is."""
-    cores, files = frame.sparkSession.sparkContext.defaultParallelism, frame.inputFiles()
+    """The frame with a task for each core where its files are too few and small to give as many; a large input stays as it is.
+
+    For functions that read whole pages: Arrow batches of the caller's session get small enough for these.
+    """
+    spark = frame.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    cores, files = spark.sparkContext.defaultParallelism, frame.inputFiles()
     if not files or len(files) >= cores:
         return frame
     return frame.repartition(cores) if _bytes(frame, files) < cores * SMALL else frame

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from quillspark import queries
 from quillspark.functions import chapters, files, html, layout, lines, sanitize, text, urls
-from quillspark.functions.udf import dealt
+from quillspark.functions.udf import dealt, spread
 from quillspark.operators import catalog, lifecycle, links, runs, upkeep
 from quillspark.operators import records as desk
 from quillspark.plans import convert, planner
@@ -573,3 +573,11 @@ def test_dealt_by_size(spark, tmp_path):
     assert placed.count() == 1000
     shown = lines.reading_order(many.selectExpr("doc", "1 AS page", "0D AS x0", "9D AS x1", "id * 1D AS y0", "id + 1D AS y1", "id AS line", "CAST(NULL AS double) AS gutter"))
     assert shown._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_pages_come_in_small_batches(spark):
+    """A worker holds few pages at a time, however many a task has."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    rows = spread(spark.range(0, 5000, 1, 1))
+    sizes = rows.select(F.pandas_udf(lambda ids: ids * 0 + len(ids), "long")("id").alias("n")).agg(F.max("n")).first()[0]
+    assert sizes <= 200
