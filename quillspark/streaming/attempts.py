@@ -17,6 +17,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from quillspark.streaming.runs import keyed_state
 
+#: Two to this power attempts of neighbouring numbers share an entry of the state.
+NEIGHBOURS = 6
+
 OUTCOME_DDL = "attempt_id long, file_id long, status string, countable boolean, started_us long, finished_us long"
 
 
@@ -27,41 +30,62 @@ def outcome(start: int, closes: list, horizon: int) -> tuple[int, str, bool]:
 
 
 class Attempts(StatefulProcessor):
-    """Start, file and closes of one attempt; a timer where it ends as far as is known."""
+    """Start, file and closes of attempts of neighbouring numbers; a timer where the first of them ends as far as is known.
+
+    They are read and written together, as each call to the state is a message.
+    """
 
     def __init__(self, horizon_us: int):
         self.horizon = horizon_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "start long, file_id long, closes array<struct<at:long,status:string,countable:boolean>>")
+        self.held = handle.getValueState("held", "timer long, attempts array<struct<attempt_id:long,start:long,file_id:long,closes:array<struct<at:long,status:string,countable:boolean>>>>")
 
-    def _rearm(self, start: int | None, closes: list) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def _load(self) -> tuple[int | None, dict]:
+        timer, attempts = self.held.get() or (None, [])
+        return timer, {a[0]: (a[1], a[2], [tuple(c) for c in a[3]]) for a in attempts}
+
+    def _due(self, start: int | None, closes: list) -> int:
         # closes that nothing opened are kept as long as their start may still come
         end = outcome(start, closes, self.horizon)[0] if start is not None else max(c[0] for c in closes) + self.horizon
-        self.handle.registerTimer(end // 1000 + 1)
+        return end // 1000 + 1
+
+    def _keep(self, timer: int | None, attempts: dict) -> None:
+        """``timer``: the one that is set."""
+        soonest = min((self._due(start, closes) for start, _, closes in attempts.values()), default=None)
+        if timer is not None and timer != soonest:
+            self.handle.deleteTimer(timer)
+        if soonest is None:
+            self.held.clear()
+            return
+        if timer != soonest:
+            self.handle.registerTimer(soonest)
+        self.held.update((soonest, [(i, *a) for i, a in attempts.items()]))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        start, file_id, closes = self.held.get() if self.held.exists() else (None, None, [])
-        closes = {tuple(c) for c in closes}
+        timer, attempts = self._load()
         for row in rows:
+            start, file_id, closes = attempts.get(row.attempt_id, (None, None, []))
             if row.status != "started":
-                closes.add((row.us, row.status, row.countable))
+                closes = sorted({*closes, (row.us, row.status, row.countable)})
             elif start is None or row.us < start:
                 start, file_id = row.us, row.file_id
-        kept = sorted(closes)
-        self.held.update((start, file_id, kept))
-        self._rearm(start, kept)
+            attempts[row.attempt_id] = start, file_id, closes
+        self._keep(timer, attempts)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        start, file_id, closes = self.held.get()
-        self.held.clear()
-        if start is not None:
-            end, status, countable = outcome(start, [tuple(c) for c in closes], self.horizon)
-            yield Row(attempt_id=key[0], file_id=file_id, status=status, countable=countable, started_us=start, finished_us=end)
+        _, attempts = self._load()
+        now = timerValues.getCurrentWatermarkInMs()
+        over = [i for i, (start, _, closes) in attempts.items() if self._due(start, closes) < now]
+        ended = [(i, *attempts.pop(i)) for i in over]
+        # the timer that ran out is gone
+        self._keep(None, attempts)
+        for i, start, file_id, closes in ended:
+            if start is not None:
+                end, status, countable = outcome(start, closes, self.horizon)
+                yield Row(attempt_id=i, file_id=file_id, status=status, countable=countable, started_us=start, finished_us=end)
 
     def close(self) -> None:
         pass
@@ -74,7 +98,7 @@ def attempt_outcomes(events: DataFrame, horizon_seconds: int, late: str) -> Data
     ones are left out.  A close that comes again, a close of an attempt that
     never began, and one after the horizon change nothing.
     """
-    rows = events.withWatermark("at", late).select("attempt_id", "file_id", "at", "status", F.coalesce("countable", F.lit(True)).alias("countable"), F.unix_micros("at").alias("us"))
+    rows = events.withWatermark("at", late).select("attempt_id", "file_id", "at", "status", F.coalesce("countable", F.lit(True)).alias("countable"), F.unix_micros("at").alias("us"), F.shiftright(F.col("attempt_id").cast("long"), NEIGHBOURS).alias("neighbours"))
     with keyed_state(events.sparkSession):
-        out = rows.groupBy("attempt_id").transformWithState(Attempts(horizon_seconds * 1_000_000), OUTCOME_DDL, "Append", "EventTime")
+        out = rows.groupBy("neighbours").transformWithState(Attempts(horizon_seconds * 1_000_000), OUTCOME_DDL, "Append", "EventTime")
     return out.select("attempt_id", "file_id", "status", "countable", F.timestamp_micros("started_us").alias("started_at"), F.timestamp_micros("finished_us").alias("finished_at"))

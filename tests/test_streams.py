@@ -7,7 +7,7 @@ from datetime import UTC, date, datetime, timedelta
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from quillspark.streaming.attempts import attempt_outcomes
+from quillspark.streaming.attempts import Attempts, attempt_outcomes
 from quillspark.streaming.backfill import Backfill, backfill
 from quillspark.streaming.runs import drain
 
@@ -148,3 +148,29 @@ def test_backfill_messages_do_not_grow_with_the_rows():
     assert list(machine.handleInputRows((1,), iter(rows), late)) == [] and told.calls <= 5 and len(told.timers) == 1
     out = list(machine.handleExpiredTimer((1,), late, None))
     assert len({r.url for r in out}) == len(out) > 900 and told.calls <= 12
+
+
+def test_neighbouring_attempts_share_their_state():
+    """One read, one write and one timer for the rows of 64 attempts; those that are over go, the others stay."""
+    calls, value = [], [None]
+
+    class Held:
+        get = staticmethod(lambda: value[0])
+        update = staticmethod(lambda v: (calls.append("update"), value.__setitem__(0, v)))
+        clear = staticmethod(lambda: value.__setitem__(0, None))
+
+    class Handle:
+        getValueState = staticmethod(lambda *a: Held)
+        registerTimer = staticmethod(lambda t: calls.append(("set", t)))
+        deleteTimer = staticmethod(lambda t: calls.append(("unset", t)))
+
+    class Now:
+        getCurrentWatermarkInMs = staticmethod(lambda: 40)
+
+    of = Attempts(10_000)
+    of.init(Handle)
+    rows = [Row(attempt_id=i, file_id=i, status="started", us=i * 1000, countable=True) for i in range(64)]
+    list(of.handleInputRows((0,), iter(rows), None))
+    assert calls == [("set", 11), "update"]
+    gone = [r.attempt_id for r in of.handleExpiredTimer((0,), Now, None)]
+    assert gone == list(range(29)) and calls[2:] == [("set", 40), "update"] and len(value[0][1]) == 35
